@@ -19,9 +19,11 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ class Tokenizer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
-        as_bytes = lambda token: bytes(letters[c] for c in token)
+        as_bytes = lambda token: bytes(map(letters.__getitem__, token))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.size = 1 + max([*self.ids.values(), *self.special.values()])
@@ -56,43 +58,28 @@ class Tokenizer:
         for text, i in self.special.items():
             self.bytes[i] = text.encode()
         self.names = [str(i) for i in range(self.size)]
-        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(self.ids[as_bytes(a)], self.ids[as_bytes(b)]): (rank, self.ids[as_bytes(a + b)]) for rank, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
+        self.lengths = np.array([len(b) for b in self.bytes])
+        # ids rise with the merges' ranks in such files, so the library merges in the file's order
+        self.merger = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
+        self.matcher = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.matcher.add_word(token.decode("latin-1"), i)
+        self.matcher.make_automaton()
         self.full, self.plain, self.not_plain = regex.compile(PATTERN), re.compile(PLAIN_PATTERN), re.compile(NOT_PLAIN)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
         self.codes, self.good = np.empty(0, np.int64), np.empty(0, bool)
 
     def merged(self, word: bytes) -> list[int]:
-        """The exact encoding: the adjacent pair of lowest rank merges first, the leftmost of equal ones."""
-        parts, ranks, none = [self.ids[word[i : i + 1]] for i in range(len(word))], self.ranks, (len(self.ranks), 0)
-        while len(parts) > 1:
-            found = [ranks.get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
-            best = min(found)
-            if best is none or best == none:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i < len(found) and found[i] == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def proposed(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, at, end, ids, longest = [], 0, len(word), self.ids, self.longest
-        while at < end:
-            to = min(end, at + longest)
-            while (found := ids.get(word[at:to])) is None:
-                to -= 1
-            out.append(found)
-            at = to
-        return out
+        """The exact encoding, by merging: the pair whose token has the lowest rank first, the leftmost of equal ones."""
+        return self.merger._encode_single_piece(word)
+
+    def proposed(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match in all words at once: the tokens and the word of each."""
+        joined = "Ā".join([w.decode("latin-1") for w in raw])  # a letter that is no byte parts the words
+        found = np.array(list(self.matcher.iter_long(joined)), np.int64).reshape(-1, 2)
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in raw), np.int64, len(raw)))
+        return found[:, 1], np.searchsorted(ends, found[:, 0], side="right")
 
     def compatible(self, codes: np.ndarray) -> np.ndarray:
         """For pairs (first id * size + second id), or single tokens (-1 - id): does merging give just these back?"""
@@ -108,17 +95,17 @@ class Tokenizer:
 
     def learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
-        proposals = [self.proposed(w) for w in raw]
-        lengths = np.fromiter(map(len, proposals), np.int64, len(words))
-        flat = np.fromiter(chain.from_iterable(proposals), np.int64, int(lengths.sum()))
-        owner = np.repeat(np.arange(len(words)), lengths)
+        flat, owner = self.proposed(raw)
+        lengths = np.bincount(owner, minlength=len(words))
         inner = owner[:-1] == owner[1:]
         alone = lengths == 1
-        codes = np.concatenate([(flat[:-1] * self.size + flat[1:])[inner], -1 - flat[np.repeat(alone, lengths)]])
-        owners = np.concatenate([owner[:-1][inner], np.flatnonzero(alone)])
-        for i in np.unique(owners[~self.compatible(codes)]).tolist():
-            proposals[i] = self.merged(raw[i])
-        self.known.update(zip(words, map(tuple, proposals), strict=True))
+        codes = np.concatenate([(flat[:-1] * self.size + flat[1:])[inner], -1 - flat[alone[owner]]])
+        owners = np.concatenate([owner[:-1][inner], owner[alone[owner]]])
+        whole = np.bincount(owner, self.lengths[flat], len(words)) == np.fromiter(map(len, raw), np.int64, len(raw))
+        failing = {*np.unique(owners[~self.compatible(codes)]).tolist(), *np.flatnonzero(~whole).tolist()}
+        ids, ends = flat.tolist(), np.cumsum(lengths).tolist()
+        for i, (word, end, length) in enumerate(zip(words, ends, lengths.tolist(), strict=True)):
+            self.known[word] = self.merged(raw[i]) if i in failing else ids[end - length : end]
 
     def words(self, text: str) -> list[str]:
         return (self.full if self.not_plain.search(text) else self.plain).findall(text)

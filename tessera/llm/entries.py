@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_dedup, quality_rules, simhash
+from tessera.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
 
 #: Name of the public vocabulary file for op6 and the last stage of the pipeline.
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,12 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.max_by(F.struct("start_word", "n_words", "similarity"), F.struct("similarity", -F.col("start_word"))).alias("w")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "w.n_words", F.round("w.similarity", 6).alias("similarity"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -42,6 +48,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
@@ -49,6 +56,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": """
+WITH ws AS (SELECT doc_id AS id, 0 AS kind, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+            UNION ALL
+            SELECT item_id, 1, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark),
+g AS (SELECT id, kind, len(w) AS n,
+             CASE WHEN len(w) < 5 THEN CAST([] AS VARCHAR[]) ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS sh FROM ws),
+s AS (SELECT id, kind, unnest(sh) AS h, generate_subscripts(sh, 1) - 1 AS pos FROM g),
+p AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id FROM s d JOIN s b ON d.h = b.h AND d.kind = 0 AND b.kind = 1),
+q AS (SELECT p.*, b.n, len(b.sh) AS total, least(len(b.sh), len(d.sh)) AS size, len(d.sh) AS ds FROM p
+      JOIN g b ON b.kind = 1 AND b.id = item_id JOIN g d ON d.kind = 0 AND d.id = doc_id),
+t AS (SELECT *, unnest(range(0, ds - size + 1)) AS start FROM q),
+c AS (SELECT t.doc_id, t.item_id, t.start, any_value(t.n) AS n, any_value(t.total) AS total, any_value(t.size) AS size, s.h, count(*) AS c
+      FROM t JOIN s ON s.kind = 0 AND s.id = t.doc_id AND s.pos BETWEEN t.start AND t.start + t.size - 1 GROUP BY ALL),
+i AS (SELECT id AS item_id, h, count(*) AS ic FROM s WHERE kind = 1 GROUP BY ALL),
+z AS (SELECT doc_id, item_id, start, any_value(n) AS n, sum(least(c, ic)) / (any_value(total) + any_value(size) - sum(least(c, ic))) AS sim
+      FROM c JOIN i USING (item_id, h) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) AS k FROM z WHERE sim >= 0.8)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, round(sim, 6) AS similarity FROM r WHERE k = 1""",
     "op7_quality_rules": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
