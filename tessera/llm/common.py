@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The ASCII white space that the contracts name: \x20 and \x09 to \x0D.
 WHITE = " \t\n\x0b\f\r"
@@ -53,3 +57,18 @@ def words_of(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. Texts without other letters take the faster built-in, with the same result."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def map_texts(rows: DataFrame, per_text: Callable[[str], tuple], schema: str) -> DataFrame:
+    """per_text of every row, in Arrow batches. rows: an id and a text (null: empty); schema: the id's field, then the results'."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [per_text(t or "") for t in batch.column(1).to_pylist()]
+            if found:
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    fields = T.StructType.fromDDL(schema)
+    names, types = fields.names, [to_arrow_type(f.dataType) for f in fields[1:]]
+    return rows.select(F.col(rows.columns[0]).cast("bigint"), F.col(rows.columns[1]).cast("string")).mapInArrow(batches, schema)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, saved, text_of, words_of
+from tessera.llm.common import let, text_of, words_of
 
 #: Length of the word windows whose repeats count.
 WINDOW = 8
@@ -126,7 +126,8 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
 
     The sample is the first rows that Spark gives: reading it costs the same however large the table is.
     """
-    sample = saved(docs.select("text").limit(sample_rows))
+    taken = docs.select(F.col("text").cast("string")).take(sample_rows)  # reads only as many partitions as it needs
+    sample = docs.sparkSession.createDataFrame(taken, "text string")
     found = []
     for rule in rules:
         tested = _prepared(sample).select(rule.fails(_lookup()).cast("double").alias("failed"))
