@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, html_text, line_dedup, pii, quality_model, quality_rules, secrets, simhash
+from tessera.llm import bpe, decontaminate, html_text, line_dedup, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 
 #: Name of the public vocabulary file for op6 and the last stage of the pipeline.
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +69,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_model": op3_quality_model,
     "op4_decontaminate": op4_decontaminate,
     "op5_pii": op5_pii,
