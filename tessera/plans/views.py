@@ -52,7 +52,7 @@ UNION ALL SELECT concat('http://ex.org/doc#', CAST(doc_id AS STRING)), 'rdfs:lab
 UNION ALL SELECT concat('http://ex.org/doc#', CAST(doc_id AS STRING)), 'skos:exactMatch', concat('https://w3id.org/dpv#', source), 'iri', NULL, NULL, 'documents' FROM {documents} WHERE doc_id % 3 = 0""",
     "gold": """
 SELECT d.doc_id AS key, CASE WHEN l.quality = 1 THEN 'aligned' ELSE 'no_match' END AS status, d.lang AS term, l.toxic, l.quality,
-       least(1.0, d.n_chars / 4000.0) AS score, CASE WHEN d.n_chars % 3 = 0 THEN 'fr' ELSE d.lang END AS predicted,
+       least(CAST(1.0 AS DOUBLE), CAST(d.n_chars AS DOUBLE) / 4000) AS score, CASE WHEN d.n_chars % 3 = 0 THEN 'fr' ELSE d.lang END AS predicted,
        CASE WHEN d.n_chars > 3000 THEN 'high' WHEN d.n_chars > 1000 THEN 'medium' ELSE 'low' END AS confidence
 FROM {documents} AS d JOIN {labels} AS l ON d.doc_id = l.doc_id""",
 }
