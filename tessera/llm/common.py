@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.sources.storage import saved, scratch, shared_dir  # noqa: F401
+
 #: The ASCII white space that the contracts name: \x20 and \x09 to \x0D.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared one; nothing is created yet."""
-    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once a row even where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
