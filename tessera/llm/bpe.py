@@ -26,6 +26,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The pattern of byte-level tokenizers, in full and for texts in which Python's faster module agrees.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,16 +153,18 @@ def _mapped(docs: DataFrame, path: str, per_text, schema: str) -> DataFrame:
                     chars += len(texts[to])
                     to += 1
                 rows = [per_text(own, ids) for ids in own.encode(texts[at:to])]
-                columns = [batch.column(0)[at:to], *[pa.array(c) for c in zip(*rows, strict=True)]]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in schema.split(", ")])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], *columns], names=names)
                 at = to
 
+    fields = T.StructType.fromDDL(schema)
+    names, types = fields.names, [to_arrow_type(f.dataType) for f in fields[1:]]
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")).mapInArrow(batches, schema)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids: the token ids of every text."""
-    return _mapped(docs, path, lambda own, ids: (pa.array(ids, pa.int32()),), "doc_id bigint, ids array<int>")
+    return _mapped(docs, path, lambda own, ids: (ids,), "doc_id bigint, ids array<int>")
 
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:

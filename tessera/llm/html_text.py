@@ -202,6 +202,8 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
             out[i] = AWAY_LABEL  # outside the article, short and undecided
             continue
         before, after = sides[blocks[i].zone == 1][0][i], sides[blocks[i].zone == 1][1][i]
+        if blocks[i].zone != 1:  # the page's ends count as boilerplate
+            before, after = before or (i + 1, AWAY_LABEL), after or (count - i, AWAY_LABEL)
         if before and after and before[0] == after[0]:
             out[i] = after[1] if blocks[i].heading else min(before[1], after[1])
         elif before or after:

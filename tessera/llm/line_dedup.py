@@ -82,13 +82,14 @@ class Runs:
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, row and the array of line positions that are dropped, for documents that lose a line."""
     spark = docs.sparkSession
-    cuts = docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
-    number = sum(((F.col("doc_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = set(docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", shares, 0.01)) if shares else set()
+    number = sum(((F.col("doc_id") > c).cast("int") for c in sorted(cuts)), F.lit(0))
     # rows without doc_id go with the last batch: all others come before them
-    lines = saved(hashed_lines(docs, min_chars).withColumn("batch", F.coalesce(number, F.lit(len(set(cuts))))), "batch")
+    lines = saved(hashed_lines(docs, min_chars).withColumn("batch", F.coalesce(number, F.lit(len(cuts)))), "batch")
     runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     dropped = []
-    for batch in range(len(set(cuts)) + 1):
+    for batch in range(len(cuts) + 1):
         own = lines.where(F.col("batch") == batch).drop("batch")
         keys = own.groupBy(*KEY).agg(
             F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless")
