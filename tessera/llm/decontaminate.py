@@ -147,6 +147,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs less the rows that leak an item."""
-    gone = leaks(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("gone_row"))
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    found = leaks(docs.select("doc_id", "text"), benchmark, **options)
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct().hint("shuffle_hash")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(text) == gone["gone_row"])
+    return docs.join(gone, same, "left_anti")

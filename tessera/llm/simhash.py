@@ -126,5 +126,6 @@ def hexadecimal(fp):
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs less every document whose component has a smaller doc_id. Rows without a doc_id go if a named one is linked."""
-    gone = near_components(docs.select("doc_id", "text")).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    found = near_components(docs.select("doc_id", "text")).where("not (doc_id <=> component_id)")
+    gone = found.select(F.col("doc_id").alias("gone_id")).distinct().hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

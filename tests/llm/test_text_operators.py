@@ -152,6 +152,15 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_clashing_columns_stay(spark, odd_documents):
+    clash = odd_documents.withColumns({c: F.lit("x") for c in ("gone_id", "gone_row", "d_id", "drops", "_words", "component_id", "in_0")})
+    bench = spark.createDataFrame([(0, "same row same row same row"), (1, "nothing of this")], "item_id bigint, text string")
+    for found in (quality_rules.filter_quality(clash), simhash.keep_one(clash), decontaminate.without_leaks(clash, bench)):
+        assert found.columns == clash.columns and found.count() <= clash.count()
+    lines = line_dedup.drop_repeated_lines(clash)
+    assert lines.columns == [*clash.columns, "n_lines", "n_dropped"] and lines.count() == clash.count()
+
+
 def test_empty_tables(documents):
     none = documents.limit(0)
     assert quality_rules.score_quality(none).count() == 0
