@@ -123,6 +123,6 @@ def test_chains_and_articles(spark):
 
 
 def test_furniture_needs_three_pages_and_is_no_heading(spark):
-    pages = spark.createDataFrame([("d", i, f"Law {i}\nArticle {i} x\nbody{i} words\nPage {i} of 4") for i in range(4)], "doc string, page int, text string")
+    pages = spark.createDataFrame([("d", i, f"Law {i}\nArticle {i} x\n{'abcd'[i]} words\nPage {i} of 4") for i in range(4)], "doc string, page int, text string")
     assert rows(laws.furniture(pages)) == [("d", "Law #"), ("d", "Page # of #")]
     assert rows(laws.furniture(pages.where("page < 2"))) == []
