@@ -253,7 +253,7 @@ def by_window(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*w, ids, pa.array(np.full(len(at), row)), pa.array(at + (place >> 9))], names=["w1", "w2", "doc_id", "row", "start"])
 
     windows = rows.mapInArrow(batches, "w1 bigint, w2 bigint, doc_id bigint, row bigint, start bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = saved(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     return windows.join(twice, ["w1", "w2"]).groupBy("doc_id", "row").agg(F.collect_set("start").alias("starts"))
 
 
@@ -302,13 +302,14 @@ def remove(raw: bytes, places: list[int], starts: list[int]) -> tuple[bytes, int
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs as doc_id, row, text; and doc_id, row, places, starts: the runs and single windows that repeat, for texts with any."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("text"))
-    found = anchors(own)
-    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    found = saved(anchors(own))
+    # written before they are joined: both sides of each join are then dealt out anew, and Spark can split a hot gram
+    often = saved(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
     met = saved(found.join(often.hint("shuffle_hash"), "g", "left_semi"))
     first = F.min_by(F.struct("doc_id", "row", "place"), F.struct("doc_id", "row", "place")).alias("one")
     kinds = saved(met.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), first))
     whole = met.join(kinds.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("doc_id", "row", "place")
-    mixed_grams = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed_grams = saved(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     ends = kinds.join(mixed_grams, "g").select("g", "one.*", (F.col("kinds") > HOT).alias("hot"))
     wants = ends.groupBy("doc_id", "row").agg(F.collect_list(F.struct("g", "place", "hot")).alias("wants"))
     cut = saved(cut_contexts(with_texts(own, saved(wants), "inner")))
