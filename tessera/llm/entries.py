@@ -114,11 +114,12 @@ k AS (SELECT doc_id, sum(least(8, i - coalesce(b, i - 8))) AS n FROM p GROUP BY
 m AS (SELECT n.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_repeat_words,
-             len(regexp_extract_all(t, '[A-Z]')) AS caps, len(string_split(t, chr(10))) AS n_lines
+             len(regexp_extract_all(t, '[A-Z]')) AS caps, len(string_split(t, chr(10))) AS n_lines,
+             len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS n_stutter
       FROM n LEFT JOIN k USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * caps > word_chars OR 100 * n_dup_lines > 30 * n_lines
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * caps > word_chars OR (n_dup_lines >= 5 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * n_stutter > 30 * n_words
             OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept FROM b""",
     "op9_line_dedup": """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -89,6 +89,7 @@ def metrics(text: Column, words: Column) -> dict[str, Column]:
         "n_repeat_words": repeated_words(words),
         "n_capitals": (F.octet_length(text) - F.octet_length(F.regexp_replace(text, "[A-Z]+", ""))).cast("bigint"),
         "n_lines": F.size(F.split(text, "\n")).cast("bigint"),
+        "n_stutter": F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: a.eqNullSafe(b)), lambda x: x)).cast("bigint"),
     }
 
 
@@ -104,11 +105,12 @@ BASE = (
     Rule("short", lambda m: m("n_words") < 20),
     Rule("repeats", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
 )
-#: Beyond the base: symbols, capitals, repeated lines and word lengths outside what prose has.
+#: Beyond the base: symbols, capitals, repeated lines, words said over and over, and word lengths outside what prose has.
 RULES = BASE + (
     Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
     Rule("capitals", lambda m: 2 * m("n_capitals") > m("word_chars")),
-    Rule("lines", lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
+    Rule("lines", lambda m: (m("n_dup_lines") >= 5) & (100 * m("n_dup_lines") > 30 * m("n_lines"))),
+    Rule("stutter", lambda m: 100 * m("n_stutter") > 30 * m("n_words")),
     Rule("word_length", lambda m: (m("word_chars") > 20 * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
 )
 
@@ -152,15 +154,16 @@ def verdict(order: list[Rule], lookup: Callable[[str], Column]) -> Column:
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, with the columns of docs."""
     order = [rule for rule, _, _ in rule_order(docs, rules, sample_rows)]
-    tested = _prepared(docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns) if c != "text"}))
-    kept = tested.where(verdict(order, _lookup()).isNull())
-    return kept.select(*[F.col("text" if c == "text" else f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    text = text_of()
+    # the words are bound inside the condition: a column of them would be split again at each place once Spark pushes the filter down
+    rejected = let(words_of(text), lambda words: verdict(order, metrics(text, words).__getitem__))
+    return docs.where(rejected.isNull())
 
 
 def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document its measures, base_failed, kept and the rule that rejected it (the first of the cascade's order)."""
     order = [rule for rule, _, _ in rule_order(docs, rules, sample_rows)]
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines", "n_stutter"]
     lookup = _lookup()
     measured = _prepared(docs.select("doc_id", "text")).select("doc_id", *[lookup(n).alias(n) for n in names])
     base = F.lit(False)
