@@ -30,8 +30,9 @@ from tessera.llm.common import map_texts
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates beyond the base.
@@ -61,11 +62,24 @@ def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of `[A-Za-z0-9._%+-]+` and DOMAIN, found from the @ signs: linear in the text."""
+    found, free = [], 0
+    for m in DOMAIN.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start():
+            found.append((start, m.end()))
+            free = m.end()
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches in the order of the digest."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        found += [(s, 0, e) for s, e in emails(text)]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
             found.append((m.start(), 1, m.end()))

@@ -107,6 +107,17 @@ def test_pii_base():
     assert pii.base_spans("a@@b.c 1.2.3.4.5 ") == [(7, 1, 14)]
 
 
+def test_pii_base_equals_the_plain_patterns_and_stays_linear():
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice("a1@@..-_ 25é") for _ in range(rng.randint(0, 40)))
+        plain = [(m.start(), 0, m.end()) for m in email.finditer(text)]
+        plain += [(m.start(), 1, m.end()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert sorted(plain) == [span for span in pii.base_spans(text) if span[1] < 2]
+    assert pii.base_spans("x" * 1_000_000 + " @ " + "1" * 1_000_000) == []
+
+
 def test_pii_consistency_along_skip_edges(spark):
     texts = [f"Call +1 (499) 555-{i:04d} now. " + "and so on " * 30 + f"It is 1 (499) 555-{i:04d} again." for i in range(1000, 1040)]
     model = pii.fit(texts)
