@@ -89,7 +89,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int]] = []  # open elements that are not inline, with the zone they stand for
     pieces: list[str] = []
     linked, in_link, zone, heading, at = 0, False, 2, False, 0
-    low = ""
+    low = page.lower()
+    low = low if len(low) == len(page) else page  # the places in both must agree
 
     def close_block() -> None:
         nonlocal pieces, linked
@@ -123,7 +124,6 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW and not closing:
             if m[3].endswith("/"):
                 continue
-            low = low or page.lower() if len(page.lower()) == length else page
             end = low.find(f"</{tag}", at)
             if end < 0 and tag != "head":
                 break
