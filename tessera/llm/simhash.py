@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import saved, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -124,8 +124,14 @@ def hexadecimal(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs less every document whose component has a smaller doc_id. Rows without a doc_id go if a named one is linked."""
-    found = near_components(docs.select("doc_id", "text")).where("not (doc_id <=> component_id)")
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs less every document whose component of similar texts has a smaller doc_id. Rows without a doc_id go if a named one is linked."""
+    from tessera.llm.near_sets import node_of, similar_components
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), node_of(text_of()).alias("node"))
+    roots = similar_components(docs.select("text"), shingle, similarity)
+    rows = rows.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(names, "root").where("not (doc_id <=> component_id)")
     gone = found.select(F.col("doc_id").alias("gone_id")).distinct().hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
