@@ -125,13 +125,27 @@ def hexadecimal(fp):
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs less every document whose component of similar texts has a smaller doc_id. Rows without a doc_id go if a named one is linked."""
+    """One row of each component of similar texts: that of least doc_id (nulls last) and, among its rows, of least row hash."""
     from tessera.llm.near_sets import node_of, similar_components
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), node_of(text_of()).alias("node"))
+    def row_of(docs: DataFrame):
+        fields = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        values = [docs[f"`{name}`"] for name in fields]
+        return F.xxhash64(*values, *[v.isNull() for v in values])
+
+    doc_id = docs["doc_id"].cast("bigint")
+    rows = docs.select(doc_id.alias("doc_id"), row_of(docs).alias("row"), node_of(text_of()).alias("node"))
     roots = similar_components(docs.select("text"), shingle, similarity)
-    rows = rows.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rows.join(names, "root").where("not (doc_id <=> component_id)")
-    gone = found.select(F.col("doc_id").alias("gone_id")).distinct().hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    rows = rows.groupBy("doc_id", "row", "node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
+    rows = rows.select("doc_id", "row", "n", F.coalesce("root", "node").alias("root"))
+    firsts = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+    ranked = rows.join(firsts, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row")))
+    ranked = saved(ranked.where("not first or n > 1").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "first"))
+    gone = ranked.drop("first").hint("shuffle_hash")
+    alone = docs.join(gone, doc_id.eqNullSafe(gone["gone_id"]) & (row_of(docs) == gone["gone_row"]), "left_anti")
+
+    # Of equal rows all went; one comes back.
+    equal = ranked.where("first").drop("first")
+    named = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), doc_id.alias("doc_id"), row_of(docs).alias("row"))
+    one = named.join(equal, named["doc_id"].eqNullSafe(equal["gone_id"]) & (named["row"] == equal["gone_row"]), "left_semi")
+    return alone.unionByName(one.dropDuplicates(["doc_id", "row"]).select("doc.*"))

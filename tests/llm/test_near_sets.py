@@ -64,3 +64,15 @@ def test_keep_one_against_brute_force(spark, edited, shingle, similarity):
         firsts.setdefault(g, i)
     kept = simhash.keep_one(docs.repartition(3), shingle=shingle, similarity=similarity)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(firsts.values())
+
+
+def test_keep_one_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    docs = spark.createDataFrame(
+        [(1, a, "x"), (None, a, "x"), (None, b, "x"), (2, c, "x"), (2, a, "x"), (3, d, "y"), (3, d, "x"), (3, d, None), (4, "e " * 9, "x"), (4, "e " * 9, "x"), (None, "f g", "x"), (None, "F g", "x"), (None, "h", None), (None, "h", None)],
+        "doc_id bigint, text string, lang string",
+    )
+    kept = [tuple(r) for r in simhash.keep_one(docs.repartition(3)).collect()]
+    by_text = sorted(((i or 0), t.lower()) for i, t, _ in kept)
+    assert by_text == sorted([(1, a), (0, b), (2, c), (3, d), (4, "e " * 9), (0, "f g"), (0, "h")])
+    assert set(kept) <= {tuple(r) for r in docs.collect()}
