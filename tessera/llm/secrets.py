@@ -3,7 +3,9 @@
 Base matches (assignments, access ids, hexadecimal runs) are found by fixed patterns. Beyond them, a string that stands in
 sensitive context is measured: the bytes that it adds to a zstandard frame whose dictionary is the code around it and the
 identifiers of the text (primed, so what the surroundings already say costs nearly nothing). A candidate that stays
-incompressible, at NOVEL of its length or more, and mixes letters with digits is reported as kind `novel`.
+incompressible, at NOVEL or more of what a random string of its alphabet and length adds there, and mixes letters with
+digits is reported as kind `novel`. Candidates are whole runs of any length, less what base matches cover. The body of a
+private key block is sensitive on all its lines; it is measured as one string and reported run by run.
 
 Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows give repeated rows; an empty table
 gives an empty result; a text of any length is searched whole, each candidate with the AROUND characters on both sides.
@@ -12,7 +14,11 @@ gives an empty result; a text of any length is searched whole, each candidate wi
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+from functools import lru_cache
+from itertools import islice
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,7 +34,14 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: What makes a context sensitive, and what a candidate looks like.
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|pwd|auth|bearer|credential|private|signature)[^\n]{0,40}$", re.I | re.A)
 HINTS = ("key", "secret", "token", "passw", "pwd", "auth", "bearer", "credential", "private", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+#: Where a block of a private key begins and ends, and the runs between.
+BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+END = re.compile(r"-----(?:BEGIN|END) ")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+APART = re.compile(r"""[^\s\\"',;]""")
+CLASSES = (string.digits, "abcdef", string.ascii_lowercase, "ABCDEF", string.ascii_uppercase)
 AROUND = 256
 NOVEL = 0.75
 #: Identifiers that any code may hold; they and the text's own prime the dictionary.
@@ -46,30 +59,87 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def marginal(candidate: bytes, before: bytes, after: bytes) -> int:
-    """Compressed bytes that the candidate adds to what is around it."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + after + before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def alphabet(token: str) -> str:
+    """All characters of the classes that the token draws on (a-f before a-z); other characters as they are."""
+    held, found = set(token), ""
+    for members in CLASSES:
+        if held & set(members) and not (members in ("abcdef", "ABCDEF") and held & set(CLASSES[CLASSES.index(members) + 1]) - set(members)):
+            found += "".join(c for c in members if c not in found)
+    return found + "".join(sorted(held - set(found)))
+
+
+@lru_cache(256)
+def random_string(letters: str, length: int) -> bytes:
+    return "".join(random.Random(f"{letters} {length}").choices(letters, k=length)).encode()
+
+
+def novel(token: str, before: str, after: str) -> bool:
+    """Does the token add about as many compressed bytes to what is around it as a random string would?"""
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + after.encode() + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(packer.compress(candidate)) - len(packer.compress(b""))
+    none = len(packer.compress(b""))
+    added = len(packer.compress(token.encode())) - none
+    return added >= NOVEL * len(token) or added >= NOVEL * (len(packer.compress(random_string(alphabet(token), len(token)))) - none)
+
+
+def mixes(token: str) -> bool:
+    return sum(c.isdigit() for c in token) >= 3 and sum(c.isalpha() for c in token) >= 4
+
+
+def less(s: int, e: int, base: list[tuple[int, int, int]], at: int = 0) -> list[tuple[int, int]]:
+    """What base matches, from the one at `at` on, leave of s-e."""
+    left = []
+    for b, _, c in islice(base, at, None):
+        if b >= e:
+            break
+        if c > s:
+            left.append((s, b))
+            s = c
+    return [(x, y) for x, y in [*left, (s, e)] if x < y]
+
+
+def key_bodies(text: str) -> list[list[tuple[int, int]]]:
+    """The runs of each private key's body: those of 16 characters and the short ones after the last of them.
+
+    A block that never ends has a body as long as only white space, quotes and the like lie between its runs.
+    """
+    bodies = []
+    for m in BEGIN.finditer(text):
+        stop, last, runs = END.search(text, m.end()), m.end(), []
+        for run in RUN.finditer(text, m.end(), stop.start() if stop else len(text)):
+            if not stop and (run.end() - run.start() < LEAST or APART.search(text, last, run.start())):
+                break
+            last = run.end()
+            runs.append(run.span())
+        long = [i for i, (s, e) in enumerate(runs) if e - s >= LEAST]
+        if long:
+            bodies.append([r for i, r in enumerate(runs) if r[1] - r[0] >= LEAST or i > long[-1]])
+    return bodies
 
 
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not any(h in low for h in HINTS):
         return []
-    found, at = [], 0
+    found, at, within = [], 0, set()
+    for runs in key_bodies(text) if "PRIVATE KEY" in text else []:
+        body, first, last = "".join(text[s:e] for s, e in runs), runs[0][0], runs[-1][1]
+        if mixes(body) and novel(body, text[max(0, first - AROUND) : first], text[last : last + AROUND]):
+            within.update(s for s, _ in runs)
+            found += [(x, 3, y) for s, e in runs for x, y in less(s, e, base)]
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         while at < len(base) and base[at][2] <= s:
             at += 1
-        if any(b[0] < e and b[2] > s for b in base[at : at + 4]):
+        if s in within:
             continue
         token = m[0]
-        if sum(c.isdigit() for c in token) < 3 or sum(c.isalpha() for c in token) < 4:
+        if not mixes(token) or not SENSITIVE.search(text[max(0, s - AROUND) : s]):
             continue
-        before = text[max(0, s - AROUND) : s]
-        if SENSITIVE.search(before) and marginal(token.encode(), before.encode(), text[e : e + AROUND].encode()) >= NOVEL * len(token):
-            found.append((s, 3, e))
-    return found
+        left = less(s, e, base, at)
+        rest = "".join(text[x:y] for x, y in left)
+        if len(rest) >= LEAST and mixes(rest) and novel(rest, text[max(0, s - AROUND) : s], text[e : e + AROUND]):
+            found += [(x, 3, y) for x, y in left]
+    return sorted(found)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
