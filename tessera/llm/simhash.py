@@ -1,11 +1,14 @@
 """SimHash near-dedup: fingerprints, multi-index hashing for all links, components.
 
-Fingerprints are made text by text in Arrow batches. Links (at most RADIUS = 2 differing bits) come from multi-index
-hashing: a fingerprint has SEGMENTS segments, and for each of them it is written to a table once for every value in the
-segment's Hamming ball of radius 1, keyed by the segment's value and the other segments. Two fingerprints link exactly if
-some table entry holds both: one differing bit each brings them together. An entry holds at most 65 distinct fingerprints
-whatever the data, so no group of copies makes one task large, and instead of all its pairs an entry gives a star to its
-smallest member, each checked by the complete distance. Exact copies are one fingerprint throughout.
+Fingerprints are made text by text in Arrow batches. Exact copies are one fingerprint throughout. Links (at most `radius`
+differing bits) come from multi-index hashing: a fingerprint is cut into `segments` segments and stands in one table per
+segment, under the segment's value. Two fingerprints within the radius have a segment in which they differ by
+radius // segments bits at most, so each fingerprint looks up its segments' Hamming balls of that radius, fetches what
+stands there, and the complete distance is verified.
+
+A table entry that holds more than DENSE fingerprints (near copies that share half their bits) is not fetched: its members
+and those that ask for it are written under all values within radius / 2 bits of the whole fingerprint: two within the radius
+meet there, and all that meet are within the radius, so a star stands for their pairs. Nothing is dropped.
 
 Defined cases: a null or empty text has the fingerprint zero and is linked like any other; a null doc_id is in a component
 but never names it (a component of such rows alone has a null id); repeated rows give repeated rows; an empty table gives
@@ -15,11 +18,12 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import saved, text_of
@@ -27,8 +31,10 @@ from tessera.llm.common import saved, text_of
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-SEGMENTS = 4
+SEGMENTS = 2
 BITS = 64
+#: Fingerprints of one table entry that are fetched at most; denser entries go the other way.
+DENSE = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -70,14 +76,38 @@ def _signed(bit: int) -> int:
     return (1 << bit) - (1 << 64 if bit == 63 else 0)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b (a > b): a star per table entry over the distinct fingerprints; together they connect what links connect."""
-    width = BITS // SEGMENTS
-    balls = [[F.col("fp").bitwiseXOR(F.lit(_signed(s * width + bit))) for bit in range(width)] for s in range(SEGMENTS)]
-    entries = fps.select("fp").distinct().select("fp", F.explode(F.array(F.col("fp"), *[v for ball in balls for v in ball])).alias("entry"))
-    met = entries.withColumn("b", F.min("fp").over(Window.partitionBy("entry"))).where(F.col("fp") != F.col("b"))
-    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= RADIUS)
-    return near.select(F.col("fp").alias("a"), "b").distinct()
+def _masks(bits: range, radius: int) -> list[int]:
+    """All ways to flip up to radius of the bits."""
+    return [sum(1 << b for b in flipped) for r in range(radius + 1) for flipped in combinations(bits, r)]
+
+
+def _flipped(column: Column, masks: list[int]) -> Column:
+    return F.array(*[column.bitwiseXOR(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])
+
+
+def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, dense: int = DENSE) -> DataFrame:
+    """a, b (a > b): fingerprints within radius bits of each other; from dense table entries stars that connect the same."""
+    if radius % 2:
+        raise ValueError("the radius is an even number of bits")
+    width = BITS // segments
+    spans = [range(i * width, BITS if i + 1 == segments else (i + 1) * width) for i in range(segments)]
+    distinct = saved(fps.select("fp").distinct())
+    wholes = [sum(1 << b for b in span) for span in spans]
+    kept = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in wholes]
+    table = distinct.select("fp", F.posexplode(F.array(*kept)).alias("segment", "value"))
+    asked = [F.struct(F.lit(i).alias("segment"), _flipped(kept[i], [m])[0].alias("value")) for i, span in enumerate(spans) for m in _masks(span, radius // segments)]
+    asked = distinct.select(F.col("fp").alias("a"), F.inline(F.array(*asked)))
+
+    crowded = saved(table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("segment", "value"))
+    entry = ["segment", "value"]
+    fetched = asked.join(table.join(crowded, entry, "left_anti").withColumnRenamed("fp", "b").hint("shuffle_hash"), entry)
+    near = fetched.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+
+    members = asked.join(crowded, entry, "left_semi").select(F.col("a").alias("fp")).distinct()
+    balls = members.select("fp", F.explode(_flipped(F.col("fp"), _masks(range(BITS), radius // 2))).alias("ball"))
+    met = balls.withColumn("b", F.min("fp").over(Window.partitionBy("ball"))).where(F.col("fp") != F.col("b"))
+    stars = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius).select(F.col("fp").alias("a"), "b")
+    return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Quality rules, line dedup, SimHash, decontamination against brute force, with odd and empty tables."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -94,12 +95,69 @@ def test_fingerprints(odd_documents, documents):
         assert Counter(map(tuple, simhash.fingerprints(docs).collect())) == Counter((i, fingerprint(t)) for i, t in source)
 
 
-def test_components_follow_all_links(spark):
-    chain = [0, 0b11, 0b1111, 0b111111, 1 << 63, (1 << 63) | 0b111, (1 << 40) - 1]
-    fps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in chain], "fp bigint")
-    found = {r.node: r.root for r in simhash.components(simhash.links(fps)).collect()}
-    assert len({found[x] for x in chain[:4]} | {found[-(1 << 63)]}) == 1
-    assert (1 << 40) - 1 not in found
+def all_pairs(fps, radius=2):
+    """fingerprint to the smallest one that links reach, by comparing all with all."""
+    fps, root = sorted(set(fps)), {}
+    for fp in fps:
+        if fp in root:
+            continue
+        root[fp], open_ = fp, [fp]
+        while open_:
+            x = open_.pop()
+            for y in fps:
+                if y not in root and ((x ^ y) & (2**64 - 1)).bit_count() <= radius:
+                    root[y] = fp
+                    open_.append(y)
+    return root
+
+
+def as_signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    """Fingerprints in chains and clouds, some of which share half their bits; 0 and the sign bit too."""
+    rng, out = random.Random(11), [0, 0b11, 0b1111, 0b111111, 1 << 63, (1 << 63) | 0b111, (1 << 40) - 1]
+    for _ in range(25):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 16)):
+            out.append(x)
+            for bit in rng.sample(range(64), rng.randint(1, 4)):
+                x ^= 1 << bit
+    high = rng.getrandbits(32) << 32
+    out += [high | rng.getrandbits(32) for _ in range(60)] + [high | 1 << i for i in range(32)]
+    return [as_signed(x) for x in out]
+
+
+@pytest.mark.parametrize(("segments", "dense"), [(2, 64), (2, 3), (4, 64), (3, 0)])
+def test_links_connect_what_all_pairs_connect(spark, clustered, segments, dense):
+    fps = spark.createDataFrame([(x,) for x in clustered], "fp bigint")
+    links = simhash.links(fps, segments=segments, dense=dense)
+    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in links.collect())
+    found = {r.node: r.root for r in simhash.components(links).collect()}
+    assert {x: found.get(x, x) for x in clustered} == all_pairs(clustered)
+
+
+def test_only_tables_of_segments_bring_links(spark, clustered):
+    """Every link is fetched from a segment's table: wider balls bring more of them, none brings none."""
+    fps = spark.createDataFrame([(x,) for x in clustered], "fp bigint")
+    at = {radius: simhash.links(fps, radius=radius, dense=10**6).count() for radius in (0, 2, 4)}
+    distinct = sorted(set(clustered))
+    pairs = [((x ^ y) & (2**64 - 1)).bit_count() for i, x in enumerate(distinct) for y in distinct[:i]]
+    assert at == {0: 0, 2: sum(d <= 2 for d in pairs), 4: sum(d <= 4 for d in pairs)}
+
+
+def test_components_of_documents_against_all_pairs(spark, documents, odd_documents):
+    docs = documents.select("doc_id", "text").unionByName(odd_documents.select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
+    rows = simhash.near_components(docs).collect()
+    roots = all_pairs([r.fp for r in rows])
+    least = {}
+    for r in rows:
+        if r.doc_id is not None:
+            least[roots[r.fp]] = min(least.get(roots[r.fp], r.doc_id), r.doc_id)
+    assert len(rows) == docs.count() and all(r.component_id == least.get(roots[r.fp]) for r in rows)
+    assert len(set(least.values())) < len({r.doc_id for r in rows})
 
 
 def test_components_of_a_long_path_and_a_star(spark):
