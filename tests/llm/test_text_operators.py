@@ -53,6 +53,30 @@ def test_quality_order_changes_no_verdict_and_columns_stay(odd_documents, docume
     assert {r.doc_id for r in quality_rules.filter_quality(documents, rules=quality_rules.RULES[::-1]).collect()} == base
 
 
+def test_cascade_stops_at_the_first_rule_that_rejects(spark):
+    """A rule that fails the job if it is ever evaluated on a text that an earlier rule rejects."""
+    docs = spark.createDataFrame([(1, "ab " * 30), (2, "x1 y2 z3"), (3, " ".join(f"word{i}" for i in range(40)))], "doc_id bigint, text string")
+    trap = quality_rules.Rule("trap", lambda m: F.when(m("n_words") * 0 + m("n_lines") > 0, F.when(m("n_words") < 20, F.raise_error(F.lit("looked at")).isNull()).otherwise(m("n_stutter") < 0)))
+    order = [*quality_rules.BASE, trap]
+    text = F.col("text")
+    asked = docs.select("doc_id", quality_rules.verdict(order, quality_rules.metrics(text, quality_rules.words_of(text)).__getitem__).alias("r"))
+    assert {r.doc_id: r.r for r in asked.collect()} == {1: "repeats", 2: "short", 3: None}
+    with pytest.raises(Exception, match="looked at"):
+        docs.select(quality_rules.verdict([trap], quality_rules.metrics(text, quality_rules.words_of(text)).__getitem__)).collect()
+    # score_quality computes the measures beyond the base only inside the cascade
+    plan = quality_rules.score_quality(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Z]+") == 1 and "CASE WHEN" in plan[: plan.index("[A-Z]+")]
+
+
+def test_order_is_by_rejection_per_cost(documents):
+    found = quality_rules.rule_order(documents)
+    rates = [share / seconds for _, share, seconds in found]
+    assert rates == sorted(rates, reverse=True) and {rule.name for rule, _, _ in found} == {rule.name for rule in quality_rules.RULES}
+    source = [r.text for r in documents.collect()]
+    shares = {rule.name: share for rule, share, _ in found}
+    assert shares["short"] == sum(measures(t)[0] < 20 for t in source) / len(source)
+
+
 def key(line):
     return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate(LOWER)
 
