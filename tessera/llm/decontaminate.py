@@ -4,14 +4,16 @@ A document leaks an item if one of its item-sized windows (as many words as the
 has a weighted-shingle similarity of SIMILARITY or more with it: over five-word shingles with their multiplicities, the sum
 of the smaller counts by the sum of the larger. Words are split at ASCII white space, A-Z lower-cased.
 
-1. Seeds. A window that similar holds at least SIMILARITY of the item's shingles, so only documents with that many hits of
-   an item are looked at, and only windows whose start lies between the alignments of two neighbouring hits (moving any
-   other window towards an alignment loses no hit): exact bounds, nothing is sampled.
-2. SimHash of each such window and each item.
-3. Multi-index Hamming blocks. RADIUS + 1 blocks: fingerprints within RADIUS bits agree in one of them at least; window and
-   item are joined on a block's value and kept within the complete radius. A similarity of 0.8 moves 10 bits on average
-   (deviation 3), RADIUS leaves five deviations above that.
-4. The exact similarity decides.
+1. Windows. Similar windows hold at least (total + size) SIMILARITY / (1 + SIMILARITY) shingles of the item, so a window of
+   the size of some items is a candidate if that many of its shingles are in the benchmark's table of (shingle, item size).
+   Which item it may be is not asked: a template that all items share costs a row per item size, not per item. Only
+   windows that begin at such a shingle (or end the document) are taken; any other shares no more with an item than the next
+   one that does.
+2. SimHash of each candidate window and each item.
+3. Multi-index Hamming blocks. Items stand in a table per block, under their size and the block's value. With RADIUS + 1
+   blocks, fingerprints within RADIUS bits agree in one block at least; each window fetches what stands under its blocks, and
+   pairs beyond the radius are dropped. A similarity of 0.8 moves 10 bits on average (deviation 3), RADIUS leaves five deviations above that.
+4. The exact similarity decides between what is fetched.
 
 Defined cases: a null or empty document has no leak; an item without words is never leaked; an item of under five words is
 one shingle; rows that repeat a doc_id give one result a doc_id and item; a null doc_id stays null; empty tables give an
@@ -73,7 +75,7 @@ def blocks(fp: Column, radius: int) -> Column:
     count, at, out = radius + 1, 0, []
     for block in range(count):
         width = BITS // count + (block < BITS % count)
-        out.append(F.struct(F.lit(block).alias("block"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")))
+        out.append(F.struct(F.lit(block).alias("block"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1)).alias("value")))
         at += width
     return F.array(*out)
 
@@ -87,62 +89,70 @@ def items_of(benchmark: DataFrame, shingle: int) -> DataFrame:
     ).withColumn("total", F.size("hashes"))
 
 
+def nothing_found(docs: DataFrame) -> DataFrame:
+    empty = "doc_id bigint, row bigint, item_id bigint, start_word int, n_words int, similarity double, distance int"
+    return docs.sparkSession.createDataFrame([], empty)
+
+
+def candidate_windows(docs: DataFrame, items: DataFrame, ks: list[int], small: bool, similarity: float) -> DataFrame:
+    """doc_id, row, k, total, start, window (its hashes): the windows that may be similar to an item of k and total."""
+    seeds = items.select("k", "total", F.explode("hashes").alias("h")).distinct()
+    seeds = F.broadcast(seeds) if small else seeds
+    rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    hits = [rows.select("doc_id", "row", F.posexplode(shingles(F.col("text"), k)).alias("pos", "h")).join(seeds.where(F.col("k") == k), "h") for k in ks]
+    hits = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "row", "k", "total").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # a document shorter than the item has `at` within its own length; the bound for its size is checked below
+    enough = saved(hits.where(F.size("at") >= F.col("total") * similarity - 1e-6))
+
+    wanted = enough.select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), "k", "total", "at").hint("shuffle_hash")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row")))
+    by_size = reduce(lambda c, k: c.when(F.col("k") == k, shingles(F.col("text"), k)), ks, F)
+    cut = texts.select("doc_id", "row", "k", "total", "at", by_size.alias("hashes")).dropDuplicates(["doc_id", "row", "k", "total"])
+    cut = cut.withColumn("size", F.least("total", F.size("hashes")))
+    cut = cut.withColumn("need", F.ceil((F.col("total") + F.col("size")) * similarity / (1 + similarity) - 1e-6).cast("int"))
+    # the window from the i-th hit (or from the last possible start) holds `need` hits if the hit need - 1 further on is within it
+    last = F.size("hashes") - F.col("size")
+    starts = F.transform("at", lambda x, i: F.when(F.get("at", F.greatest(i, i + F.col("need") - 1)) < F.least(x, last) + F.col("size"), F.least(x, last)))
+    ends = F.size(F.filter("at", lambda x: x >= last)) >= F.col("need")
+    starts = F.array_distinct(F.array_compact(F.concat(starts, F.array(F.when(ends, last)))))
+    cut = cut.select("doc_id", "row", "k", "total", "size", "hashes", F.explode(starts).alias("start"))
+    return cut.select("doc_id", "row", "k", "total", "start", F.expr("slice(hashes, start + 1, size)").alias("window"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, row, item_id, start_word, n_words, similarity, distance: the best window (the first of equals) of each leak."""
     items = saved(items_of(benchmark, shingle))
-    seeds = items.select("item", "total", "k", F.posexplode("hashes").alias("j", "h"))
     counted = items.groupBy("k").agg(F.sum("total").alias("n")).collect()  # a row for each k, at most `shingle`
-    if sum(r.n for r in counted) <= BROADCAST_SHINGLES:
-        seeds = F.broadcast(seeds)
-    own = docs.select("doc_id", text_of().alias("text"))
-    rows = own.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    found = []
-    for k in sorted(r.k for r in counted):
-        runs = rows.select("doc_id", "row", F.posexplode(shingles(F.col("text"), k)).alias("pos", "h"))
-        found.append(runs.join(seeds.where(F.col("k") == k), "h").select("doc_id", "row", "item", "total", "pos", (F.col("pos") - F.col("j")).alias("lag")))
-    if not found:
-        empty = "doc_id bigint, row bigint, item_id bigint, start_word int, n_words int, similarity double, distance int"
-        return docs.sparkSession.createDataFrame([], empty)
-    hits = reduce(DataFrame.unionByName, found).groupBy("doc_id", "row", "item", "total")
-    hits = hits.agg(F.size(F.collect_set("pos")).alias("n_pos"), F.array_sort(F.collect_set("lag")).alias("lags"))
-    near = saved(hits.where(F.col("n_pos") >= similarity * F.col("total")))
-
-    # the windows of each candidate pair
-    def starts(lags: Column) -> Column:
-        upto = lambda x, i: F.least(F.coalesce(F.get(lags, i + 1) - 1, x), x + 2 * F.col("total"))
-        return F.flatten(F.transform(lags, lambda x, i: F.sequence(x, F.greatest(x, upto(x, i)))))
-
-    named = near.join(F.broadcast(items) if sum(r.n for r in counted) <= BROADCAST_SHINGLES else items.hint("shuffle_hash"), ["item", "total"])
-    named = named.select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), "item", "item_id", "total", "n", "k", starts(F.col("lags")).alias("starts"))
-    texts = rows.join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row")))
-    by_size = reduce(lambda c, k: c.when(F.col("k") == k, shingles(F.col("text"), k)), sorted(r.k for r in counted), F)
-    cut = texts.select("doc_id", "row", "item", "item_id", "total", "n", "starts", by_size.alias("hashes")).dropDuplicates(["doc_id", "row", "item"])
-    clipped = F.array_distinct(F.transform("starts", lambda s: F.greatest(F.lit(0), F.least(s, F.size("hashes") - F.col("total")))))
-    cut = cut.select("doc_id", "row", "item", "item_id", "total", "n", F.explode(clipped).alias("start"), "hashes")
-    windows = saved(cut.select("doc_id", "row", "item", "item_id", "total", "n", "start", F.expr("slice(hashes, start + 1, total)").alias("window")))
-
-    # fingerprints within the radius, by blocks
-    keys = ["doc_id", "row", "item", "start"]
+    if not counted:
+        return nothing_found(docs)
+    small = sum(r.n for r in counted) <= BROADCAST_SHINGLES
+    windows = saved(candidate_windows(docs, items, sorted(r.k for r in counted), small, similarity))
+
+    # fingerprints within the radius, by blocks; a shared template that many items of one size hold is dealt out by AQE
+    keys = ["doc_id", "row", "k", "total", "start"]
+    entry = ["k", "total", "block", "value"]
     occurrences = windows.select(*keys, F.explode("window").alias("h"))
-    item_rows = items.select("item", F.explode("hashes").alias("h"))
-    prints = simhash(occurrences, keys).select(*keys, "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select(*keys, "fp", "b.*")
-    item_prints = simhash(item_rows, ["item"]).select("item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    item_prints = item_prints.select("item", "item_fp", "b.*")
-    near = prints.join(item_prints, ["item", "block", "value"]).select(*keys, F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"))
-    near = near.where(F.col("distance") <= radius).distinct()
-
-    # the exact similarity
-    counts = occurrences.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("c"))
-    item_counts = item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("item_c"))
-    shared = counts.join(item_counts, ["item", "h"]).groupBy(*keys).agg(F.sum(F.least("c", "item_c")).alias("shared"))
+    item_rows = items.select("item", "k", "total", F.explode("hashes").alias("h"))
+    prints = saved(simhash(occurrences, keys))
+    asked = prints.select(*keys, "fp", F.inline(blocks(F.col("fp"), radius)))
+    table = saved(simhash(item_rows, ["item", "k", "total"])).select("item", "k", "total", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
+    fetched = asked.join(table, entry).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = fetched.select(*keys, "item", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
+
+    # the exact similarity of what was fetched
     named = {key: f"s_{key}" for key in keys}
     met = [F.col(key).eqNullSafe(F.col(other)) if key == "doc_id" else F.col(key) == F.col(other) for key, other in named.items()]
     on = reduce(Column.__and__, met)
-    near = near.join(shared.withColumnsRenamed(named), on).select(*named.values(), "distance", "shared")
-    scored = windows.join(near, on).withColumn("similarity", F.col("shared") / (F.col("total") + F.size("window") - F.col("shared")))
-    best = F.max_by(F.struct("start", "n", "similarity", "distance"), F.struct("similarity", -F.col("start"))).alias("w")
-    kept = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "row", "item_id").agg(best)
-    return kept.select("doc_id", "row", "item_id", F.col("w.start").alias("start_word"), F.col("w.n").alias("n_words"), "w.similarity", "w.distance")
+    pairs = windows.join(near.withColumnsRenamed(named), on).select(*keys, "item", "distance", "window")
+    counts = pairs.select(*keys, "item", "distance", F.size("window").alias("size"), F.explode("window").alias("h"))
+    counts = counts.groupBy(*keys, "item", "distance", "size", "h").agg(F.count(F.lit(1)).alias("c"))
+    item_counts = item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("item_c"))
+    shared = counts.join(item_counts, ["item", "h"]).groupBy(*keys, "item", "distance", "size").agg(F.sum(F.least("c", "item_c")).alias("shared"))
+    scored = shared.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("size") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    best = F.max_by(F.struct("start", "similarity", "distance"), F.struct("similarity", -F.col("start"))).alias("w")
+    kept = scored.groupBy("doc_id", "row", "item").agg(best)
+    known = items.select("item", "item_id", F.col("n").cast("int").alias("n_words"))
+    return kept.join(F.broadcast(known) if small else known, "item").select("doc_id", "row", "item_id", F.col("w.start").alias("start_word"), "n_words", "w.similarity", "w.distance")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

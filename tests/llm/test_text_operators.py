@@ -234,6 +234,28 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_blocks_of_fingerprints_bring_the_leaks(spark):
+    """Edited items in documents: what the blocks fetch is what all windows give; a narrow radius loses the edited ones."""
+    rng = random.Random(21)
+    items = [" ".join(f"v{rng.randrange(400)}" for _ in range(n)) for n in (6, 12, 20, 20, 33, 50, 50) for _ in range(3)]
+    texts = []
+    for i in range(150):
+        copy = rng.choice(items).split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            copy[rng.randrange(len(copy))] = "edited"
+        fill = [f"v{rng.randrange(400)}" for _ in range(30)]
+        texts.append((i, " ".join(fill[: rng.randrange(30)] + copy + fill)))
+    shared = "the same question is asked of all in these very words again and again"
+    items += [f"{shared} {x}" for x in ("one", "two", "three")]
+    texts += [(1000 + i, f"{shared} four " * 2) for i in range(5)]
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    expected = {(i, j): round(best, 9) for i, t in texts for j, b in enumerate(items) if (best := similar(t, b)) >= 0.8}
+    found = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == expected and 0.8 <= min(found.values()) < 1
+    assert {k for k, v in expected.items() if v == 1} <= (exact := {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, radius=0).collect()}) < set(expected)
+    assert {expected[k] for k in exact} != set(expected.values())
+
+
 def test_clashing_columns_stay(spark, odd_documents):
     clash = odd_documents.withColumns({c: F.lit("x") for c in ("gone_id", "gone_row", "d_id", "drops", "_words", "component_id", "in_0")})
     bench = spark.createDataFrame([(0, "same row same row same row"), (1, "nothing of this")], "item_id bigint, text string")
