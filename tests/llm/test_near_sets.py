@@ -76,3 +76,24 @@ def test_keep_one_by_row(spark):
     by_text = sorted(((i or 0), t.lower()) for i, t, _ in kept)
     assert by_text == sorted([(1, a), (0, b), (2, c), (3, d), (4, "e " * 9), (0, "f g"), (0, "h")])
     assert set(kept) <= {tuple(r) for r in docs.collect()}
+
+
+def test_a_large_group_of_copies_far_from_each_other(spark):
+    """Copies of one text with a few words changed: linked through the text, or not at all; without it by shared changes."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3])):
+            copy[at] = f"own{i}"
+        texts.append(" ".join(copy))
+        if i % 10 == 0:
+            texts.append(" ".join([*copy[:-1], "last"]))
+    for some in (texts, texts[1:]):
+        docs = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")
+        firsts = {}
+        for i, g in enumerate(groups(some)):
+            firsts.setdefault(g, i)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs.repartition(3)).collect()) == sorted(firsts.values())
+        assert 10 < len(firsts) < len(some)
