@@ -2,27 +2,35 @@
 
 Candidates are the base matches (e-mail, IP address, payment card, phone: fixed patterns) and wider ones: digit groups
 without the mark that the base asks for, and addresses that are spelled out. A document's candidates are the field's
-nodes, their labels O, email, ip, card or phone; a base match has its label given. Unary potentials come from features of
-the candidate and the words before it, transition potentials from neighbours in the text (chain), and distant candidates
-that repeat the same digits or address, or the same last seven digits, are joined by skip edges that favour one label.
-Loopy sum-product passes messages until all candidates of the document have a belief; a free candidate with a belief of
-THRESHOLD or more in a label becomes a span. Base spans always stay.
-
-The weights are fitted on a bounded sample (FIT_ROWS rows) in which base matches teach the labels; the features leave out
-the marks that define a base match, so that a repeat without its mark is judged by the rest.
+nodes, their labels O, email, ip, card or phone; a base match has its label given, and no candidate can have a label whose
+rules it breaks (a card passes Luhn, an IP address has parts up to 255, a phone 7 to 15 digits, an e-mail an at sign). Unary
+potentials come from features of the candidate and the words before it, transition potentials from neighbours in the text
+(chain). Distant candidates that repeat the same digits or address, or the same last seven digits, are joined by skip edges,
+to the one before and to the first base match of the key (or the first candidate): an edge favours equal labels, O as well as
+others, so a repeat passes on what is known of it and makes no entity of nothing. Loopy sum-product passes messages until
+the beliefs stand still; a free candidate with a belief of THRESHOLD or more in a label becomes a span. Base spans always stay.
+
+All weights (features, chain, the skip edges' two) are fitted together by the pseudo-likelihood of the labels: each node's
+label given its neighbours' labels. What that needs of a node, its situation, is one of a bounded number of small tuples; the
+tasks count the situations over all documents, and only the counts come to the driver. Base matches teach the labels, others
+count as O with weight UNLABELLED, but those that repeat a base match are unknown and left out. The skip edges' weights have a
+Gaussian prior round PRIOR, which decides where documents hold no repeats of known label. The features leave out the marks that define a base match, so that a repeat without its
+mark is judged by the rest.
 
 Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows give repeated rows; an empty
-table gives an empty result. A text's memory grows with its candidates alone; skip edges join a candidate to the one before
-it of the same key, so they grow as the candidates do.
+table gives an empty result; equal beliefs go to the label that is named first. A text's memory grows with its candidates
+alone; each has at most three edges back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +48,18 @@ DIGITS = re.compile(r"\(?[0-9][0-9().\x20-]{5,28}[0-9]")
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,64}){1,5}", re.I | re.A)
 ANY = re.compile(r"[0-9@\[(]")
 LABELS = ("O", *KINDS)
-FIT_ROWS = 4000
 #: What a candidate without a base match weighs in the fit: it is unlabelled rather than O.
 UNLABELLED = 0.2
 THRESHOLD = 0.8
-#: Log potentials of two joined candidates with one label: repeats of the same key, and of its last seven digits.
-SAME, SIMILAR = 6.0, 3.0
 WORDS_BEFORE = {"tel": 0, "phone": 0, "call": 0, "mobile": 0, "fax": 0, "mail": 1, "email": 1, "contact": 1, "ip": 2, "host": 2, "server": 2, "card": 3, "visa": 3, "pay": 3}
 N_FEATURES = 16
+#: Skip edges: repeats of the same key, and of its last seven digits. Chain edges are of kind 0.
+CHAIN, SAME, SIMILAR = 0, 1, 2
+#: Message passing ends when no message changes by more than this, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-4, 400
+#: Gradient steps of the fit, and its ridge penalty.
+STEPS, RIDGE = 400, 1e-3
+PRIOR = (4.0, 2.0)
 
 
 def luhn(digits: str) -> bool:
@@ -137,26 +149,46 @@ def features(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def allowed(span: str) -> np.ndarray:
+    """Which labels the candidate may have."""
+    digits = digits_of(span)
+    parts = span.split(".")
+    return np.array(
+        [
+            True,
+            "@" in span or re.search(r"[\[(]at[\])]", span, re.I) is not None,
+            len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+            12 <= len(digits) <= 19 and luhn(digits) and "." not in span,
+            7 <= len(digits) <= 15 and not any(c.isalpha() for c in span),
+        ]
+    )
+
+
 def edges_of(text: str, nodes: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes and the log potential of an equal label other than O (chain edges have none: their own table)."""
-    pairs, weights, by_key, by_tail = [], [], {}, {}
-    for i, (s, _, e) in enumerate(nodes):
+    """Pairs of nodes and the kind of their edge. A repeat is joined to the one before and to its key's first base match or first node."""
+    pairs, kinds, heads, before = [], [], {}, {}
+    keys = [key_of(text[s:e]) for s, _, e in nodes]
+    names = [[(SAME, key), (SIMILAR, key[-7:])] if key.isdigit() else [(SAME, key)] for key in keys]
+    for i, (_, label, _) in enumerate(nodes):
+        for name in names[i]:
+            if name not in heads or (label > 0 and nodes[heads[name]][1] <= 0):
+                heads[name] = i
+    for i, (s, _, _) in enumerate(nodes):
         if i and s - nodes[i - 1][2] <= 80:
             pairs.append((i - 1, i))
-            weights.append(0.0)
-        key = key_of(text[s:e])
-        tail = key[-7:] if key.isdigit() else key
-        if key in by_key:
-            pairs.append((by_key[key], i))
-            weights.append(SAME)
-        elif tail in by_tail:
-            pairs.append((by_tail[tail], i))
-            weights.append(SIMILAR)
-        by_key[key] = by_tail[tail] = i
-    return np.array(pairs, np.int64).reshape(-1, 2), np.array(weights)
-
-
-def beliefs(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: int = 12) -> np.ndarray:
+            kinds.append(CHAIN)
+        joined = set()
+        for name in names[i]:
+            for j in (before.get(name), heads[name]):
+                if j is not None and j != i and j not in joined and not (name[0] == SIMILAR and keys[i] == keys[j]):
+                    joined.add(j)
+                    pairs.append((j, i))
+                    kinds.append(name[0])
+            before[name] = i
+    return np.array(pairs, np.int64).reshape(-1, 2), np.array(kinds, np.int64)
+
+
+def beliefs(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Loopy sum-product. unary: nodes x labels, log; tables: edges x labels x labels, log. Gives the nodes' marginals."""
     count, labels = unary.shape
     if len(pairs):
@@ -170,7 +202,10 @@ def beliefs(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: in
             rest = gathered[ends[:, 0]] - sent[back]
             new = np.logaddexp.reduce(rest[:, :, None] + log, axis=1)
             new -= new.max(axis=1, keepdims=True)
+            change = np.abs(new - sent).max()
             sent = 0.5 * sent + 0.5 * new
+            if change < TOLERANCE:
+                break
         unary = unary.copy()
         np.add.at(unary, ends[:, 1], sent)
     unary = unary - unary.max(axis=1, keepdims=True)
@@ -179,10 +214,10 @@ def beliefs(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: in
 
 
 class Model:
-    """Weights of the unary features (features x labels) and log potentials of neighbouring labels."""
+    """Weights of the unary features (features x labels), log potentials of neighbouring labels, and of equal ones across skip edges."""
 
-    def __init__(self, weights: np.ndarray, chain: np.ndarray):
-        self.weights, self.chain = weights, chain
+    def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+        self.weights, self.chain, self.skip = weights, chain, skip
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the spans that the field adds."""
@@ -190,50 +225,122 @@ class Model:
         if all(label >= 0 for _, label, _ in nodes):
             return []
         unary = np.array([features(text, s, e) for s, _, e in nodes]) @ self.weights
-        for i, (_, label, _) in enumerate(nodes):
-            if label >= 0:
-                unary[i] = -30.0
-                unary[i, label] = 0.0
-        pairs, weights = edges_of(text, nodes)
-        same = np.eye(len(LABELS))
-        same[0, 0] = 0.0
-        tables = np.where((weights > 0)[:, None, None], weights[:, None, None] * same, self.chain)
+        for i, (s, label, e) in enumerate(nodes):
+            may = np.arange(len(LABELS)) == label if label >= 0 else allowed(text[s:e])
+            unary[i, ~may] = -50.0
+        pairs, kinds = edges_of(text, nodes)
+        tables = np.stack([self.chain, *(w * np.eye(len(LABELS)) for w in self.skip)])[kinds]
         found = beliefs(unary, pairs, tables)
         best = found.argmax(axis=1)
         return [(s, int(best[i]) - 1, e) for i, (s, label, e) in enumerate(nodes) if label < 0 and best[i] and found[i, best[i]] >= THRESHOLD]
 
 
-def fit(texts: Iterator[str]) -> Model:
-    """Ridge-penalised multinomial weights by gradient steps; transitions by smoothed counts of neighbouring labels."""
-    rows, labels, chain = [], [], np.ones((len(LABELS), len(LABELS)))
-    for text in texts:
-        nodes = candidates(text, base_spans(text))
-        own = [max(0, label) for _, label, _ in nodes]
-        rows += [features(text, s, e) for s, _, e in nodes]
-        labels += own
-        for a, b in zip(own, own[1:], strict=False):
-            chain[a, b] += 1
-    weights = np.zeros((N_FEATURES, len(LABELS)))
-    if rows:
-        x, y = np.array(rows), np.eye(len(LABELS))[labels]
-        trust = np.where(y[:, :1] > 0, UNLABELLED, 1.0)
-        for _ in range(300):
-            score = x @ weights
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            weights -= 0.5 * (x.T @ ((p - y) * trust) / len(x) + 0.01 * weights)
-    joint = chain / chain.sum()
-    return Model(weights, 0.3 * np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))))
+#: A situation: features as bits, label, what may be, labels of the neighbours in the text (-1: none), and for both kinds of
+#: skip edges the numbers of neighbours of each label, 2 at most.
+def situations(text: str) -> list[tuple]:
+    nodes = candidates(text, base_spans(text))
+    pairs, kinds = edges_of(text, nodes)
+    labels = [max(0, label) for _, label, _ in nodes]
+    unknown = [False] * len(nodes)
+    for (i, j), kind in zip(pairs.tolist(), kinds.tolist(), strict=True):
+        if kind != CHAIN:
+            unknown[i] |= nodes[i][1] < 0 < nodes[j][1]
+            unknown[j] |= nodes[j][1] < 0 < nodes[i][1]
+    before, after = [-1] * len(nodes), [-1] * len(nodes)
+    skips = np.zeros((len(nodes), 2, len(LABELS)), np.int64)
+    for (i, j), kind in zip(pairs.tolist(), kinds.tolist(), strict=True):
+        for one, other, side in ((i, j, after), (j, i, before)):
+            if unknown[other]:
+                continue
+            if kind == CHAIN:
+                side[one] = labels[other]
+            else:
+                skips[one, kind - 1, labels[other]] += 1
+    bits = 1 << np.arange(N_FEATURES)
+    powers = 3 ** np.arange(2 * len(LABELS))
+    out = []
+    for i, (s, label, e) in enumerate(nodes):
+        if unknown[i]:
+            continue
+        may = allowed(text[s:e]) | (np.arange(len(LABELS)) == label)
+        feature_bits, may_bits = int(features(text, s, e) @ bits), int(may @ bits[: len(LABELS)])
+        out.append((feature_bits, may_bits, labels[i], before[i], after[i], int(np.minimum(skips[i], 2).ravel() @ powers)))
+    return out
+
+
+def pseudo_likelihood(rows: np.ndarray, counts: np.ndarray) -> tuple[Callable, int]:
+    """A function from parameters to (minus log pseudo-likelihood a node, gradient), and the number of parameters."""
+    size = len(LABELS)
+    x = (rows[:, :1] >> np.arange(N_FEATURES) & 1).astype(float)
+    may = (rows[:, 1:2] >> np.arange(size) & 1).astype(bool)
+    label, before, after = rows[:, 2], rows[:, 3], rows[:, 4]
+    skips = (rows[:, 5:6] // 3 ** np.arange(2 * size) % 3).astype(float).reshape(-1, 2, size)
+    trust = np.where(label == 0, UNLABELLED, 1.0) * counts
+    trust = trust / max(1.0, trust.sum())
+    y = np.eye(size)[label]
+    left, right = np.eye(size)[before] * (before >= 0)[:, None], np.eye(size)[after] * (after >= 0)[:, None]
+    n_unary, n_chain = N_FEATURES * size, size * size
+    prior = np.concatenate([np.zeros(n_unary + n_chain), PRIOR])
+
+    def parts(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return theta[:n_unary].reshape(N_FEATURES, size), theta[n_unary : n_unary + n_chain].reshape(size, size), theta[n_unary + n_chain :]
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, chain, skip = parts(theta)
+        score = x @ weights + left @ chain + right @ chain.T + skips[:, 0] * skip[0] + skips[:, 1] * skip[1]
+        score = np.where(may, score, -50.0)
+        score = score - score.max(axis=1, keepdims=True)
+        log = score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+        off = (np.exp(log) - y) * trust[:, None]
+        off = np.where(may, off, 0.0)
+        own = [x.T @ off, left.T @ off + off.T @ right, np.array([(skips[:, k] * off).sum() for k in range(2)])]
+        value = -(trust[:, None] * y * log).sum() + 0.5 * RIDGE * (theta - prior) @ (theta - prior)
+        return value, np.concatenate([g.ravel() for g in own]) + RIDGE * (theta - prior)
+
+    loss.parts, loss.prior = parts, prior
+    return loss, n_unary + n_chain + 2
+
+
+def fit(counted: dict[tuple, int]) -> Model:
+    """Adaptive gradient steps on the pseudo-likelihood of counted situations, in their sorted order."""
+    keys = sorted(counted)
+    rows, counts = np.array(keys, np.int64).reshape(-1, 6), np.array([counted[k] for k in keys], float)
+    loss, size = pseudo_likelihood(rows, counts)
+    theta, squares = loss.prior.copy(), np.full(size, 1e-8)
+    for _ in range(STEPS):
+        _, slope = loss(theta)
+        squares += slope * slope
+        theta -= 0.3 * slope / np.sqrt(squares)
+    weights, chain, skip = loss.parts(theta)
+    return Model(weights, chain, np.maximum(skip, 0.0))
+
+
+def counted_situations(docs: DataFrame) -> dict[tuple, int]:
+    """How often each situation occurs in all documents. At most one row a situation comes to the driver."""
+    names = ["features", "may", "label", "before", "after", "skips"]
+    schema = ", ".join(f"{n} bigint" for n in names)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in it:
+            for text in batch.column(0).to_pylist():
+                if ANY.search(text):
+                    counts.update(situations(text))
+        rows = [(*key, n) for key, n in counts.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[*names, "n"])
+
+    parts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(batches, f"{schema}, n bigint")
+    return {tuple(r)[:-1]: r[-1] for r in parts.groupBy(*names).agg(F.sum("n").alias("n")).collect()}
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def find_pii(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (base and added)."""
-    sample = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]")).limit(fit_rows)
-    model = fit(row.text for row in sample.collect())  # at most fit_rows rows, a parameter
+    model = fit(counted_situations(docs))
 
     def per_text(text: str) -> tuple:
         if not ANY.search(text):

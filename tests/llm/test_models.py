@@ -1,6 +1,7 @@
 """HTML, suffix dedup, quality model, PII, BPE, secrets: brute force, exact round trips, held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -120,7 +121,7 @@ def test_pii_base_equals_the_plain_patterns_and_stays_linear():
 
 def test_pii_consistency_along_skip_edges(spark):
     texts = [f"Call +1 (499) 555-{i:04d} now. " + "and so on " * 30 + f"It is 1 (499) 555-{i:04d} again." for i in range(1000, 1040)]
-    model = pii.fit(texts)
+    model = pii.fit(Counter(x for t in texts for x in pii.situations(t)))
     text = texts[0]
     added = model.added(text, pii.base_spans(text))
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in added] == [("phone", "1 (499) 555-1000")]
@@ -132,6 +133,72 @@ def test_pii_consistency_along_skip_edges(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def enumerated(unary, pairs, tables):
+    """Marginals by adding up all labellings."""
+    count, labels = unary.shape
+    total = np.zeros((count, labels))
+    for y in itertools.product(range(labels), repeat=count):
+        weight = np.exp(sum(unary[i, y[i]] for i in range(count)) + sum(t[y[a], y[b]] for (a, b), t in zip(pairs, tables, strict=True)))
+        total[range(count), y] += weight
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_beliefs_against_all_labellings():
+    rng = np.random.default_rng(4)
+    for count in (1, 2, 4, 5):
+        tree = np.array([(rng.integers(0, i), i) for i in range(1, count)], np.int64).reshape(-1, 2)
+        unary, tables = rng.normal(0, 1.5, (count, 4)), rng.normal(0, 1, (len(tree), 4, 4))
+        assert np.allclose(pii.beliefs(unary, tree, tables), enumerated(unary, tree, tables), atol=1e-3)
+    loop = np.array([(0, 1), (1, 2), (2, 3), (0, 3), (0, 2)])
+    for _ in range(5):  # with loops an approximation: close for the attraction that skip edges have
+        unary, tables = rng.normal(0, 1.5, (4, 3)), np.repeat(0.7 * np.eye(3)[None], 5, axis=0)
+        assert np.abs(pii.beliefs(unary, loop, tables) - enumerated(unary, loop, tables)).max() < 0.08
+
+
+def test_gradient_of_the_pseudo_likelihood():
+    rng = np.random.default_rng(2)
+    label = rng.integers(0, 5, 30)
+    rows = np.column_stack([rng.integers(0, 2**16, 30), rng.integers(0, 32, 30) | 1 << label, label, rng.integers(-1, 5, 30), rng.integers(-1, 5, 30), rng.integers(0, 3**10, 30)])
+    loss, size = pii.pseudo_likelihood(rows, rng.integers(1, 9, 30).astype(float))
+    theta = rng.normal(0, 0.3, size)
+    slope = loss(theta)[1]
+    for i in rng.choice(size, 25, replace=False):
+        step = np.zeros(size)
+        step[i] = 1e-5
+        assert abs((loss(theta + step)[0] - loss(theta - step)[0]) / 2e-5 - slope[i]) < 1e-6
+
+
+def test_repeats_alone_make_no_entity_and_evidence_reaches_all_repeats():
+    texts = [f"Call +1 (499) 555-{i:04d} now. It is 1 (499) 555-{i:04d} again. Part 40000000{i:04d}3 and 40000000{i:04d}3." for i in range(1000, 1080)]
+    model = pii.fit(Counter(x for t in texts for x in pii.situations(t)))
+    lone = "Part 4000000010993 in. " * 40  # repeats, no base match
+    assert not pii.luhn("4000000010993") and model.added(lone, pii.base_spans(lone)) == []
+    many = "Call +1 (499) 555-1000 now. " + ("and so on " * 12 + "It is 1 (499) 555-1000 again. ") * 60
+    added = model.added(many, pii.base_spans(many))
+    assert len(added) == 60 and {k for _, k, _ in added} == {3}
+    # candidates without evidence of their own: the skip edges alone carry the base match's label to all of them, or nothing does
+    for skip, expected in (((4.0, 2.0), 60), ((0.0, 0.0), 0)):
+        bare = pii.Model(np.zeros_like(model.weights), np.zeros_like(model.chain), np.array(skip))
+        assert len(bare.added(many, pii.base_spans(many))) == expected
+
+
+def test_pii_ties_and_very_long_texts():
+    model = pii.fit(Counter())
+    assert pii.situations("") == [] and model.added("no numbers", []) == []
+    text = "see 555-1234567 or " * 20_000
+    assert model.added(text, pii.base_spans(text)) == []  # all labels equally likely: O
+
+
+def test_added_cards_pass_luhn(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.find_pii(docs).collect():
+        base = {(k, s, e) for s, k, e in pii.base_spans(texts[r.doc_id] or "")}
+        for kind, s, e in (x.split(":") for x in r.spans.split(",") if x):
+            if kind == "card" and (2, int(s), int(e)) not in base:
+                assert pii.luhn(pii.digits_of(texts[r.doc_id][int(s) : int(e)]))
+
+
 def test_clean_documents_get_no_added_spans(documents):
     found = pii.find_pii(documents).collect()
     base = sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in found)
