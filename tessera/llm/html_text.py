@@ -1,10 +1,12 @@
 """Main text of web pages by two passes over their blocks.
 
-Pass one classifies each block by stop-word density, length and link density, and by where it stands: inside navigation,
-forms, notices, adverts, comments and the like it is boilerplate whatever it says; inside the page's article a long block,
-or one with stop words, is text. Short blocks without a decision are ambiguous. Pass two gives an ambiguous block the label
-of its nearest decided neighbour within the article (or, on pages without one, within the page); of two equally near ones
-that differ, the following decides for a heading, and otherwise text wins only if both sides say so.
+Pass one classifies each block by stop-word density, length and link density. Where it stands decides first only for what
+prose can't show: navigation, forms, notices, adverts, comments are boilerplate whatever they say. Names alone don't decide
+about wrappers: an article or main element inside a form or an element with a boilerplate name is the page's article unless
+the page has text in one that stands free. Short blocks without a decision are ambiguous. Pass two gives an ambiguous
+block the label of its nearest decided neighbour. Outside articles text wins a tie only for a heading that it follows.
+Inside, boilerplate (a list of links, say) passes its label on to a block that stands between two of them, or that has links itself
+and is nearer to it than to text.
 
 Defined cases: null or empty html gives an empty text; broken markup (unclosed, misnested or cut tags) is read as browsers
 do for the tags that matter here; a null page_id or url stays null; repeated rows give repeated rows; an empty table gives
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_texts
 
 #: Fixed values. Tags whose content is never text.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "math", "head", "select", "textarea", "button", "video", "audio", "map", "datalist")
+RAW = ("script", "style", "title", "noscript", "template", "iframe", "svg", "canvas", "select", "textarea", "button", "video", "audio", "datalist")
+#: Those that swallow the page if nothing closes them; the others end at the next block or at another of their kind.
+SWALLOWING = frozenset("script style title textarea".split())
 #: Tags that end a block.
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -35,6 +39,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar rail widget widgets nav navbar navigation menu breadcrumb breadcrumbs masthead footer comment comments commentlist disqus reply replies respond responses related recommended recommendations share sharing social pagination pager login search form hidden toolbar skip".split()
 )
+#: Marks that also name a topic: joined to a word that is not a part of pages ("related-work"), they mark nothing.
+TOPICS = frozenset("related recommended share sharing social promotion promo reply replies respond responses search hidden nav navigation menu banner alert form login sidebar rail widget widgets".split())
+PAGE_WORDS = frozenset("posts post articles article links link list box container wrapper wrap section block area inner outer content item items text title body message msg top bottom left right main site page global primary secondary mobile desktop bar stories story news more group panel module icons buttons button header icon row col column".split())
+READERS = frozenset("comment comments commentlist disqus reply replies respond responses".split())
+#: Words that say what a wrapper has or lacks, not what it is.
+STATES = frozenset("has no with without is not".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param keygen".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,13 +62,16 @@ PARTS = re.compile(r"[a-z]+")
 #: Pass one: least characters of a long block, stop-word shares, greatest share of characters in links.
 LONG, MANY_STOPS, SOME_STOPS, LINKS = 140, 0.30, 0.12, 0.5
 TEXT, AWAY_LABEL, OPEN = 1, 0, -1
+#: The end of each raw element, or another of the kind; the next block.
+END = {tag: re.compile(rf"</{tag}(?:\s[^>]*)?>" + ("" if tag in SWALLOWING else rf"|<{tag}[\s/>]"), re.I) for tag in RAW}
+AFTER = re.compile(r"</?(?:" + "|".join(sorted(BLOCK - {"option"})) + r")[\s/>]", re.I)
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    zone: int  # 0 boilerplate, 1 article, 2 neither
+    zone: int  # 0 boilerplate, 1 article, 2 neither, 3 an article inside boilerplate
     heading: bool
 
 
@@ -79,8 +92,25 @@ def marked(tag: str, raw: str, inside_article: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", own.get("class", "") + " " + own.get("id", "")).lower()
-    return not MARKS.isdisjoint(PARTS.findall(names))
+    return any(map(name_marks, (own.get("class", "") + " " + own.get("id", "")).split()))
+
+
+def closed_for_good(tag: str, raw: str) -> bool:
+    """Can no article inside this boilerplate element be the page's? Forms and named wrappers may hold it."""
+    if tag in AWAY - {"form"}:
+        return True
+    own = attributes(raw)
+    names = PARTS.findall((own.get("class", "") + " " + own.get("id", "")).lower())
+    hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "style" in own and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own["style"], re.I)
+    return bool(hidden) or own.get("role", "").lower() in ROLES - {"form"} or not READERS.isdisjoint(names)
+
+
+def name_marks(name: str) -> bool:
+    parts = PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    held = [p for p in parts if p in MARKS]
+    if not held or parts[0] in STATES:
+        return False
+    return not TOPICS.issuperset(held) or all(p in MARKS or p in PAGE_WORDS or len(p) < 3 for p in parts)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -89,8 +119,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int]] = []  # open elements that are not inline, with the zone they stand for
     pieces: list[str] = []
     linked, in_link, zone, heading, at = 0, False, 2, False, 0
-    low = page.lower()
-    low = low if len(low) == len(page) else page  # the places in both must agree
+    shut = 0  # depth of the innermost open element in which no article can be the page's
 
     def close_block() -> None:
         nonlocal pieces, linked
@@ -124,12 +153,14 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW and not closing:
             if m[3].endswith("/"):
                 continue
-            end = low.find(f"</{tag}", at)
-            if end < 0 and tag != "head":
+            end = END[tag].search(page, at)
+            if tag not in SWALLOWING and (end is None or end[0][1] != "/"):  # not closed
+                end = AFTER.search(page, at)
+                at = end.start() if end else length
+            elif end is None:
                 break
-            if end >= 0:
-                close = page.find(">", end)
-                at = close + 1 if close >= 0 else length
+            else:
+                at = end.end()
             continue
         if tag == "a":
             in_link = not closing
@@ -160,11 +191,18 @@ def blocks_of(page: str) -> list[Block]:
             if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 zone = stack.pop()[1]
             stack.append((tag, zone))
-            if zone and marked(tag, m[3], zone == 1):
-                zone, in_link = 0, False
-            elif zone and (tag in ("article", "main") or 'role="main"' in m[3]):
-                zone = 1
+            main = tag in ("article", "main") or attributes(m[3]).get("role", "").lower() == "main"
+            if marked(tag, m[3], zone in (1, 3)):
+                zone, in_link, shut = 0, False, max(shut, len(stack)) if closed_for_good(tag, m[3]) else shut
+            elif main:
+                zone = 1 if zone in (1, 2) else 3 if not shut else zone
+        if shut > len(stack):
+            shut = 0
     close_block()
+    free = any(b.zone == 1 and first_pass(b) == TEXT for b in out)
+    for block in out:
+        if block.zone == 3:
+            block.zone = 0 if free else 1
     return out
 
 
@@ -182,14 +220,14 @@ def first_pass(block: Block) -> int:
 
 
 def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
-    """Open blocks take the label of the nearest decided one; inside an article only its blocks that aren't boilerplate count."""
+    """Open blocks take the label of the nearest decided one; an article's blocks look at the article's only."""
     count, out = len(blocks), list(labels)
     has_article = any(b.zone == 1 for b in blocks)
 
     def nearest(order: range, article: bool) -> list[tuple[int, int] | None]:
         found, last, seen = [None] * count, None, 0
         for seen, i in enumerate(order):
-            if labels[i] != OPEN and (not article or (blocks[i].zone == 1 and labels[i] == TEXT)):
+            if labels[i] != OPEN and (not article or blocks[i].zone == 1):
                 last = (seen, labels[i])
             found[i] = (seen - last[0], last[1]) if last else None
         return found
@@ -198,18 +236,22 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
     for i, label in enumerate(labels):
         if label != OPEN:
             continue
-        if has_article and blocks[i].zone != 1:
-            out[i] = AWAY_LABEL  # outside the article, short and undecided
+        within = blocks[i].zone == 1
+        before, after = sides[within][0][i], sides[within][1][i]
+        if within:
+            known = [x for x in (before, after) if x]
+            texts, others = [d for d, x in known if x == TEXT], [d for d, x in known if x != TEXT]
+            away = len(others) == 2 or (blocks[i].linked > 0 and others and min(others) < min(texts, default=count + 1))
+            out[i] = AWAY_LABEL if away else TEXT
             continue
-        before, after = sides[blocks[i].zone == 1][0][i], sides[blocks[i].zone == 1][1][i]
-        if blocks[i].zone != 1:  # the page's ends count as boilerplate
-            before, after = before or (i + 1, AWAY_LABEL), after or (count - i, AWAY_LABEL)
-        if before and after and before[0] == after[0]:
+        # outside, the page's ends count as boilerplate, and so does the edge of an article for what stands outside it
+        before, after = before or (i + 1, AWAY_LABEL), after or (count - i, AWAY_LABEL)
+        if has_article:
+            out[i] = AWAY_LABEL
+        elif before[0] == after[0]:
             out[i] = after[1] if blocks[i].heading else min(before[1], after[1])
-        elif before or after:
-            out[i] = min((x for x in (before, after) if x), key=lambda x: x[0])[1]
         else:
-            out[i] = TEXT if blocks[i].zone == 1 else AWAY_LABEL
+            out[i] = min(before, after, key=lambda x: x[0])[1]
     return out
 
 

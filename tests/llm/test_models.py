@@ -36,6 +36,64 @@ def test_main_text(page, expected):
     assert html_text.main_text(page or "") == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<div class='layout has-sidebar'><article><p>{PROSE}</p></article></div>", PROSE),
+        (f"<div class='no-share hidden-nav'><main><p>{PROSE}</p></main></div>", PROSE),
+        (f"<article><p>{PROSE}</p><div class='related-work'><p>{PROSE}</p></div></article>", f"{PROSE}\n{PROSE}"),
+        (f"<form action=/><nav><a>x</a></nav><article><p>{PROSE}</p></article></form>", PROSE),
+        (f"<article><p>Where <math><mi>x</mi></math> is, {PROSE}</p><object><p>{PROSE}</p></object><map><p>{PROSE}</p></map></article>", f"Where x is, {PROSE}\n{PROSE}\n{PROSE}"),
+        (f"<article><button>Share<p>{PROSE}</p><select><option>one<p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+        (f"<head><title>T</title><body><header>Site</header><article><p>{PROSE}</p></article>", PROSE),
+        (f"<article><p>{PROSE}</p></article><div class=related><article><p>{PROSE}</p></article></div><div id=comments><article><p>{PROSE}</p></article></div>", PROSE),
+        (f"<div id=comments><article><p>{PROSE}</p></article></div><div class='sidebar'><div><p>{PROSE}</p></div></div>", ""),
+    ],
+)
+def test_wrappers_and_unclosed_tags(page, expected):
+    assert html_text.main_text(page) == expected
+
+
+def test_second_pass_against_brute_force_and_changes_texts():
+    """Nearest decided neighbours by looking at all blocks; open blocks get both labels, in articles and outside."""
+    rng, seen = random.Random(8), Counter()
+    for _ in range(3000):
+        article = rng.random() < 0.5
+        blocks = [html_text.Block("x", rng.choice([0, 0, 1]), 1 if article else 2, rng.random() < 0.3) for _ in range(rng.randint(1, 9))]
+        labels = [rng.choice([1, 0, -1, -1]) for _ in blocks]
+        for i, (block, label, got) in enumerate(zip(blocks, labels, html_text.second_pass(blocks, labels), strict=True)):
+            if label >= 0:
+                assert got == label
+                continue
+            left = [(i - j, labels[j]) for j in range(i) if labels[j] >= 0][-1:]
+            right = [(j - i, labels[j]) for j in range(i + 1, len(blocks)) if labels[j] >= 0][:1]
+            if article:
+                away = [d for d, x in left + right if x == 0]
+                text = [d for d, x in left + right if x == 1]
+                expected = 0 if len(away) == 2 or (block.linked and away and (not text or away[0] < text[0])) else 1
+            else:
+                (a, x), (b, y) = (left or [(i + 1, 0)])[0], (right or [(len(blocks) - i, 0)])[0]
+                expected = x if a < b else y if b < a else y if block.heading else min(x, y)
+            assert got == expected
+            seen[article, got] += 1
+    assert min(seen[k] for k in itertools.product((True, False), (0, 1))) > 50
+
+
+def test_both_passes_decide():
+    """Without stop words, lengths, links or neighbours the texts would be others."""
+    page = f"<div><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p><p>{'Mmrx kqpt zzyx. ' * 12}</p><p><a>{PROSE}</a></p><p>Last</p></div>"
+    assert html_text.main_text(page) == f"{PROSE}\nShort one.\n{PROSE}"
+    inside = f"<article><p>{PROSE}</p><ul><li><a>one</a></li><li>ok <a>b</a></li><li><a>two</a></li></ul><p>End.</p></article>"
+    assert html_text.main_text(inside) == f"{PROSE}\nEnd."
+
+
+def test_very_long_pages_and_repeated_rows(spark):
+    long = "<article>" + f"<p>{PROSE}</p><p>x &lt; y</p>" * 20_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, "v", "<" * 50_000), (3, "w", "<div class=x>" * 20_000 + PROSE)], "page_id bigint, url string, html string")
+    found = Counter((r.page_id, r.n_chars) for r in html_text.extract(pages).collect())
+    assert found[1, len(PROSE) * 20_000 + 5 * 20_000 + 39_999] == 2 and found[3, len(PROSE)] == 1
+
+
 def test_pages_keep_url_and_null(spark):
     pages = spark.createDataFrame([(1, "http://x/é", f"<article><p>{PROSE}</p></article>"), (2, None, None), (None, "u", "")], "page_id bigint, url string, html string")
     assert {tuple(r) for r in html_text.extract(pages).collect()} == {(1, "http://x/é", PROSE, len(PROSE)), (2, None, "", 0), (None, "u", "", 0)}
