@@ -1,14 +1,15 @@
 """Secrets by base patterns and by zstandard novelty.
 
 Base matches (assignments, access ids, hexadecimal runs) are found by fixed patterns. Beyond them, a string that stands in
-sensitive context is measured: the bytes that it adds to a zstandard frame whose dictionary is the code around it and the
-identifiers of the text (primed, so what the surroundings already say costs nearly nothing). A candidate that stays
+sensitive context is measured: the bytes that it adds to a zstandard frame whose dictionary is all identifiers of the text and
+the code around it (primed, so what the text or the surroundings already say costs nearly nothing). A candidate that stays
 incompressible, at NOVEL or more of what a random string of its alphabet and length adds there, and mixes letters with
 digits is reported as kind `novel`. Candidates are whole runs of any length, less what base matches cover. The body of a
 private key block is sensitive on all its lines; it is measured as one string and reported run by run.
 
 Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows give repeated rows; an empty table
-gives an empty result; a text of any length is searched whole, each candidate with the AROUND characters on both sides.
+gives an empty result; a text of any length is searched whole, each candidate with the AROUND characters on both sides; an identifier that stands
+in the text several times is one entry of the dictionary, and a secret that stands twice is reported at both places.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: What makes a context sensitive, and what a candidate looks like.
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|pwd|auth|bearer|credential|private|signature)[^\n]{0,40}$", re.I | re.A)
 HINTS = ("key", "secret", "token", "passw", "pwd", "auth", "bearer", "credential", "private", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LEAST = 16
 #: Where a block of a private key begins and ends, and the runs between.
 BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
@@ -42,6 +43,8 @@ END = re.compile(r"-----(?:BEGIN|END) ")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 APART = re.compile(r"""[^\s\\"',;]""")
 CLASSES = (string.digits, "abcdef", string.ascii_lowercase, "ABCDEF", string.ascii_uppercase)
+#: Names in code: parts of letters, each with two digits at most at its end, joined by _, - or dots.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]{2,24}[0-9]{0,2}(?:[_.-][A-Za-z]{1,24}[0-9]{0,2}){0,6}(?![A-Za-z0-9])")
 AROUND = 256
 NOVEL = 0.75
 #: Identifiers that any code may hold; they and the text's own prime the dictionary.
@@ -73,9 +76,14 @@ def random_string(letters: str, length: int) -> bytes:
     return "".join(random.Random(f"{letters} {length}").choices(letters, k=length)).encode()
 
 
-def novel(token: str, before: str, after: str) -> bool:
-    """Does the token add about as many compressed bytes to what is around it as a random string would?"""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + after.encode() + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def identifiers(text: str) -> bytes:
+    """The text's distinct identifiers, words of letters with few digits, in the order of their first places."""
+    return " ".join(dict.fromkeys(IDENTIFIER.findall(text))).encode()
+
+
+def novel(token: str, before: str, after: str, known: bytes = b"") -> bool:
+    """Does the token add about as many compressed bytes to what is around it and known as a random string would?"""
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + known + after.encode() + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
     none = len(packer.compress(b""))
     added = len(packer.compress(token.encode())) - none
@@ -120,10 +128,17 @@ def key_bodies(text: str) -> list[list[tuple[int, int]]]:
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not any(h in low for h in HINTS):
         return []
-    found, at, within = [], 0, set()
+    found, at, within, known = [], 0, set(), None
+
+    def stands_out(token: str, start: int, end: int) -> bool:
+        nonlocal known
+        if known is None:
+            known = identifiers(text)
+        return novel(token, text[max(0, start - AROUND) : start], text[end : end + AROUND], known)
+
     for runs in key_bodies(text) if "PRIVATE KEY" in text else []:
         body, first, last = "".join(text[s:e] for s, e in runs), runs[0][0], runs[-1][1]
-        if mixes(body) and novel(body, text[max(0, first - AROUND) : first], text[last : last + AROUND]):
+        if mixes(body) and stands_out(body, first, last):
             within.update(s for s, _ in runs)
             found += [(x, 3, y) for s, e in runs for x, y in less(s, e, base)]
     for m in CANDIDATE.finditer(text):
@@ -137,7 +152,7 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
             continue
         left = less(s, e, base, at)
         rest = "".join(text[x:y] for x, y in left)
-        if len(rest) >= LEAST and mixes(rest) and novel(rest, text[max(0, s - AROUND) : s], text[e : e + AROUND]):
+        if len(rest) >= LEAST and mixes(rest) and stands_out(rest, s, e):
             found += [(x, 3, y) for x, y in left]
     return sorted(found)
 

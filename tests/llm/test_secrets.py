@@ -1,7 +1,9 @@
 """Secrets of any length, alphabet and layout are reported whole."""
 
 import random
+import re
 import string
+from collections import Counter
 
 import pytest
 
@@ -53,3 +55,56 @@ def test_what_a_base_match_leaves_of_a_run():
 
 def test_repetition_is_not_novel():
     assert novel("token abc123" + "abc123" * 200) == [] and novel("auth " + "0123456789ABCDEF" * 50) == []
+
+
+def test_base_equals_the_plain_patterns():
+    assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    rng, pieces = random.Random(6), ["password", "Token", "api_key", "APIKEY", "secret", "AKIA", " ", "=", ":", '"', "'", "abc", "0123456789", "ffff", "XYZ", "/", "é", "\n", "ſecret", "toKen"]
+    found = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 24)))
+        plain = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        plain += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        plain += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert secrets.base_spans(text, text.lower()) == sorted(plain)
+        found += len(plain)
+    assert found > 300
+
+
+def test_planted_secrets_without_a_base_pattern(spark, documents):
+    """Secrets put into real documents are found, and nothing else is; without novelty known names would be reported too."""
+    rng, rows, planted = random.Random(12), [], {}
+    heads = ["Authorization: Bearer {}", "aws_secret_access_key -> {}", "private_key {}", 'auth("{}")', "signature={}", "db_pwd: {}"]
+    for r in documents.where("doc_id < 120").collect():
+        token = "9a8B7" + "".join(rng.choices(BASE64, k=rng.randint(25, 60)))
+        text = (r.text or "") + "\n" + rng.choice(heads).format(token) + "\nauth service_name_alpha02_beta03_gamma04\nsee service_name_alpha02_beta03_gamma04\n"
+        rows.append((r.doc_id, text))
+        planted[r.doc_id] = (text.index(token), text.index(token) + len(token))
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    hits = 0
+    for r in found:
+        novel_spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("novel")]
+        hits += planted[r.doc_id] in novel_spans
+        assert set(novel_spans) <= {planted[r.doc_id]}
+    assert hits >= 0.97 * len(rows)
+    clean = [x for r in secrets.find_secrets(documents).collect() for x in r.spans.split(",") if x.startswith("novel")]
+    assert clean == []
+
+
+def test_identifiers_of_the_text_prime_the_dictionary():
+    name = "customer_ledger2_export_batch4_runner7_queue"
+    far = "x = 1\n" * 200
+    text = f"{name} is defined here\n{far}auth {name}\n"
+    assert novel(text) == []
+    token = text[text.rindex(name) :].strip()
+    assert not secrets.novel(token, far[-secrets.AROUND :], "", secrets.identifiers(text))
+    assert secrets.novel(token, far[-secrets.AROUND :], "")  # without the text's identifiers it would be new
+
+
+def test_ties_and_very_long_texts():
+    token = "7a4b1c" + drawn(BASE64, 40, 2)
+    text = f"auth {token} auth {token}\n"
+    assert novel(text) == [token, token]
+    long = "word " * 300_000 + f"bearer {token}\n" + "word " * 300_000
+    assert novel(long) == [token]
+    assert secrets.scan("a" * 2_000_000)[:3] == (0, 0, 1) and Counter(secrets.scan("")[:3]) == {0: 3}
