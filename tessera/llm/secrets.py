@@ -134,7 +134,8 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
         nonlocal known
         if known is None:
             known = identifiers(text)
-        return novel(token, text[max(0, start - AROUND) : start], text[end : end + AROUND], known)
+        own = text[start:end]  # said again nearby it is no less a secret
+        return novel(token, text[max(0, start - AROUND) : start].replace(own, " "), text[end : end + AROUND].replace(own, " "), known)
 
     for runs in key_bodies(text) if "PRIVATE KEY" in text else []:
         body, first, last = "".join(text[s:e] for s, e in runs), runs[0][0], runs[-1][1]
