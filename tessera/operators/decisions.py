@@ -80,9 +80,11 @@ def next_pending(statuses: DataFrame) -> DataFrame:
     buckets = statuses.select("concept_key", key.alias("p"), F.substring("concept_key", 1, 2).alias("part"))
     # within a part by a window; beyond it by the first pending key of the next part that has one
     firsts = buckets.groupBy("part").agg(F.min("p").alias("first"))
-    parts = Window.orderBy("part")  # one row a part: two characters of a key
-    after = firsts.select("part", F.first("first", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("after"), F.min("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("overall"))
-    within = F.first("p", True).over(Window.partitionBy("part").orderBy("concept_key").rowsBetween(1, Window.unboundedFollowing))
+    # looked at from the end, what follows is a running last value: linear in the rows
+    before = (Window.unboundedPreceding, -1)
+    parts = Window.orderBy(F.desc("part"))  # one row a part: two characters of a key
+    after = firsts.select("part", F.last("first", True).over(parts.rowsBetween(*before)).alias("after"), F.min("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("overall"))
+    within = F.last("p", True).over(Window.partitionBy("part").orderBy(F.desc("concept_key")).rowsBetween(*before))
     return buckets.withColumn("within", within).join(after, "part").select("concept_key", F.coalesce("within", "after", "overall").alias("next"))
 
 

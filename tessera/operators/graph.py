@@ -49,19 +49,20 @@ def first_parents(edges: DataFrame) -> DataFrame:
 def ancestry(edges: DataFrame, stops: DataFrame) -> DataFrame:
     """child, family, depth: up the first parents until a node of stops (node) or a root; depth counts the hops to the top.
 
-    A walk that comes back to its start (a cycle) ends there without family.
+    A walk that would come to a node it has been at (a cycle, entered from outside or not) ends there; a row carries its walk,
+    which is as long as the hierarchy is deep.
     """
     up = first_parents(edges).select(F.col("child").alias("at"), F.col("parent").alias("above"))
     marks = stops.select(F.col("node").alias("mark"), F.lit(True).alias("stop"))
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("child")).distinct()
-    walk = nodes.select("child", F.col("child").alias("at"), F.lit(None).cast("bigint").alias("family"), F.lit(0).alias("depth"))
+    walk = nodes.select("child", F.col("child").alias("at"), F.lit(None).cast("bigint").alias("family"), F.lit(0).alias("depth"), F.array("child").alias("been"))
     done = []
     while True:
         seen = walk.join(marks, F.col("at") == F.col("mark"), "left").withColumn("family", F.coalesce("family", F.when(F.col("stop"), F.col("at")))).drop("mark", "stop")
         stepped = saved(seen.join(up, "at", "left"))
-        ends = F.col("above").isNull() | (F.col("above") == F.col("child"))
+        ends = F.col("above").isNull() | F.array_contains("been", F.coalesce("above", "at"))
         done.append(stepped.where(ends).select("child", "family", "depth"))
-        walk = stepped.where(~ends).select("child", F.col("above").alias("at"), "family", (F.col("depth") + 1).alias("depth"))
+        walk = stepped.where(~ends).select("child", F.col("above").alias("at"), "family", (F.col("depth") + 1).alias("depth"), F.array_append("been", F.col("above")).alias("been"))
         if not walk.take(1):
             return reduce(DataFrame.unionByName, done)
 

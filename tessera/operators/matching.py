@@ -1,6 +1,8 @@
 """Similarity joins, ranking and inheritance between concepts and terms.
 
-Names are scored once per distinct pair and joined back; kinds are an equi-join, so no pair of incompatible kinds is made.
+Names are scored once per distinct pair and joined back. A set of queries is held against all rows of its kind in blocks:
+targets are dealt out by a hash of their id and each block meets all queries, so a kind with most of the rows is many tasks,
+and the k best are cut within each task first. Lists of pairs (pools, listed candidates) are joined before anything is scored.
 """
 
 from __future__ import annotations
@@ -37,14 +39,40 @@ def hybrid(lexical: Column, semantic: Column, w_lexical: float = LEXICAL_WEIGHT,
     return (w_lexical * lexical + w_semantic * semantic) / (w_lexical + w_semantic)
 
 
+def in_blocks(s: DataFrame, t: DataFrame, same_kind: bool = True) -> DataFrame:
+    """All pairs of s (id, kind, ...) and t (t_id, t_kind, ...), of one kind if asked, dealt out over blocks of t."""
+    blocks = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.withColumn("t_block", F.pmod(F.xxhash64("t_id"), F.lit(blocks)))
+    s = s.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    on = F.col("block") == F.col("t_block")
+    return s.join(t, on & (F.col("kind") == F.col("t_kind")) if same_kind else on).drop("block", "t_block")
+
+
+def _sources(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "kind", F.col("norm").alias("a"), F.col("embedding").alias("x"))
+
+
+def _targets(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("t_id"), F.col("kind").alias("t_kind"), F.col("norm").alias("b"), F.col("embedding").alias("y"))
+
+
+def scored(pairs: DataFrame, w_lexical: float = LEXICAL_WEIGHT, w_semantic: float = SEMANTIC_WEIGHT) -> DataFrame:
+    """id, t_id, kind, lexical, semantic, score of pairs (id, t_id, kind, names a and b, vectors x and y)."""
+    pairs = pairs.withColumn("semantic", F.round(cosine(F.col("x"), F.col("y")), 6)).drop("x", "y")
+    names = pairs.select("a", "b").distinct().withColumn("lexical", F.round(indel_ratio(F.col("a"), F.col("b")), 4))
+    score = F.round(hybrid(F.col("lexical"), F.col("semantic"), w_lexical, w_semantic), 4)
+    return pairs.join(names, ["a", "b"]).select("id", "t_id", "kind", "lexical", "semantic", score.alias("score"))
+
+
+def listed_pairs(sources: DataFrame, targets: DataFrame, listed: DataFrame) -> DataFrame:
+    """scored() of the listed pairs (id, t_id) of one kind alone."""
+    pairs = listed.join(_sources(sources), "id").join(_targets(targets), "t_id").where("kind = t_kind")
+    return scored(pairs)
+
+
 def scored_pairs(sources: DataFrame, targets: DataFrame, w_lexical: float = LEXICAL_WEIGHT, w_semantic: float = SEMANTIC_WEIGHT) -> DataFrame:
     """id, t_id, kind, lexical, semantic, score of all pairs of one kind. Both sides: id, kind, norm, embedding."""
-    names = lexical_scores(sources, targets)
-    s = sources.select("id", "kind", F.col("norm").alias("a"), F.col("embedding").alias("x"))
-    t = targets.select(F.col("id").alias("t_id"), "kind", F.col("norm").alias("b"), F.col("embedding").alias("y"))
-    pairs = s.join(t, "kind").withColumn("semantic", F.round(cosine(F.col("x"), F.col("y")), 6))
-    score = F.round(hybrid(F.col("lexical"), F.col("semantic"), w_lexical, w_semantic), 4)
-    return pairs.join(names, ["kind", "a", "b"]).select("id", "t_id", "kind", "lexical", "semantic", score.alias("score"))
+    return scored(in_blocks(_sources(sources), _targets(targets)), w_lexical, w_semantic)
 
 
 def top_candidates(pairs: DataFrame, k: int) -> DataFrame:
@@ -64,7 +92,7 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, same_kind: bool = Tr
     """id, t_id, distance, rank: exact neighbours by cosine; ties by distance rounded to 6, then id."""
     s = sources.select("id", "kind", F.col("embedding").alias("x"))
     t = targets.select(F.col("id").alias("t_id"), F.col("kind").alias("t_kind"), F.col("embedding").alias("y"))
-    pairs = s.join(t, (F.col("kind") == F.col("t_kind")) if same_kind else F.lit(True))
+    pairs = in_blocks(s, t, same_kind)
     scored = pairs.where("id <> t_id").select("id", "t_id", F.round(1 - cosine(F.col("x"), F.col("y")), 6).alias("distance"))
     order = Window.partitionBy("id").orderBy("distance", "t_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -73,14 +101,14 @@ def nearest(sources: DataFrame, targets: DataFrame, k: int, same_kind: bool = Tr
 def pooled(sources: DataFrame, targets: DataFrame, pool: int, k: int) -> DataFrame:
     """The pool nearest by meaning, re-ranked by the hybrid score."""
     near = nearest(sources, targets, pool).select("id", "t_id")
-    return top_candidates(scored_pairs(sources, targets).join(near, ["id", "t_id"], "left_semi"), k)
+    return top_candidates(listed_pairs(sources, targets, near), k)
 
 
 def precedents(sources: DataFrame, decided: DataFrame, forbidden: DataFrame, k: int) -> DataFrame:
     """Nearest decided ones; forbidden pairs (id, t_id) are out before ranking."""
     s = sources.select("id", "kind", F.col("embedding").alias("x"))
-    t = decided.select(F.col("id").alias("t_id"), "kind", F.col("embedding").alias("y"))
-    pairs = s.join(t, "kind").where("id <> t_id").join(forbidden, ["id", "t_id"], "left_anti")
+    t = decided.select(F.col("id").alias("t_id"), F.col("kind").alias("t_kind"), F.col("embedding").alias("y"))
+    pairs = in_blocks(s, t).where("id <> t_id").join(forbidden, ["id", "t_id"], "left_anti")
     scored = pairs.select("id", "t_id", F.round(1 - cosine(F.col("x"), F.col("y")), 6).alias("distance"))
     order = Window.partitionBy("id").orderBy("distance", "t_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -136,9 +164,9 @@ def inheritance_summary(found: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce("method", F.lit("none")).alias("method"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def same_concept_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, t_id, rule: all pairs that any rule calls the same, the first rule wins, itself excluded."""
-    other = rows.select(F.col("id").alias("t_id"), F.col("iri").alias("t_iri"), F.col("norm").alias("t_norm"))
+def same_concept_pairs(rows: DataFrame, others: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, t_id, rule: for the rows asked for all others that any rule calls the same, the first rule wins, itself excluded."""
+    other = others.select(F.col("id").alias("t_id"), F.col("iri").alias("t_iri"), F.col("norm").alias("t_norm"))
     by_iri = rows.join(other, F.col("iri") == F.col("t_iri")).select("id", "t_id", F.lit(1).alias("rule"))
     by_name = rows.where("norm <> ''").join(other, F.col("norm") == F.col("t_norm")).select("id", "t_id", F.lit(2).alias("rule"))
     by_score = pairs.where((F.col("score") >= DUPLICATE_SCORE) | (F.col("lexical") >= SAME_NAME)).select("id", "t_id", F.lit(3).alias("rule"))

@@ -224,9 +224,9 @@ def _(t):
 
 
 def labelled(name: str, language: str):
-    @finding(name, f"label_{language}", "warning", f"SELECT source AS focus, NULL AS value FROM documents WHERE doc_id < 100 GROUP BY source HAVING NOT bool_or(lang = '{language}')")
+    @finding(name, f"label_{language}", "warning", f"SELECT source AS focus, NULL AS value FROM documents GROUP BY source HAVING NOT bool_or(lang = '{language}')")
     def _(t):
-        rows = t.documents.where("doc_id < 100").select(F.col("source").alias("s"), "lang", F.lit("x").alias("o"))
+        rows = t.documents.select(F.col("source").alias("s"), "lang", F.lit("x").alias("o"))
         return shapes.has_label(rows, rows, language)
 
 
@@ -313,19 +313,19 @@ def _(t):
 
 # laws: the turns of a conversation as numbered articles, with noise between; documents of a source as pages
 
-LAWS = """lw AS (SELECT conv_id AS law, string_agg(concat('Article ', CAST(turn + 1 AS VARCHAR), ' Title ', role, chr(10), split_part(text, chr(10), 1), chr(10), 'see Article 9', chr(10)), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
+LAWS = """lw AS (SELECT conv_id AS law, string_agg(concat('Article ', CAST(turn + 1 AS VARCHAR), ' Title ', role, chr(10), text, chr(10), 'see Article 9', chr(10)), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
 
 
 def law_texts(t):
-    head = F.concat(F.lit("Article "), (F.col("turn") + 1).cast("string"), F.lit(" Title "), "role", F.lit("\n"), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("\nsee Article 9\n"))
+    head = F.concat(F.lit("Article "), (F.col("turn") + 1).cast("string"), F.lit(" Title "), "role", F.lit("\n"), "text", F.lit("\nsee Article 9\n"))
     return t.conversations.groupBy(F.col("conv_id").alias("law")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", head.alias("h")))), lambda x: x["h"]), "").alias("text"))
 
 
-PAGES = "pg AS (SELECT source AS doc, doc_id AS page, concat('Header 1', chr(10), substr(text, 1, 300), chr(10), 'Page ', CAST(doc_id AS VARCHAR), ' of 9') AS text FROM documents WHERE doc_id < 500)"
+PAGES = "pg AS (SELECT source AS doc, doc_id AS page, concat('Header 1', chr(10), text, chr(10), 'Page ', CAST(doc_id AS VARCHAR), ' of 9') AS text FROM documents)"
 
 
 def page_texts(t):
-    return t.documents.where("doc_id < 500").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.concat(F.lit("Header 1\n"), F.substring("text", 1, 300), F.lit("\nPage "), F.col("doc_id").cast("string"), F.lit(" of 9")).alias("text"))
+    return t.documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.concat(F.lit("Header 1\n"), F.col("text"), F.lit("\nPage "), F.col("doc_id").cast("string"), F.lit(" of 9")).alias("text"))
 
 
 EDGE = f"""{PAGES}, ln AS (SELECT doc, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM pg),

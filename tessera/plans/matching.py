@@ -32,24 +32,30 @@ def tsort(x: str) -> str:
 
 
 ITEMS = f"""items AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CASE WHEN label % 2 = 0 THEN 'class' ELSE 'property' END AS kind,
- label, {norm('p_name')} AS norm FROM embeddings JOIN part ON p_partkey = vec_id % 60)"""
+ label, {norm('p_name')} AS norm FROM embeddings JOIN part ON p_partkey = vec_id % (SELECT count(*) FROM part))"""
 PAIRS = f"""WITH {ITEMS}, l AS (SELECT a, b, {indel('sa', 'sb')} AS lexical FROM (SELECT DISTINCT x.norm AS a, y.norm AS b, {tsort('x.norm')} AS sa, {tsort('y.norm')} AS sb FROM items x JOIN items y ON x.kind = y.kind)),
 p AS (SELECT x.id, y.id AS t_id, x.kind, lexical, semantic, round((0.4 * lexical + 0.6 * semantic) / 1.0, 4) AS score FROM
- (SELECT x.id AS id, y.id AS t, round(least(1.0, greatest(0.0, list_dot_product(x.v, y.v))), 6) AS semantic FROM items x JOIN items y ON x.kind = y.kind AND x.id % 4 = 0 AND y.id % 4 <> 0) AS q
+ (SELECT x.id AS id, y.id AS t, round(least(1.0, greatest(0.0, list_dot_product(x.v, y.v))), 6) AS semantic FROM items x JOIN items y ON x.kind = y.kind AND x.id % 100 = 0 AND y.id <> x.id) AS q
  JOIN items x ON x.id = q.id JOIN items y ON y.id = q.t JOIN l ON l.a = x.norm AND l.b = y.norm)"""
 NEAR = f"""WITH {ITEMS}, n AS (SELECT id, t_id, distance, row_number() OVER (PARTITION BY id ORDER BY distance, t_id) AS rank FROM
- (SELECT x.id, y.id AS t_id, round(1 - least(1.0, greatest(0.0, list_dot_product(x.v, y.v))), 6) AS distance FROM items x JOIN items y ON x.kind = y.kind AND x.id % 4 = 0 AND y.id % 4 <> 0))"""
+ (SELECT x.id, y.id AS t_id, round(1 - least(1.0, greatest(0.0, list_dot_product(x.v, y.v))), 6) AS distance FROM items x JOIN items y ON x.kind = y.kind AND x.id % 100 = 0 AND y.id <> x.id))"""
 
 
 def items(t):
     kind = F.when(F.col("label") % 2 == 0, "class").otherwise("property")
-    own = t.embeddings.join(t.part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("vec_id") % 60)
+    named = t.embeddings.join(F.broadcast(t.part.agg(F.count(F.lit(1)).alias("n_part")))).withColumn("n_part", F.col("vec_id") % F.col("n_part"))
+    own = named.join(t.part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("n_part"))
     return own.select(F.col("vec_id").alias("id"), "embedding", kind.alias("kind"), "label", normalize_name(F.col("p_name")).alias("norm"))
 
 
 def sides(t):
+    """The query set (every id that 100 divides) and all rows."""
     own = items(t)
-    return own.where("id % 4 = 0"), own.where("id % 4 <> 0")
+    return own.where("id % 100 = 0"), own
+
+
+def all_pairs(t):
+    return ops.scored_pairs(*sides(t)).where("id <> t_id")
 
 
 @query("c01_normalize", f"SELECT DISTINCT label, {norm('label')} AS norm FROM terms")
@@ -81,19 +87,19 @@ def _(t):
 
 @query("c05_cosine", f"{PAIRS} SELECT id, t_id, semantic FROM p")
 def _(t):
-    return ops.scored_pairs(*sides(t)).select("id", "t_id", "semantic")
+    return all_pairs(t).select("id", "t_id", "semantic")
 
 
 @query("c07_hybrid", f"{PAIRS} SELECT id, t_id, kind, lexical, semantic, score FROM p")
 def _(t):
-    return ops.scored_pairs(*sides(t))
+    return all_pairs(t)
 
 
 @query("c08_listed_scores", f"{PAIRS} SELECT id, t_id, score FROM p WHERE t_id IN (id + 1, id + 2)")
 def _(t):
     s, targets = sides(t)
     listed = s.select("id", F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("t_id"))
-    return ops.scored_pairs(s, targets).join(listed, ["id", "t_id"], "left_semi").select("id", "t_id", "score")
+    return ops.listed_pairs(s, targets, listed).select("id", "t_id", "score")
 
 
 RANKED = f"{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lexical DESC, t_id) AS rank FROM p)"
@@ -101,13 +107,13 @@ RANKED = f"{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 
 @query("c09_top_candidates", f"{RANKED} SELECT id, t_id, kind, lexical, semantic, score, rank FROM r WHERE rank <= 3")
 def _(t):
-    return ops.top_candidates(ops.scored_pairs(*sides(t)), 3)
+    return ops.top_candidates(all_pairs(t), 3)
 
 
-@query("c10_candidate_lists", f"{RANKED}, g AS (SELECT id, string_agg(t_id, ',' ORDER BY rank) AS l FROM r WHERE rank <= 5 GROUP BY id) SELECT i.id, coalesce(l, '') AS candidates FROM items i LEFT JOIN g ON g.id = i.id WHERE i.id % 4 = 0")
+@query("c10_candidate_lists", f"{RANKED}, g AS (SELECT id, string_agg(t_id, ',' ORDER BY rank) AS l FROM r WHERE rank <= 5 GROUP BY id) SELECT i.id, coalesce(l, '') AS candidates FROM items i LEFT JOIN g ON g.id = i.id WHERE i.id % 100 = 0")
 def _(t):
     s, targets = sides(t)
-    return ops.candidate_lists(s, ops.scored_pairs(s, targets), 5).select("id", F.array_join("candidates", ",").alias("candidates"))
+    return ops.candidate_lists(s, all_pairs(t), 5).select("id", F.array_join("candidates", ",").alias("candidates"))
 
 
 @query("c11_nearest", f"{NEAR} SELECT id, t_id, distance, rank FROM n WHERE rank <= 5")
@@ -121,7 +127,7 @@ def _(t):
     return ops.pooled(*sides(t), 10, 3)
 
 
-@query("c13_precedents", f"{NEAR.replace('y.id % 4 <> 0', 'y.id % 4 <> 0 AND (x.id + y.id) % 5 <> 0')} SELECT id, t_id, distance, rank FROM n WHERE rank <= 3")
+@query("c13_precedents", f"{NEAR.replace('y.id <> x.id', 'y.id <> x.id AND (x.id + y.id) % 5 <> 0')} SELECT id, t_id, distance, rank FROM n WHERE rank <= 3")
 def _(t):
     s, decided = sides(t)
     forbidden = s.select("id", "kind").join(decided.select(F.col("id").alias("t_id"), "kind"), "kind").where("(id + t_id) % 5 = 0").select("id", "t_id")
@@ -141,12 +147,12 @@ d AS (SELECT id, CASE WHEN score >= 0.75 THEN by_score WHEN lexical >= 0.95 THEN
 
 @query("c15_duplicates", f"{DUPLICATES} SELECT id, t_id, reason, score, lexical FROM d WHERE reason IS NOT NULL")
 def _(t):
-    return ops.possible_duplicates(ops.scored_pairs(*sides(t)))
+    return ops.possible_duplicates(all_pairs(t))
 
 
 @query("c16_bands", f"{PAIRS}, m AS (SELECT id, max(score) AS score FROM p GROUP BY id) SELECT CASE WHEN score >= 0.85 THEN 'very high' WHEN score >= 0.75 THEN 'high' WHEN score >= 0.65 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM m GROUP BY 1")
 def _(t):
-    return ops.bands(ops.scored_pairs(*sides(t)).groupBy("id").agg(F.max("score").alias("score")))
+    return ops.bands(all_pairs(t).groupBy("id").agg(F.max("score").alias("score")))
 
 
 @query("c17_family_means", f"{NEAR} SELECT label AS family, count(*) AS n, round(avg(1 - distance), 4) AS mean FROM n JOIN items i ON i.id = n.id WHERE rank = 1 GROUP BY label")
@@ -154,13 +160,13 @@ def _(t):
     return ops.family_means(ops.nearest(*sides(t), 1), items(t).select("id", F.col("label").alias("family")))
 
 
-INHERIT = f"""{PAIRS}, iri AS (SELECT x.id, y.label AS sig FROM items x JOIN items y ON x.id % 4 = 0 AND y.id % 4 <> 0 AND x.id % 40 = 0 AND y.id = x.id + 1),
+INHERIT = f"""{PAIRS}, iri AS (SELECT x.id, y.label AS sig FROM items x JOIN items y ON x.id % 100 = 0 AND y.id <> x.id AND x.id % 40 = 0 AND y.id = x.id + 1),
 i1 AS (SELECT id, 'iri' AS method, count(DISTINCT sig) AS n, min(sig) AS sig FROM iri GROUP BY id),
-i2 AS (SELECT x.id, 'name' AS method, count(DISTINCT y.label) AS n, min(y.label) AS sig FROM items x JOIN items y ON x.norm = y.norm AND x.norm <> '' AND y.id % 4 <> 0 AND y.id % 3 = 0 WHERE x.id % 4 = 0 AND x.id NOT IN (SELECT id FROM i1) GROUP BY x.id),
+i2 AS (SELECT x.id, 'name' AS method, count(DISTINCT y.label) AS n, min(y.label) AS sig FROM items x JOIN items y ON x.norm = y.norm AND x.norm <> '' AND y.id <> x.id AND y.id % 3 = 0 WHERE x.id % 100 = 0 AND x.id NOT IN (SELECT id FROM i1) GROUP BY x.id),
 a AS (SELECT * FROM p WHERE (score >= 0.75 OR lexical >= 0.95) AND t_id % 3 = 0 AND id NOT IN (SELECT id FROM i1) AND id NOT IN (SELECT id FROM i2)),
 i3 AS (SELECT a.id, 'similarity' AS method, count(DISTINCT y.label) AS n, min(y.label) AS sig FROM a JOIN items y ON y.id = a.t_id WHERE score = (SELECT max(score) FROM a z WHERE z.id = a.id) GROUP BY a.id),
 f AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3),
-h AS (SELECT x.id, method, CASE WHEN n = 1 THEN sig END AS signature, CASE WHEN n = 1 THEN 'inherited' WHEN n > 1 THEN 'ambiguous' ELSE 'no_match' END AS status FROM items x LEFT JOIN f ON f.id = x.id WHERE x.id % 4 = 0)"""
+h AS (SELECT x.id, method, CASE WHEN n = 1 THEN sig END AS signature, CASE WHEN n = 1 THEN 'inherited' WHEN n > 1 THEN 'ambiguous' ELSE 'no_match' END AS status FROM items x LEFT JOIN f ON f.id = x.id WHERE x.id % 100 = 0)"""
 
 
 def inherited(t):
@@ -169,7 +175,7 @@ def inherited(t):
     by_iri = targets.select("id", F.col("id").alias("iri"), F.lit("").alias("norm"), F.col("label").alias("signature"))
     base = targets.where("id % 3 = 0").select("id", F.lit(None).cast("bigint").alias("iri"), "norm", F.col("label").alias("signature"))
     every = by_iri.unionByName(base)
-    pairs = ops.scored_pairs(s, targets).where("t_id % 3 = 0")
+    pairs = all_pairs(t).where("t_id % 3 = 0")
     return ops.inherit(users, every, pairs)
 
 
@@ -183,12 +189,12 @@ def _(t):
     return ops.inheritance_summary(inherited(t))
 
 
-@query("c20_same_concepts", f"""{PAIRS}, e AS (SELECT x.id, y.id AS t_id, 2 AS rule FROM items x JOIN items y ON x.norm = y.norm AND x.norm <> '' WHERE x.id < 60 AND y.id < 60
- UNION ALL SELECT id, t_id, 3 FROM p WHERE score >= 0.75 OR lexical >= 0.95 UNION ALL SELECT x.id, y.id, 1 FROM items x JOIN items y ON x.id % 50 = y.id % 50 WHERE x.id < 60 AND y.id < 60)
+@query("c20_same_concepts", f"""{PAIRS}, e AS (SELECT x.id, y.id AS t_id, 2 AS rule FROM items x JOIN items y ON x.norm = y.norm AND x.norm <> '' WHERE x.id % 100 = 0
+ UNION ALL SELECT id, t_id, 3 FROM p WHERE score >= 0.75 OR lexical >= 0.95 UNION ALL SELECT x.id, y.id, 1 FROM items x JOIN items y ON x.id % 50 = y.id % 50 WHERE x.id % 100 = 0)
 SELECT id, t_id, min(rule) AS rule FROM e WHERE id <> t_id GROUP BY id, t_id""")
 def _(t):
-    rows = items(t).where("id < 60").select("id", (F.col("id") % 50).alias("iri"), "norm")
-    return ops.same_concept_pairs(rows, ops.scored_pairs(*sides(t)))
+    rows = items(t).select("id", (F.col("id") % 50).alias("iri"), "norm")
+    return ops.same_concept_pairs(rows.where("id % 100 = 0"), rows, all_pairs(t))
 
 
 @query("c23_bridge", """

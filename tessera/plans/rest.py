@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import decisions, graph, laws, matching, profiles, provenance, questions
 from tessera.plans.decisions import LATEST, current, keys
 from tessera.plans.graph import CAND, chains, law_texts
-from tessera.plans.matching import PAIRS, items, sides
+from tessera.plans.matching import PAIRS, all_pairs, items, sides
 from tessera.plans.registry import query
 from tessera.plans.rules import DECIDED, GOLD_PAIRS, decided, gold_pairs
 from tessera.sources import statements as io
@@ -166,13 +166,13 @@ def _(t):
     return questions.over_sets({"all": t.triples, "nation": t.triples.where("origin = 'nation'")}, ask)
 
 
-ELEMENTS = """el AS (SELECT family AS qid, key AS element, plain AS words, seq % 9 AS article FROM concepts WHERE seq < 150), an AS (SELECT DISTINCT family AS qid, concat('a ', plain, ' b') AS text, (seq + 1) % 9 AS article FROM concepts WHERE seq < 150 AND seq % 2 = 0),
+ELEMENTS = """el AS (SELECT family AS qid, key AS element, plain AS words, seq % 9 AS article FROM concepts), an AS (SELECT DISTINCT family AS qid, concat('a ', plain, ' b') AS text, (seq + 1) % 9 AS article FROM concepts WHERE seq % 2 = 0),
 ow AS (SELECT *, count(*) OVER (PARTITION BY qid, article) = 1 AS own FROM el),
 fd AS (SELECT qid, element, EXISTS (SELECT 1 FROM an WHERE an.qid = ow.qid AND contains(concat(' ', an.text, ' '), concat(' ', ow.words, ' '))) OR (own AND EXISTS (SELECT 1 FROM an WHERE an.qid = ow.qid AND an.article = ow.article)) AS found FROM ow)"""
 
 
 def found_elements(t):
-    own = t.concepts.where("seq < 150")
+    own = t.concepts
     elements = own.select(F.col("family").alias("qid"), F.col("key").alias("element"), F.col("plain").alias("words"), (F.col("seq") % 9).alias("article"))
     answers = own.where("seq % 2 = 0").select(F.col("family").alias("qid"), F.concat(F.lit("a "), "plain", F.lit(" b")).alias("text"), ((F.col("seq") + 1) % 9).alias("article")).distinct()
     return questions.elements_found(elements, answers)
@@ -221,7 +221,7 @@ def _(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY w, id ORDER BY sc DESC, lexical DESC, t_id) AS rank FROM s), b AS (SELECT w, r.id, min(rank) AS rank FROM r JOIN g ON g.id = r.id AND g.t_id = r.t_id WHERE rank <= 3 GROUP BY ALL) SELECT w, count(*) FILTER (WHERE rank = 1) AS hit_1, count(*) AS hit_3 FROM b GROUP BY w""")
 def _(t):
     weights = t.spark.createDataFrame([(0.0,), (0.4,), (1.0,)], "w double")
-    return questions.weight_sweep(matching.scored_pairs(*sides(t)), weights, gold_pairs(t))
+    return questions.weight_sweep(all_pairs(t), weights, gold_pairs(t))
 
 
 @query("f15_verdicts", "SELECT 0 AS half, true AS adopted UNION ALL SELECT 1, false")

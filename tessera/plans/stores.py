@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import laws, matching, report
 from tessera.plans.decisions import LATEST, STATUS, current, status
 from tessera.plans.graph import CAND, chains, law_texts
-from tessera.plans.matching import PAIRS, sides
+from tessera.plans.matching import PAIRS, all_pairs
 from tessera.plans.registry import query
 from tessera.plans.rules import DECIDED, decided
 from tessera.sources import collections as vectors
@@ -61,13 +61,13 @@ def _(t):
     return io.read_labelled(t.spark, path, "doc_id bigint, quality int, toxic int")
 
 
-@query("s06_pages", "SELECT source, count(*) AS pages, sum(length(replace(text, chr(12), ''))) AS chars FROM documents WHERE doc_id < 300 GROUP BY source")
+@query("s06_pages", "SELECT source, count(*) AS pages, sum(length(replace(text, chr(12), ''))) AS chars FROM documents GROUP BY source")
 def _(t):
     path = scratch(t.spark)
-    own = t.documents.where("doc_id < 300").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(F.replace("text", F.lit("\f"), F.lit("")))), "\f").alias("value"))
-    own.write.partitionBy("source").text(path)
-    whole = t.spark.read.text(path, wholetext=True)
-    pages = whole.select("source", F.explode(F.split(F.regexp_replace("value", "\n\\z", ""), "\f")).alias("text"))
+    # bounded files: the pages of a source go to as many as their number asks for; form feeds part them
+    own = t.documents.select("source", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part"), F.replace("text", F.lit("\f"), F.lit("")).alias("value"))
+    own.repartition("source", "part").write.option("maxRecordsPerFile", 2000).option("lineSep", "\f").partitionBy("source", "part").text(path)
+    pages = io.read_pages(t.spark, path)
     return pages.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.char_length("text")).alias("chars"))
 
 
@@ -117,7 +117,7 @@ def _(t):
 @query("s13_candidate_file", f"{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lexical DESC, t_id) AS rank FROM p) SELECT id, t_id, score, rank FROM r WHERE rank <= 3")
 def _(t):
     path = scratch(t.spark)
-    matching.top_candidates(matching.scored_pairs(*sides(t)), 3).select("id", "t_id", "score", "rank").write.json(path)
+    matching.top_candidates(all_pairs(t), 3).select("id", "t_id", "score", "rank").write.json(path)
     return t.spark.read.schema("id bigint, t_id bigint, score double, rank int").json(path)
 
 
@@ -177,7 +177,7 @@ def streamed(t):
     """The log in three files, the newest first."""
     path = scratch(t.spark)
     for turn in (2, 0, 1):
-        log(t).where(F.col("seq") % 3 == turn).coalesce(1).write.mode("append").json(path)
+        log(t).where(F.col("seq") % 3 == turn).repartitionByRange(4, "seq").write.mode("append").json(path)
     return logs.log_stream(t.spark, path)
 
 
@@ -243,7 +243,7 @@ def _(t):
 
 @query("j07_ranking_summary", f"{PAIRS}, b AS (SELECT id, kind, max(score) AS best FROM p GROUP BY ALL) SELECT kind, count(*) AS n, round(avg(best), 4) AS mean FROM b GROUP BY kind")
 def _(t):
-    return report.ranking_summary(matching.scored_pairs(*sides(t)))
+    return report.ranking_summary(all_pairs(t))
 
 
 @query("j08_readiness", f"{STATUS} SELECT count(*) FILTER (WHERE status = 'pending') AS pending, true AS stale FROM st")

@@ -35,7 +35,7 @@ SELECT event_id AS seq, concat('s', CAST(user_id % 2 AS STRING)) AS source_id, '
          CASE event_id % 5 WHEN 0 THEN 'exactMatch' WHEN 1 THEN 'closeMatch' WHEN 2 THEN 'broadMatch' WHEN 3 THEN 'narrowMatch' ELSE 'relatedMatch' END END AS relation,
        concat('r', CAST(user_id % 3 AS STRING)) AS reviewer, ts AS decided_at FROM {events}""",
     "edges": "SELECT p_partkey AS child, CAST(floor(p_partkey / 3) AS BIGINT) AS parent FROM {part} WHERE p_partkey > 0",
-    "cyclic_edges": "SELECT child, parent FROM {edges} WHERE child < 400 UNION ALL SELECT CAST(0 AS BIGINT), CAST(27 AS BIGINT)",
+    "cyclic_edges": "SELECT child, parent FROM {edges} UNION ALL SELECT CAST(0 AS BIGINT), CAST(27 AS BIGINT)",
     "triples": """
 SELECT concat('http://ex.org/region#', CAST(r_regionkey AS STRING)) AS s, 'rdf:type' AS p, 'owl:Class' AS o, 'iri' AS o_kind, CAST(NULL AS STRING) AS dt, CAST(NULL AS STRING) AS lang, 'region' AS origin FROM {region}
 UNION ALL SELECT concat('http://ex.org/region#', CAST(r_regionkey AS STRING)), 'rdfs:label', r_name, 'literal', 'xsd:string', NULL, 'region' FROM {region}
@@ -48,7 +48,7 @@ UNION ALL SELECT concat('http://ex.org/supplier/', CAST(s_suppkey AS STRING)), '
 UNION ALL SELECT concat('http://ex.org/supplier/', CAST(s_suppkey AS STRING)), 'rdf:type', 'owl:DatatypeProperty', 'iri', NULL, NULL, 'supplier' FROM {supplier} WHERE s_suppkey % 4 = 0
 UNION ALL SELECT concat('http://ex.org/supplier/', CAST(s_suppkey AS STRING)), 'skos:prefLabel', s_name, 'literal', 'rdf:langString', CASE WHEN s_suppkey % 3 = 0 THEN 'es' ELSE 'en-GB' END, 'supplier' FROM {supplier}
 UNION ALL SELECT concat('http://ex.org/supplier/', CAST(s_suppkey AS STRING)), 'rdfs:domain', concat('http://ex.org/nation#', CAST(s_nationkey AS STRING)), 'iri', NULL, NULL, 'supplier' FROM {supplier}
-UNION ALL SELECT concat('http://ex.org/doc#', CAST(doc_id AS STRING)), 'rdfs:label', substr(text, 1, 40), 'literal', 'rdf:langString', lang, 'documents' FROM {documents}
+UNION ALL SELECT concat('http://ex.org/doc#', CAST(doc_id AS STRING)), 'rdfs:label', text, 'literal', 'rdf:langString', lang, 'documents' FROM {documents}
 UNION ALL SELECT concat('http://ex.org/doc#', CAST(doc_id AS STRING)), 'skos:exactMatch', concat('https://w3id.org/dpv#', source), 'iri', NULL, NULL, 'documents' FROM {documents} WHERE doc_id % 3 = 0""",
     "gold": """
 SELECT d.doc_id AS key, CASE WHEN l.quality = 1 THEN 'aligned' ELSE 'no_match' END AS status, d.lang AS term, l.toxic, l.quality,

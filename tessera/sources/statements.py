@@ -5,6 +5,8 @@ All paths are read and written by Spark alone, so any store that Spark reaches w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,9 +90,10 @@ def read_labelled(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """doc, page, text: form feeds part the pages of a file, line ends become \\n."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
-    return whole.select("doc", F.posexplode(F.split("value", "\f")).alias("page", "text"))
+    """The folders' columns, doc, page, text: form feeds end the pages of a file, line ends become \\n."""
+    whole = spark.read.text(path, wholetext=True)
+    whole = whole.select(*whole.columns[1:], F.col("_metadata.file_name").alias("doc"), F.regexp_replace(F.regexp_replace("value", "\f\\z", ""), "\r\n?", "\n").alias("value"))
+    return whole.select(*whole.columns[:-1], F.posexplode(F.split("value", "\f")).alias("page", "text"))
 
 
 def write_report(rows: DataFrame, path: str) -> None:
@@ -100,10 +103,18 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def merged_modules(modules: DataFrame, keep: str) -> DataFrame:
-    """The statements of all modules as one set: their headers and imports between them go, that of `keep` stays."""
+    """The statements of all modules as one set: their headers but that of `keep` go, and so do all imports of a module."""
     headers = modules.where("p = 'rdf:type' and o = 'owl:Ontology'").select("s").distinct()
     body = modules.join(headers.where(F.col("s") != keep), "s", "left_anti")
-    return body.where(~((F.col("p") == "owl:imports") & F.col("o").isin([keep]))).dropDuplicates(["s", "p", "o", "dt", "lang"])
+    imported = headers.select(F.col("s").alias("module"), F.lit("owl:imports").alias("how"))
+    return body.join(imported, (body["o"] == imported["module"]) & (body["p"] == imported["how"]), "left_anti").dropDuplicates(["s", "p", "o", "dt", "lang"])
+
+
+def merged_away(modules: DataFrame, keep: str) -> DataFrame:
+    """The statements that `merged_modules` leaves out."""
+    kept = merged_modules(modules, keep).select(*[F.col(c).alias(f"k_{c}") for c in ("s", "p", "o", "dt", "lang")])
+    same = [modules[c].eqNullSafe(kept[f"k_{c}"]) for c in ("s", "p", "o", "dt", "lang")]
+    return modules.dropDuplicates(["s", "p", "o", "dt", "lang"]).join(kept, reduce(Column.__and__, same), "left_anti")
 
 
 def label_statements(added: DataFrame) -> DataFrame:

@@ -126,3 +126,34 @@ def test_furniture_needs_three_pages_and_is_no_heading(spark):
     pages = spark.createDataFrame([("d", i, f"Law {i}\nArticle {i} x\n{'abcd'[i]} words\nPage {i} of 4") for i in range(4)], "doc string, page int, text string")
     assert rows(laws.furniture(pages)) == [("d", "Law #"), ("d", "Page # of #")]
     assert rows(laws.furniture(pages.where("page < 2"))) == []
+
+
+def test_ancestry_ends_on_a_cycle_reached_from_outside(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 5), (6, 6)], "child bigint, parent bigint")
+    found = rows(graph.ancestry(edges, spark.createDataFrame([(3,)], "node bigint")))
+    assert found == [(1, 3, 2), (2, 3, 1), (3, 3, 1), (4, None, 1), (5, None, 0), (6, None, 0)]
+
+
+def test_merge_drops_headers_and_every_import_of_a_module(spark):
+    head = lambda s: (s, "rdf:type", "owl:Ontology", None, None)
+    body = [("a", "owl:imports", "b", None, None), ("b", "owl:imports", "c", None, None), ("a", "owl:imports", "c", None, None), ("a", "owl:imports", "elsewhere", None, None), ("x", "rdfs:label", "c", None, "en"), ("b", "dct:title", "B", None, None), ("x", "rdfs:label", "c", None, "en")]
+    modules = spark.createDataFrame([head("a"), head("b"), head("c"), *body], "s string, p string, o string, dt string, lang string")
+    kept = [head("a"), ("a", "owl:imports", "elsewhere", None, None), ("x", "rdfs:label", "c", None, "en")]
+    assert rows(statements.merged_modules(modules, "a")) == sorted(kept, key=repr)
+    assert rows(statements.merged_away(modules, "a")) == sorted({head("a"), head("b"), head("c"), *body} - set(kept), key=repr)
+
+
+def test_searches_in_blocks_equal_all_pairs(spark):
+    vectors = [(i, "ab"[i % 2], f"n{i % 7}", [float((i * 7 + j * j) % 5 - 2) for j in range(6)]) for i in range(60)]
+    own = spark.createDataFrame([v for v in vectors if any(v[3])], "id bigint, kind string, norm string, embedding array<double>")
+    few = own.where("id % 10 = 0")
+    cosine = lambda x, y: round(1 - min(1.0, max(0.0, sum(a * b for a, b in zip(x, y, strict=True)))), 6)
+    expected = []
+    for i, kind, _, x in vectors:
+        if i % 10 == 0 and any(x):
+            near = sorted((cosine(x, y), j) for j, other, _, y in vectors if other == kind and j != i and any(y))[:3]
+            expected += [(i, j, d, r + 1) for r, (d, j) in enumerate(near)]
+    assert rows(matching.nearest(few, own, 3)) == sorted(expected, key=repr)
+    listed = few.selectExpr("id", "id + 2 as t_id")
+    whole = {tuple(r) for r in matching.scored_pairs(few, own).join(listed, ["id", "t_id"]).collect()}
+    assert whole and {tuple(r) for r in matching.listed_pairs(few, own, listed).collect()} == whole
