@@ -33,6 +33,7 @@ SEED = 42
 RADIUS = 2
 SEGMENTS = 2
 BITS = 64
+SALTS = 32
 #: Fingerprints of one table entry that are fetched at most; denser entries go the other way.
 DENSE = 64
 
@@ -168,8 +169,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     roots = similar_components(docs.select("text"), shingle, similarity)
     rows = rows.groupBy("doc_id", "row", "node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
     rows = rows.select("doc_id", "row", "n", F.coalesce("root", "node").alias("root"))
-    firsts = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
-    ranked = rows.join(firsts, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row")))
+    firsts = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.sum("n").alias("size"))
+    # a group may hold a third of all rows: its rows are dealt over SALTS tasks, each with a copy of the group's one line
+    firsts = firsts.where("size > 1").select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    ranked = rows.join(firsts, ["root", "salt"]).withColumn("first", F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row")))
     ranked = saved(ranked.where("not first or n > 1").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "first"))
     gone = ranked.drop("first").hint("shuffle_hash")
     alone = docs.join(gone, doc_id.eqNullSafe(gone["gone_id"]) & (row_of(docs) == gone["gone_row"]), "left_anti")
