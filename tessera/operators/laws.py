@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Heading patterns at the start of a line, first match wins; groups: number, title.
+#: Heading patterns at the start of a line as (style, family, pattern with the number as its group); the first
+#: match wins. A heading is capitalised, or has the dash of its family; a line of a table of contents is none.
 HEADINGS = (
-    ("article_dot", r"^Art\. *([0-9]+)\.?-? *(.*)$"),
-    ("articulo", r"^Art[ií]culo +([0-9]+)[°º]?\.? *(.*)$"),
-    ("article", r"^Article +([0-9]+) *(.*)$"),
-    ("section", r"^Section +([0-9]+)\.? *(.*)$"),
-    ("numbered", r"^([0-9]+)\. +([A-Z].*)$"),
+    ("dash", "dash", r"(?iu)^\s*art[íi]?(?:culo|\.)\s*(\d+)\s*\.?-"),
+    ("es_period", "es", r"^[ \t]*(?:ART[ÍI]CULO|Art[íi]culo)[ \t]+(\d+)[ \t]*(?:[°º]|o(?=[ \t]*\.))?[ \t]*\.(?!-)"),
+    ("es_alone", "es", r"^[ \t]*(?:ART[ÍI]CULO|Art[íi]culo)[ \t]+(\d+)[ \t]*(?:[°º])?[ \t]*$"),
+    ("en_alone", "en", r"^[ \t]*(?:ARTICLE|Article)[ \t]+(\d+)[ \t]*$"),
+    ("en_inline", "en", r"^[ \t]*(?:ARTICLE|Article)[ \t]+(\d+)[ \t]*(?:[.:]|[-–—])[ \t]*(?=[A-ZÁÉÍÓÚÑ])"),
 )
-CONTENTS = r"\.{4,} *[0-9]+ *$"
+CONTENTS = r"(?:\.\s?){4,}\s*\d*\s*$|…\s*\d*\s*$"
+#: The most that a chain's number may rise by; the longest line that can be a title; lines that begin as body text does.
+MAX_GAP, LONGEST_TITLE = 3, 150
+BODY = r"^(?:\(?\d+[.)]|\([a-z]\))"
+BLANKS = " \t\n\r\x0b\f"
 LANGUAGES = {"en": "the of and to in that for with shall".split(), "es": "de la que el en los del las por".split()}
 
 
@@ -36,8 +41,8 @@ def edge_lines(pages: DataFrame, reach: int = 2) -> DataFrame:
 
 def is_heading(line: Column) -> Column:
     out = F.lit(False)
-    for _, pattern in HEADINGS[:4]:
-        out = out | F.btrim(line).rlike(pattern)
+    for *_, pattern in HEADINGS:
+        out = out | F.btrim(line, F.lit(BLANKS)).rlike(pattern)
     return out
 
 
@@ -58,42 +63,71 @@ def cleaned(pages: DataFrame) -> DataFrame:
 
 
 def candidates(laws: DataFrame) -> DataFrame:
-    """law, start, family, number, title: lines that read as headings; lines of a table of contents don't count."""
+    """law, start, family, number, style, marker: lines that read as headings, from their first letter; marker is the part matched."""
     lines = laws.select("law", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     before = F.sum(F.char_length("line") + 1).over(Window.partitionBy("law").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    placed = lines.withColumn("start", F.coalesce(before, F.lit(0))).where(~F.col("line").rlike(CONTENTS))
-    family = F.coalesce(*[F.when(F.col("line").rlike(p), name) for name, p in HEADINGS])
-    number = F.coalesce(*[F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for _, p in HEADINGS])
-    title = F.coalesce(*[F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 2)) for _, p in HEADINGS])
-    return placed.select("law", "start", family.alias("family"), number.try_cast("int").alias("number"), title.alias("title")).where("family is not null and number is not null")
+    placed = lines.withColumn("at", F.coalesce(before, F.lit(0)))
+    line = F.regexp_replace("line", "\r$", "")
+    which = F.coalesce(*[F.when(line.rlike(p), F.lit(i)) for i, (_, _, p) in enumerate(HEADINGS)])
+    placed = placed.withColumn("which", which).where(F.col("which").isNotNull() & ~line.rlike(CONTENTS))
+    pick = lambda values: F.get(F.array(*values), F.col("which"))
+    number = pick([F.regexp_extract(line, p, 1) for *_, p in HEADINGS])
+    marker = F.btrim(pick([F.regexp_extract(line, p, 0) for *_, p in HEADINGS]), F.lit(BLANKS))
+    start = F.col("at") + F.char_length("line") - F.char_length(F.ltrim("line", F.lit(BLANKS)))
+    found = placed.select(
+        "law", start.alias("start"), pick([F.lit(f) for _, f, _ in HEADINGS]).alias("family"), number.try_cast("int").alias("number"), pick([F.lit(x) for x, *_ in HEADINGS]).alias("style"), marker.alias("marker")
+    )
+    return found.where("number is not null")
 
 
 def longest_chain(found: DataFrame) -> DataFrame:
-    """law, family, chain: per law the longest chain of rising numbers (steps of 1 to 3) from an article 1, of one family.
+    """law, family, chain: per law the longest chain of rising numbers (steps of 1 to MAX_GAP) from an article 1, of one family.
 
     A fold over the sorted candidates of each start; of equal lengths the later start wins.
     """
-    grouped = found.groupBy("law", "family").agg(F.array_sort(F.collect_list(F.struct("start", "number", "title"))).alias("c"))
+    grouped = found.groupBy("law", "family").agg(F.array_sort(F.collect_list(F.struct("start", "number", "style", "marker"))).alias("c"))
     ones = grouped.withColumn("from", F.expr("filter(transform(c, (x, i) -> if(x.number = 1, i, -1)), i -> i >= 0)"))
     starts = ones.select("law", "family", "c", F.explode(F.when(F.size("from") > 0, F.col("from")).otherwise(F.array(F.lit(0)))).alias("i"))
     empty = F.expr("slice(c, i + 1, 1)")
 
     def step(acc: Column, x: Column) -> Column:
         gap = x["number"] - F.element_at(acc, -1)["number"]
-        return F.when((gap >= 1) & (gap <= 3), F.concat(acc, F.array(x))).otherwise(acc)
+        return F.when((gap >= 1) & (gap <= MAX_GAP), F.concat(acc, F.array(x))).otherwise(acc)
 
     chains = starts.select("law", "family", "i", F.aggregate(F.expr("slice(c, i + 2, size(c))"), empty, step).alias("chain"))
     best = chains.groupBy("law").agg(F.max_by(F.struct("family", "chain"), F.struct(F.size("chain"), F.get("chain", F.lit(0))["start"])).alias("b"))
     return best.select("law", "b.family", "b.chain")
 
 
+def title(style: Column, marker: Column, block: Column) -> Column:
+    """What follows the marker on its line (dash), its first sentence, or for a marker alone the next line that is no body text."""
+    lines = F.split(block, r"\r?\n")
+    after = F.substring(F.get(lines, F.lit(0)), F.char_length(marker) + 1, F.char_length(block))
+    dash = F.btrim(F.ltrim(after, F.lit(" .–-\t")), F.lit(BLANKS))
+    trimmed = F.btrim(after, F.lit(BLANKS))
+    until = F.regexp_extract(trimmed, r"^(.*?)\.(?:\s|$)", 1)
+    sentence = F.btrim(F.when(trimmed.rlike(r"\.(?:\s|$)"), until).otherwise(trimmed), F.lit(" .\t"))
+    rest = F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    following = F.coalesce(F.get(rest, F.lit(0)), F.lit(""))
+    below = F.when((F.char_length(following) > LONGEST_TITLE) | following.rlike(BODY), "").otherwise(F.rtrim(following, F.lit(" .")))
+    return F.when(style == "dash", dash).when(style.endswith("_alone"), below).otherwise(sentence)
+
+
 def articles(laws: DataFrame, chains: DataFrame) -> DataFrame:
     """law, number, title, start, stop, text: from each heading of the chain to the next."""
     heads = chains.select("law", F.explode("chain").alias("h")).select("law", "h.*")
     cut = heads.withColumn("stop", F.lead("start").over(Window.partitionBy("law").orderBy("start"))).join(laws, "law")
     stop = F.coalesce("stop", F.char_length("text"))
-    own = F.btrim(F.substring(F.col("text"), F.col("start") + 1, stop - F.col("start")), F.lit(" \n"))
-    return cut.select("law", "number", "title", "start", stop.alias("stop"), own.alias("body"))
+    own = F.btrim(F.substring(F.col("text"), F.col("start") + 1, stop - F.col("start")), F.lit(BLANKS))
+    cut = cut.select("law", "number", "style", "marker", "start", stop.alias("stop"), own.alias("body"))
+    return cut.select("law", "number", title(F.col("style"), F.col("marker"), F.col("body")).alias("title"), "start", "stop", "body")
+
+
+def rejected(found: DataFrame, chains: DataFrame) -> DataFrame:
+    """law, rejected: heading-like lines that the chain leaves out."""
+    kept = chains.select("law", F.size("chain").alias("kept"))
+    every = found.groupBy("law").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(kept, "law", "left").select("law", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("rejected"))
 
 
 def skipped(chains: DataFrame) -> DataFrame:

@@ -313,11 +313,11 @@ def _(t):
 
 # laws: the turns of a conversation as numbered articles, with noise between; documents of a source as pages
 
-LAWS = """lw AS (SELECT conv_id AS law, string_agg(concat('Article ', CAST(turn + 1 AS VARCHAR), ' Title ', role, chr(10), text, chr(10), 'see Article 9', chr(10)), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
+LAWS = """lw AS (SELECT conv_id AS law, string_agg(concat('ARTICULO ', CAST(5 * turn + 2 AS VARCHAR), chr(10), 'Article ', CAST(turn + 1 AS VARCHAR), ' - Title ', role, '. More', chr(10), text, chr(10), 'see Article 9', chr(10)), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
 
 
 def law_texts(t):
-    head = F.concat(F.lit("Article "), (F.col("turn") + 1).cast("string"), F.lit(" Title "), "role", F.lit("\n"), "text", F.lit("\nsee Article 9\n"))
+    head = F.concat(F.lit("ARTICULO "), (5 * F.col("turn") + 2).cast("string"), F.lit("\nArticle "), (F.col("turn") + 1).cast("string"), F.lit(" - Title "), "role", F.lit(". More\n"), "text", F.lit("\nsee Article 9\n"))
     return t.conversations.groupBy(F.col("conv_id").alias("law")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", head.alias("h")))), lambda x: x["h"]), "").alias("text"))
 
 
@@ -346,21 +346,28 @@ def _(t):
 
 CAND = f"""{LAWS}, l0 AS (SELECT law, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM lw),
 l1 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY law ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l0),
-cd AS (SELECT law, CAST(start AS BIGINT) AS start, CAST(regexp_extract(line, '^Article +([0-9]+)', 1) AS INT) AS number, regexp_extract(line, '^Article +[0-9]+ *(.*)$', 1) AS title FROM l1 WHERE regexp_matches(line, '^Article +[0-9]+ '))"""
+cd AS (SELECT law, CAST(start AS BIGINT) AS start, CAST(regexp_extract(line, '^Article ([0-9]+) - ', 1) AS INT) AS number, regexp_extract(line, '^Article [0-9]+ - (.*)\. More$', 1) AS title FROM l1 WHERE regexp_matches(line, '^Article [0-9]+ - [A-Z]')),
+od AS (SELECT law, CAST(start AS BIGINT) AS start, CAST(regexp_extract(line, '[0-9]+') AS INT) AS number FROM l1 WHERE regexp_matches(line, '^ARTICULO [0-9]+$'))"""
 
 
-@query("t03_candidates", f"WITH {CAND} SELECT law, start, 'article' AS family, number, title FROM cd")
+@query("t03_candidates", f"WITH {CAND} SELECT law, start, 'en' AS family, number, 'en_inline' AS style FROM cd UNION ALL SELECT law, start, 'es', number, 'es_alone' FROM od")
 def _(t):
-    return laws.candidates(law_texts(t))
+    return laws.candidates(law_texts(t)).drop("marker")
 
 
 def chains(t):
     return laws.longest_chain(laws.candidates(law_texts(t)))
 
 
-@query("t04_chain", f"WITH {CAND} SELECT law, count(*) AS n FROM cd GROUP BY law")
+@query("t04_chain", f"WITH {CAND} SELECT law, 'en' AS family, string_agg(number, ',' ORDER BY start) AS numbers FROM cd GROUP BY law")
 def _(t):
-    return chains(t).select("law", F.size("chain").cast("bigint").alias("n"))
+    return chains(t).select("law", "family", F.array_join(F.transform("chain", lambda x: x["number"].cast("string")), ",").alias("numbers"))
+
+
+@query("t06_rejected", f"WITH {CAND} SELECT law, count(*) AS rejected FROM od GROUP BY law")
+def _(t):
+    found = laws.candidates(law_texts(t))
+    return laws.rejected(found, laws.longest_chain(found))
 
 
 @query("t05_articles", f"WITH {CAND}, sp AS (SELECT *, lead(start) OVER (PARTITION BY law ORDER BY start) AS nx FROM cd) SELECT sp.law, number, title, start, coalesce(nx, length(text)) AS stop, trim(substr(text, CAST(start + 1 AS BIGINT), CAST(coalesce(nx, length(text)) - start AS BIGINT)), concat(' ', chr(10))) AS body FROM sp JOIN lw ON lw.law = sp.law")

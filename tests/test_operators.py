@@ -113,17 +113,38 @@ def test_damaged_lines(spark, tmp_path):
         statements.read_log(spark, path, "cache_key string, seq bigint").collect()
 
 
-def test_chains_and_articles(spark):
-    text = "Article 1 One\ntext\nArticle 9 noise\nArticle 2 Two\nArticle 4 Four\nmore ....... 7\n"
+def segmented(spark, text):
     law = spark.createDataFrame([(1, text)], "law bigint, text string")
-    chains = laws.longest_chain(laws.candidates(law))
-    assert [h.number for h in chains.first().chain] == [1, 2, 4]
-    assert rows(laws.skipped(chains)) == [(1, 3)]
-    assert [r.body for r in laws.articles(law, chains).orderBy("start").collect()][0].startswith("Article 1 One\ntext")
+    found = laws.candidates(law)
+    chains = laws.longest_chain(found)
+    arts = laws.articles(law, chains).orderBy("start").collect()
+    return arts, [r.number for r in laws.skipped(chains).collect()], [r.rejected for r in laws.rejected(found, chains).collect()]
+
+
+def test_chains_and_articles(spark):
+    text = "Article 1 - One. Then\ntext\nArticle 9: Noise\nArticle 2\n\nTwo.\nbody\nArticle 4\n(1) body\nArticle 5 - More ....... 7\n"
+    arts, skipped, rejected = segmented(spark, text)
+    assert [(a.number, a.title) for a in arts] == [(1, "One"), (2, "Two"), (4, "")]
+    assert skipped == [3] and rejected == [1]
+    assert arts[0].body.startswith("Article 1 - One. Then\ntext") and arts[-1].stop == len(text)
+    assert [a.stop for a in arts[:-1]] == [a.start for a in arts[1:]]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_heading_families(spark, end):
+    spanish = [" ARTÍCULO 1o. OBJETO. La norma rige.", "artículo 9°. no es encabezado", "Artículo 2°. Ámbito de aplicación", "Artículo 3", "  Datos sensibles. ", "texto", "Articulo 4 . Final."]
+    assert [(a.number, a.title) for a in segmented(spark, end.join(spanish))[0]] == [(1, "OBJETO"), (2, "Ámbito de aplicación"), (3, "Datos sensibles"), (4, "Final")]
+    dashed = ["Art. 1.-Objeto y fin.- Uno", "según el Art. 2.- citado", "Artículo 2.- Dos", "art. 3- Tres ", "Art. 4 Cuatro"]
+    arts, _, rejected = segmented(spark, end.join(dashed))
+    assert [(a.number, a.title) for a in arts] == [(1, "Objeto y fin.- Uno"), (2, "Dos"), (3, "Tres")] and rejected == [0]
+    english = ["ARTICLE 1", "Scope", "Article 1. In the case of doubt", "Article 2. Terms. They are", "1. body", "Article 3", "x" * 151]
+    arts, _, rejected = segmented(spark, end.join(english))
+    assert [(a.number, a.title) for a in arts] == [(1, "In the case of doubt"), (2, "Terms"), (3, "")] and rejected == [1]
+    assert segmented(spark, "no headings")[0] == []
 
 
 def test_furniture_needs_three_pages_and_is_no_heading(spark):
-    pages = spark.createDataFrame([("d", i, f"Law {i}\nArticle {i} x\n{'abcd'[i]} words\nPage {i} of 4") for i in range(4)], "doc string, page int, text string")
+    pages = spark.createDataFrame([("d", i, f"Law {i}\nArticle {i}. Xs\n{'abcd'[i]} words\nPage {i} of 4") for i in range(4)], "doc string, page int, text string")
     assert rows(laws.furniture(pages)) == [("d", "Law #"), ("d", "Page # of #")]
     assert rows(laws.furniture(pages.where("page < 2"))) == []
 
