@@ -210,7 +210,7 @@ def _(t):
     return ops.search(t.concepts, "ring")
 
 
-@query("c26_evidence", f"{NEAR} SELECT id, t_id, 'nearest' AS origin FROM n WHERE rank <= 3 AND distance <= 0.8 AND id % 20 <> 0 UNION ALL SELECT id, id + 1, 'cited' FROM items WHERE id % 20 = 0")
+@query("c26_evidence", f"{NEAR} SELECT id, t_id, 'nearest' AS origin FROM n WHERE rank <= 3 AND distance <= 0.8 AND id % 200 <> 0 UNION ALL SELECT id, id + 1, 'cited' FROM items WHERE id % 200 = 0")
 def _(t):
     s, targets = sides(t)
-    return ops.select_evidence(ops.nearest(s, targets, 3), s.where("id % 20 = 0").select("id", (F.col("id") + 1).alias("t_id")), 3, 0.8)
+    return ops.select_evidence(ops.nearest(s, targets, 3), s.where("id % 200 = 0").select("id", (F.col("id") + 1).alias("t_id")), 3, 0.8)

@@ -197,7 +197,7 @@ GOLD_PAIRS = "g AS (SELECT x.id, y.id AS t_id FROM items x JOIN items y ON x.lab
 
 def gold_pairs(t):
     s, targets = sides(t)
-    return s.select("id", "label").join(targets.select(F.col("id").alias("t_id"), "label"), "label").select("id", "t_id")
+    return s.select("id", "label").join(targets.select(F.col("id").alias("t_id"), "label"), "label").where("id <> t_id").select("id", "t_id")
 
 
 @query("f06_hits", f"{NEAR}, {GOLD_PAIRS}, b AS (SELECT g.id, min(rank) AS best FROM g LEFT JOIN n ON n.id = g.id AND n.t_id = g.t_id AND rank <= 10 GROUP BY g.id) SELECT count(*) AS n, count(*) FILTER (WHERE best <= 1) AS hit_1, count(*) FILTER (WHERE best <= 3) AS hit_3, count(*) FILTER (WHERE best <= 10) AS hit_10, count(*) FILTER (WHERE best IS NULL) AS missing FROM b")
