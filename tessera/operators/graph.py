@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.storage import saved
+from tessera.sources.storage import Rounds, saved
 
 MATCHES = ["skos:exactMatch", "skos:closeMatch", "skos:broadMatch"]
 
@@ -19,12 +19,11 @@ MATCHES = ["skos:exactMatch", "skos:closeMatch", "skos:broadMatch"]
 def closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
     """child, parent: all pairs that one or more edges connect (with reflexive: and every node with itself); cycles end."""
     step = edges.select(F.col("child").alias("mid"), F.col("parent").alias("next"))
-    known = saved(edges.select("child", "parent").distinct())
-    newest = known
-    while newest.take(1):
-        found = newest.join(step, newest["parent"] == step["mid"]).select("child", F.col("next").alias("parent")).distinct()
-        newest = saved(found.join(known, ["child", "parent"], "left_anti"))
-        known = saved(known.unionByName(newest))
+    rounds = Rounds(edges.select("child", "parent").distinct())
+    while rounds.newest.take(1):
+        found = rounds.newest.join(step, rounds.newest["parent"] == step["mid"]).select("child", F.col("next").alias("parent")).distinct()
+        rounds.add(found.join(rounds.known(), ["child", "parent"], "left_anti"))
+    known = rounds.known()
     if reflexive:
         nodes = edges.select(F.explode(F.array("child", "parent")).alias("child")).distinct()
         known = known.unionByName(nodes.select("child", F.col("child").alias("parent"))).distinct()
@@ -33,13 +32,11 @@ def closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node: the roots (node) and all below them."""
-    known = saved(roots.select("node").distinct())
-    newest = known
-    while newest.take(1):
-        found = edges.join(newest, edges["parent"] == newest["node"]).select(F.col("child").alias("node")).distinct()
-        newest = saved(found.join(known, "node", "left_anti"))
-        known = saved(known.unionByName(newest))
-    return known
+    rounds = Rounds(roots.select("node").distinct())
+    while rounds.newest.take(1):
+        found = edges.join(rounds.newest, edges["parent"] == rounds.newest["node"]).select(F.col("child").alias("node")).distinct()
+        rounds.add(found.join(rounds.known(), "node", "left_anti"))
+    return rounds.known()
 
 
 def first_parents(edges: DataFrame) -> DataFrame:
@@ -125,23 +122,6 @@ def citing(graph: DataFrame, text: str) -> DataFrame:
     return graph.where((F.col("o_kind") == "literal") & F.lower("o").contains(text.lower())).select("s", "o")
 
 
-def typed_with(graph: DataFrame, type_: str, predicate: str) -> DataFrame:
-    """s, o: values of a predicate on subjects of a type."""
-    typed = graph.where((F.col("p") == "rdf:type") & (F.col("o") == type_)).select("s")
-    return graph.where(F.col("p") == predicate).join(typed, "s", "left_semi").select("s", "o")
-
-
-def values_of(graph: DataFrame, predicates: list[str]) -> DataFrame:
-    return graph.where(F.col("p").isin(predicates)).select("s", "p", "o")
-
-
-def listed(graph: DataFrame, branches: list[DataFrame], label: str) -> DataFrame:
-    """s, label of the union of several branches (s), each subject once, with its least label if it has one."""
-    nodes = reduce(DataFrame.unionByName, branches).distinct()
-    labels = graph.where(F.col("p") == label).groupBy("s").agg(F.min("o").alias("label"))
-    return nodes.join(labels, "s", "left")
-
-
 def answer_keys(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A canonical key of each answer row: local names of IRIs, the text of literals."""
     from tessera.functions.text import local_name

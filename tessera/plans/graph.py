@@ -114,37 +114,6 @@ def _(t):
     return ops.citing(t.triples, "art.")
 
 
-def listing(name: str, nation: int, segment: str) -> None:
-    """The law questions: union of members, descendants and matches, with a label."""
-
-    @query(name, f"""WITH n AS (SELECT s FROM triples WHERE p = 'rdf:type' AND o = 'http://ex.org/nation#{nation}' UNION SELECT s FROM triples WHERE p = 'ex:segment' AND o = '{segment}' UNION SELECT s FROM triples WHERE p = 'rdfs:domain' AND o = 'http://ex.org/nation#{nation}')
-SELECT n.s, min(o) AS label FROM n LEFT JOIN triples t ON t.s = n.s AND t.p = 'skos:prefLabel' GROUP BY n.s""")
-    def _(t):
-        g = t.triples
-        branch = lambda p, o: g.where((F.col("p") == p) & (F.col("o") == o)).select("s")
-        iri = f"http://ex.org/nation#{nation}"
-        return ops.listed(g, [branch("rdf:type", iri), branch("ex:segment", segment), branch("rdfs:domain", iri)], "skos:prefLabel")
-
-
-for _name, _nation, _segment in (("l01_rights", 1, "MACHINERY"), ("l02_cases", 2, "HOUSEHOLD"), ("l03_principles", 3, "FURNITURE"), ("l04_categories", 4, "BUILDING"), ("l07_measures", 5, "AUTOMOBILE"), ("l08_infringements", 6, "MACHINERY"), ("l09_transfers", 7, "HOUSEHOLD"), ("l10_sensitive", 8, "FURNITURE")):
-    listing(_name, _nation, _segment)
-
-
-@query("l05_deadlines", "SELECT s, p, o FROM triples WHERE p IN ('ex:segment', 'skos:prefLabel')")
-def _(t):
-    return ops.values_of(t.triples, ["ex:segment", "skos:prefLabel"])
-
-
-def typed(name: str, type_: str, predicate: str) -> None:
-    @query(name, f"SELECT a.s, a.o FROM triples a JOIN triples b ON b.s = a.s AND b.p = 'rdf:type' AND b.o = '{type_}' WHERE a.p = '{predicate}'")
-    def _(t):
-        return ops.typed_with(t.triples, type_, predicate)
-
-
-for _name, _type, _predicate in (("l06_notice", "http://ex.org/nation#3", "ex:segment"), ("k01_person_notice", "owl:Class", "rdfs:label"), ("k02_consent", "owl:ObjectProperty", "skos:prefLabel"), ("k03_members", "owl:Class", "rdfs:subClassOf"), ("k05_age", "owl:DatatypeProperty", "rdfs:domain")):
-    typed(_name, _type, _predicate)
-
-
 @query("q02_row_keys", "SELECT DISTINCT concat_ws(' ', CASE WHEN s LIKE '%#%' THEN split_part(s, '#', 2) ELSE regexp_extract(s, '[^/]*$') END, o) AS row_key FROM triples WHERE p = 'ex:segment'")
 def _(t):
     return ops.answer_keys(t.triples.where("p = 'ex:segment'").select("s", "o"), ["s", "o"]).select("row_key").distinct()

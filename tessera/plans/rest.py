@@ -155,11 +155,6 @@ def _(t):
     return profiles.preview(t.part.select(F.col("p_partkey").alias("node"), (F.col("p_size") % 3 == 0).alias("aligned")), t.edges)
 
 
-@query("k04_ensures", "SELECT s, o FROM triples WHERE p = 'rdfs:subClassOf' UNION SELECT s, o FROM triples WHERE p = 'rdfs:domain'")
-def _(t):
-    return graph.values_of(t.triples, ["rdfs:subClassOf", "rdfs:domain"]).select("s", "o").distinct()
-
-
 @query("q01_query_sets", "SELECT a.set_id, q.qid, (SELECT count(*) FROM triples t WHERE (a.set_id = 'all' OR t.origin = 'nation') AND ((q.qid = 'labels' AND t.p = 'rdfs:label') OR (q.qid = 'types' AND t.p = 'rdf:type'))) AS n FROM (VALUES ('all'), ('nation')) a(set_id), (VALUES ('labels'), ('types')) q(qid)")
 def _(t):
     ask = {"labels": lambda g: g.where("p = 'rdfs:label'"), "types": lambda g: g.where("p = 'rdf:type'")}

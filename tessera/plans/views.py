@@ -50,6 +50,31 @@ UNION ALL SELECT concat('http://ex.org/supplier/', CAST(s_suppkey AS STRING)), '
 UNION ALL SELECT concat('http://ex.org/supplier/', CAST(s_suppkey AS STRING)), 'rdfs:domain', concat('http://ex.org/nation#', CAST(s_nationkey AS STRING)), 'iri', NULL, NULL, 'supplier' FROM {supplier}
 UNION ALL SELECT concat('http://ex.org/doc#', CAST(doc_id AS STRING)), 'rdfs:label', text, 'literal', 'rdf:langString', lang, 'documents' FROM {documents}
 UNION ALL SELECT concat('http://ex.org/doc#', CAST(doc_id AS STRING)), 'skos:exactMatch', concat('https://w3id.org/dpv#', source), 'iri', NULL, NULL, 'documents' FROM {documents} WHERE doc_id % 3 = 0""",
+    "law_nodes": """
+SELECT p_partkey AS k, p_name AS label, p_size AS size,
+       CASE p_partkey WHEN 3 THEN 'onto:Rights' WHEN 4 THEN 'onto:Principles' WHEN 5 THEN 'onto:Special_personal_data_categories' WHEN 6 THEN 'op:Corrective_measures'
+         WHEN 7 THEN 'onto:Sanctions' WHEN 8 THEN 'op:Transfer_or_communication' ELSE concat('c:', CAST(p_partkey AS STRING)) END AS iri,
+       CASE p_partkey WHEN 3 THEN 'dpv:DataSubjectRight' WHEN 4 THEN 'dpv:LegalBasis' WHEN 5 THEN 'dpv:Principle' WHEN 6 THEN 'dpv:SpecialCategoryPersonalData'
+         WHEN 7 THEN 'dpv:DataTransferLegalBasis' WHEN 8 THEN 'dpv:SafeguardForDataTransfer' WHEN 10 THEN 'dpv:SensitivePersonalData' ELSE concat('dpv:t', CAST(p_partkey AS STRING)) END AS term FROM {part}""",
+    "law_graph": """
+SELECT a.iri AS s, 'rdfs:subClassOf' AS p, b.iri AS o, 'iri' AS o_kind FROM {law_nodes} AS a JOIN {law_nodes} AS b ON b.k = CAST(floor(a.k / 3) AS BIGINT) WHERE a.k > 0
+UNION ALL SELECT a.term, CASE WHEN a.k % 2 = 0 THEN 'rdfs:subClassOf' ELSE 'skos:broader' END, b.term, 'iri' FROM {law_nodes} AS a JOIN {law_nodes} AS b ON b.k = CAST(floor(a.k / 3) AS BIGINT) WHERE a.k > 0
+UNION ALL SELECT iri, 'rdfs:label', label, 'literal' FROM {law_nodes} WHERE size % 10 <> 0
+UNION ALL SELECT a.iri, CASE a.k % 4 WHEN 0 THEN 'skos:exactMatch' WHEN 1 THEN 'skos:closeMatch' WHEN 2 THEN 'skos:broadMatch' ELSE 'skos:relatedMatch' END, b.term, 'iri' FROM {law_nodes} AS a JOIN {law_nodes} AS b ON b.k = CAST(floor(a.k * 5 / 7) AS BIGINT) WHERE a.size % 3 = 0
+UNION ALL SELECT iri, 'dct:source', concat('the law, art. ', CAST(k % 77 AS STRING)), 'literal' FROM {law_nodes} WHERE size % 4 = 1
+UNION ALL SELECT iri, 'dct:source', concat('art. ', CAST(k % 77 AS STRING), ', second paragraph'), 'literal' FROM {law_nodes} WHERE size % 8 = 1
+UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), 'rdf:type', 'owl:NamedIndividual', 'iri' FROM {customer} WHERE c_custkey % 2 = 0
+UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), 'rdf:type', CASE c_nationkey % 12 WHEN 0 THEN 'onto:Rights' WHEN 1 THEN 'onto:Principles' WHEN 2 THEN 'onto:Special_personal_data_categories' WHEN 3 THEN 'onto:Corrective_measures'
+  WHEN 4 THEN 'onto:Violations' WHEN 5 THEN 'onto:Sensitive_data' WHEN 6 THEN 'onto:Members_of_the_personal_data_protection_system' WHEN 7 THEN 'onto:Right_of_access' WHEN 8 THEN 'op:Notification' WHEN 9 THEN 'onto:Consent' ELSE 'onto:Person' END, 'iri' FROM {customer}
+UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), CASE c_nationkey % 12 WHEN 0 THEN 'onto:are_constituted_of' WHEN 1 THEN 'onto:are_composed_of' WHEN 2 THEN 'onto:special_categories_of_personal_data_are_composed_of' ELSE 'onto:are_comprised_of' END,
+  concat('c:', CAST(c_custkey + 8 AS STRING)), 'iri' FROM {customer} WHERE c_nationkey % 12 IN (0, 1, 2, 4)
+UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), CASE c_nationkey % 12 WHEN 6 THEN 'onto:are_composed_of' WHEN 7 THEN 'onto:right_account_encumbered' ELSE 'onto:responsable_de_canalizar_el_ejercicio_de_derechos' END,
+  concat('i:', CAST(c_custkey + 1 AS STRING)), 'iri' FROM {customer} WHERE c_nationkey % 12 IN (0, 6, 7)
+UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), CASE c_nationkey % 12 WHEN 3 THEN 'onto:what_will_be_the_corrective_measures' WHEN 5 THEN 'onto:data_related_to' WHEN 8 THEN 'op:Security_notification_of_infringement' WHEN 9 THEN 'onto:valid' WHEN 10 THEN 'onto:age' ELSE 'onto:conditions_for_legitimate_treatment' END,
+  c_mktsegment, 'literal' FROM {customer} WHERE c_nationkey % 12 IN (3, 5, 8, 9, 10, 11)
+UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), CASE WHEN c_nationkey % 12 = 8 THEN 'op:time_of_a_vulnerability_notification' WHEN c_custkey % 3 = 0 THEN 'op:right_of_access_time' ELSE 'onto:deadline_in_days_for_the_right_of_access' END,
+  CAST(c_custkey % 30 AS STRING), 'literal' FROM {customer} WHERE c_nationkey % 12 IN (7, 8)
+UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), 'onto:can_give_explicit_consent_to_treatment', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, 'literal' FROM {customer} WHERE c_nationkey % 12 = 10""",
     "gold": """
 SELECT d.doc_id AS key, CASE WHEN l.quality = 1 THEN 'aligned' ELSE 'no_match' END AS status, d.lang AS term, l.toxic, l.quality,
        least(CAST(1.0 AS DOUBLE), CAST(d.n_chars AS DOUBLE) / 4000) AS score, CASE WHEN d.n_chars % 3 = 0 THEN 'fr' ELSE d.lang END AS predicted,

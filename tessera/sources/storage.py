@@ -30,3 +30,19 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A table that grows by rounds: each is written once, as a folder of its own, and nothing is written again."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.path, self.schema, self.n = first.sparkSession, scratch(first.sparkSession), first.schema, 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/{self.n}")
+        self.newest = self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.n}")
+        self.n += 1
+
+    def known(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{i}" for i in range(self.n)])
