@@ -53,13 +53,31 @@ def furniture(pages: DataFrame) -> DataFrame:
     return seen.join(total, "doc").where((F.col("n") >= 3) & (2 * F.col("n") >= F.col("pages"))).select("doc", "norm")
 
 
+#: Marks of consolidated texts (a line of its own, or around words), headings with spaced letters, ligatures.
+MARKER_LINE = r"^\s*[▼►◄]\s*[A-Z]?\d*\s*$"
+INLINE_MARKER = r"►\s*[A-Z]\d+\s*|\s*◄"
+SPACED = r"^\s*(?:\S ){4,}\S?\s*$"
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def cleaned(pages: DataFrame) -> DataFrame:
-    """doc, page, text, removed: the pages without their furniture."""
+    """doc, page, text, removed, markers, spaced, ligatures: the pages without furniture, marks and spaced headings, and counts of what went.
+
+    A page of nothing else has an empty text. A marker counts once a line; ligatures are counted in what is left.
+    """
     edges = edge_lines(pages).withColumn("norm", masked(F.col("line"))).join(furniture(pages), ["doc", "norm"], "left_semi").select("doc", "page", "pos", F.lit(True).alias("gone"))
     every = lines_of(pages).join(edges, ["doc", "page", "pos"], "left")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "line"))))
-    one = every.groupBy("doc", "page").agg(ordered.alias("l"), F.count("gone").alias("removed"))
-    return one.select("doc", "page", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"), "removed")
+    kind = F.when(F.col("gone"), "removed").when(F.col("line").rlike(MARKER_LINE), "marker").when(F.col("line").rlike(SPACED), "spaced").when(F.col("line").rlike(INLINE_MARKER), "inline").otherwise("kept")
+    every = every.withColumn("kind", kind)
+    ordered = F.array_sort(F.collect_list(F.when(F.col("kind").isin("inline", "kept"), F.struct("pos", F.regexp_replace("line", INLINE_MARKER, "").alias("line")))))
+    counts = [F.count_if(F.col("kind") == "removed").alias("removed"), F.count_if(F.col("kind").isin("marker", "inline")).alias("markers"), F.count_if(F.col("kind") == "spaced").alias("spaced")]
+    one = every.groupBy("doc", "page").agg(ordered.alias("l"), *counts)
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    whole = one.select("doc", "page", text.alias("text"), "removed", "markers", "spaced").withColumn("ligatures", F.regexp_count("text", F.lit(f"[{''.join(LIGATURES)}]")).cast("bigint"))
+    plain = F.col("text")
+    for sign, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(letters))
+    return whole.withColumn("text", plain)
 
 
 def candidates(laws: DataFrame) -> DataFrame:

@@ -104,9 +104,22 @@ def evidence_grid(near: DataFrame, gold: DataFrame, grid: DataFrame) -> DataFram
 
 
 def halves(rows: DataFrame, strata: list[str], seed: str) -> DataFrame:
-    """key, half: two halves of equal mix in each stratum."""
-    order = Window.partitionBy(*strata).orderBy(shuffled(seed, F.col("key")), "key")
-    return rows.select("key", *strata, (F.row_number().over(order) % 2).alias("half"))
+    """key, half: two halves of equal mix in each stratum; of the strata of odd size, in order, each other one gives half 0 the row more.
+
+    The place of a row among its stratum's is that among the rows of the same first two hash digits, after the counts of the
+    digits before: no stratum is sorted in one task.
+    """
+    order = shuffled(seed, F.col("key"))
+    placed = rows.select("key", *strata, order.alias("order"), F.substring(order, 1, 2).alias("part"))
+    parts = placed.groupBy(*strata, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select(*[F.col(c).alias(f"b_{c}") for c in strata], F.col("part").alias("b_part"), (F.sum("n").over(Window.partitionBy(*strata).orderBy("part")) - F.col("n")).alias("before"))
+    sizes = parts.groupBy(*strata).agg(F.sum("n").alias("size"))
+    odd = F.sum(F.col("size") % 2).over(Window.orderBy(*[F.asc_nulls_first(c) for c in strata]))  # one row a stratum
+    cuts = sizes.select(*[F.col(c).alias(f"c_{c}") for c in strata], (F.floor(F.col("size") / 2) + (F.col("size") % 2) * (odd % 2)).alias("cut"))
+    same = lambda mark: [F.col(c).eqNullSafe(F.col(f"{mark}_{c}")) for c in strata]
+    ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy(*strata, "part").orderBy("order", "key")))
+    whole = ranked.join(before, [F.col("part") == F.col("b_part"), *same("b")]).join(cuts, same("c"))
+    return whole.select("key", *strata, F.when(F.col("k") + F.col("before") <= F.col("cut"), 0).otherwise(1).alias("half"))
 
 
 def error_class() -> Column:

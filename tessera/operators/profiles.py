@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import descendants, first_parents
+
 DIMENSIONS = 64
 
 
@@ -47,16 +49,30 @@ def evidence(own: DataFrame, near: DataFrame) -> DataFrame:
     return both.select("key", F.coalesce("article", "near").alias("article"), F.when(F.col("article").isNotNull(), "own").when(F.col("near").isNotNull(), "nearest").otherwise("none").alias("origin"))
 
 
-def module_assignment(classes: DataFrame, properties: DataFrame, profile_families: list[str], hint: str) -> DataFrame:
-    """name, module, flag: classes by family, then by a hint in the name, else core; properties follow their domain.
+#: A profile's entity this near to the vocabulary, or a core one this far from it, is shown for review.
+NEAR, FAR = 0.75, 0.35
+
+
+def module_assignment(classes: DataFrame, properties: DataFrame, edges: DataFrame, scores: DataFrame, profile: list[str], core: list[str], hint: str) -> DataFrame:
+    """id, module, reason, flags of classes (id, name, family) and of properties that are no class (id, name, family, domain).
 
-    classes: name, family; properties: name, domain. A property without a known domain is core, for review.
+    Classes by family; those of a core family at or below a name with the hint, up the first parents of edges (child, parent),
+    are of the profile; without a family they are core. Properties follow their domain where it is a class, else their family,
+    else they are core, for review. scores: id, score of an entity's nearest term; one without has no flag for it.
     """
-    module = F.when(F.col("family").isin(profile_families), "profile").when(F.lower("name").contains(hint), "profile").otherwise("core")
-    own = classes.select("name", module.alias("module"), F.lit(False).alias("flag"))
-    domains = own.select(F.col("name").alias("domain"), "module")
-    followed = properties.join(domains, "domain", "left").select("name", F.coalesce("module", F.lit("core")).alias("module"), F.col("module").isNull().alias("flag"))
-    return own.unionByName(followed)
+    hinted = descendants(first_parents(edges), classes.unionByName(properties.select("id", "name", "family")).where(F.lower("name").contains(hint)).select(F.col("id").alias("node")))
+    marked = classes.join(hinted.select(F.col("node").alias("id"), F.lit(True).alias("hinted")), "id", "left")
+    family = F.when(F.col("family").isin(profile), "profile").when(F.col("family").isin(core), "core")
+    module = F.when(F.col("hinted") & (family == "core"), "profile").otherwise(F.coalesce(family, F.lit("core")))
+    reason = F.when(F.col("hinted") & (family == "core"), "hint").when(family.isNotNull(), "family").otherwise("default")
+    own = marked.select("id", "family", module.alias("module"), reason.alias("reason"))
+    domains = own.select(F.col("id").alias("domain"), F.col("module").alias("followed"))
+    pure = properties.join(classes.select("id"), "id", "left_anti").join(domains, "domain", "left")
+    why = F.when(F.col("followed").isNotNull(), "domain").when(family.isNotNull(), "family").otherwise("default")
+    every = own.unionByName(pure.select("id", "family", F.coalesce("followed", family, F.lit("core")).alias("module"), why.alias("reason")).withColumn("pure", F.lit(True)), allowMissingColumns=True)
+    near, far = (F.col("module") == "profile") & (F.col("score") >= NEAR), (F.col("module") == "core") & (F.col("score") < FAR)
+    flags = F.concat_ws("|", F.when(F.col("pure") & (F.col("reason") == "default"), "no domain"), F.when(F.col("family").isNull(), "no family"), F.when(near, "near").when(far, "far"))
+    return every.join(scores.groupBy("id").agg(F.max("score").alias("score")), "id", "left").select("id", "module", "reason", flags.alias("flags"))
 
 
 def module_counts(graph: DataFrame, modules: DataFrame) -> DataFrame:

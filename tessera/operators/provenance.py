@@ -16,11 +16,8 @@ def batch_report(rows: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(bad)).select("action", "n", "bad", (F.col("total_bad") == 0).alias("written"))  # bad: one row
 
 
-def change_reasons(requests: DataFrame, state: DataFrame, terms: DataFrame) -> DataFrame:
-    """seq, reason of change requests (concept_key, kind, dpv_iri, replaces, relation): null for those that can be made.
-
-    Only one change a concept counts, the first that is valid otherwise.
-    """
+def single_reasons(requests: DataFrame, state: DataFrame, terms: DataFrame) -> DataFrame:
+    """The requests (concept_key, kind, dpv_iri, replaces, relation) with the reason against each by itself, null where there is none."""
     own = state.groupBy("concept_key").agg(F.collect_set("dpv_iri").alias("held"))
     joined = requests.join(own, "concept_key", "left").join(terms.select(F.col("iri").alias("dpv_iri"), F.col("kind").alias("t_kind")), "dpv_iri", "left")
     held = F.coalesce("held", F.array().cast("array<string>"))
@@ -28,7 +25,15 @@ def change_reasons(requests: DataFrame, state: DataFrame, terms: DataFrame) -> D
         F.when(F.col("t_kind").isNull(), "unknown term").when(F.col("t_kind") != F.col("kind"), "incompatible kind").when(~F.col("relation").isin(decisions.RELATIONS), "unknown relation")
         .when((F.size(held) > 1) & F.col("replaces").isNull(), "which mapping").when(F.array_contains(held, F.col("dpv_iri")), "no change")
     )
-    found = joined.withColumn("reason", reason)
+    return joined.select(*requests.columns, reason.alias("reason"))
+
+
+def change_reasons(requests: DataFrame, state: DataFrame, terms: DataFrame) -> DataFrame:
+    """seq, reason of change requests: null for those that can be made.
+
+    Only one change a concept counts, the first that is valid otherwise.
+    """
+    found = single_reasons(requests, state, terms)
     order = Window.partitionBy("concept_key", F.col("reason").isNull()).orderBy("seq")
     return found.withColumn("turn", F.row_number().over(order)).select("seq", F.when(F.col("reason").isNull() & (F.col("turn") > 1), "one change a concept").otherwise(F.col("reason")).alias("reason"))
 

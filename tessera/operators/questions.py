@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.measure import ratio
+from tessera.operators.provenance import single_reasons
 
 
 def over_sets(sets: dict[str, DataFrame], queries: dict) -> DataFrame:
@@ -48,15 +49,20 @@ def catalogue_problems(catalogue: DataFrame) -> DataFrame:
     return catalogue.withColumn("problem", problem).where("problem is not null").select("id", "problem").distinct()
 
 
-def questions_with_options(doubts: DataFrame, options: DataFrame, limit: int) -> DataFrame:
-    """key, options, over_limit: one question per doubt in priority order; options of the same kind only, in order.
+def questions_with_options(doubts: DataFrame, options: DataFrame, state: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """key, part, options, status: one question per doubt in priority order, with those of its options that can be made.
 
-    The limit is what one session asks; the rest are marked, not dropped.
+    doubts: key, kind, part, priority, score; options: key, rank, dpv_iri, relation, replaces. An option is tested by itself
+    against the state, as change requests are. Without one left a doubt is `no option` and takes no place among those asked;
+    beyond the limit, what one session asks of a part, it is `over limit`. All doubts are returned.
     """
-    fit = doubts.select("key", "kind").join(options, ["key", "kind"], "left_semi").select("key").distinct()
-    listed = options.join(doubts.select("key", "kind"), ["key", "kind"]).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ",").alias("options"))
-    turn = F.row_number().over(Window.partitionBy("part").orderBy("priority", F.desc("score"), "key"))
-    return doubts.join(fit, "key").join(listed, "key").withColumn("over_limit", turn > limit).select("key", "part", "options", "over_limit")
+    asked = options.join(doubts.select("key", "kind"), "key").withColumnRenamed("key", "concept_key")
+    fit = single_reasons(asked, state, terms).where("reason is null")
+    term = F.transform(F.array_sort(F.collect_list(F.struct("rank", "dpv_iri"))), lambda x: x["dpv_iri"])
+    listed = fit.groupBy(F.col("concept_key").alias("key")).agg(F.array_join(term, ",").alias("options"))
+    whole = doubts.join(listed, "key", "left")
+    turn = F.row_number().over(Window.partitionBy("part", F.col("options").isNull()).orderBy("priority", F.desc("score"), "key"))
+    return whole.select("key", "part", "options", F.when(F.col("options").isNull(), "no option").when(turn > limit, "over limit").otherwise("asked").alias("status"))
 
 
 def citations_valid(answers: DataFrame, shown: DataFrame) -> DataFrame:

@@ -290,11 +290,11 @@ def law_texts(t):
     return t.conversations.groupBy(F.col("conv_id").alias("law")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", head.alias("h")))), lambda x: x["h"]), "").alias("text"))
 
 
-PAGES = "pg AS (SELECT source AS doc, doc_id AS page, concat('Header 1', chr(10), text, chr(10), 'Page ', CAST(doc_id AS VARCHAR), ' of 9') AS text FROM documents)"
+PAGES = "pg AS (SELECT source AS doc, doc_id AS page, concat('Header 1', chr(10), replace(text, 'fi', 'ﬁ'), chr(10), '▼M1', chr(10), 'S e c t i o n 1', chr(10), '►C2 changed ◄ words', chr(10), '◄', chr(10), 'last line', chr(10), 'Page ', CAST(doc_id AS VARCHAR), ' of 9') AS text FROM documents)"
 
 
 def page_texts(t):
-    return t.documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.concat(F.lit("Header 1\n"), F.col("text"), F.lit("\nPage "), F.col("doc_id").cast("string"), F.lit(" of 9")).alias("text"))
+    return t.documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.concat(F.lit("Header 1\n"), F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("\n▼M1\nS e c t i o n 1\n►C2 changed ◄ words\n◄\nlast line\nPage "), F.col("doc_id").cast("string"), F.lit(" of 9")).alias("text"))
 
 
 EDGE = f"""{PAGES}, ln AS (SELECT doc, page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM pg),
@@ -307,13 +307,15 @@ def _(t):
     return laws.furniture(page_texts(t))
 
 
-@query("t02_cleaned", f"""WITH {EDGE}, gn AS (SELECT eg.doc, eg.page, eg.pos FROM eg JOIN fu ON fu.doc = eg.doc AND fu.norm = regexp_replace(trim(line), '[0-9]+', '#', 'g'))
-SELECT ln.doc, ln.page, coalesce(string_agg(line, chr(10) ORDER BY ln.pos) FILTER (WHERE gn.pos IS NULL), '') AS text, count(gn.pos) AS removed FROM ln LEFT JOIN gn ON gn.doc = ln.doc AND gn.page = ln.page AND gn.pos = ln.pos GROUP BY ALL""")
+@query("t02_cleaned", rf"""WITH {EDGE}, gn AS (SELECT DISTINCT eg.doc, eg.page, eg.pos FROM eg JOIN fu ON fu.doc = eg.doc AND fu.norm = regexp_replace(trim(line), '[0-9]+', '#', 'g')),
+k AS (SELECT ln.*, CASE WHEN gn.pos IS NOT NULL THEN 'removed' WHEN regexp_matches(line, '^\s*[▼►◄]\s*[A-Z]?[0-9]*\s*$') THEN 'marker' WHEN regexp_matches(line, '^\s*(?:\S ){{4,}}\S?\s*$') THEN 'spaced' WHEN contains(line, '◄') THEN 'inline' ELSE 'kept' END AS kind FROM ln LEFT JOIN gn ON gn.doc = ln.doc AND gn.page = ln.page AND gn.pos = ln.pos),
+j AS (SELECT doc, page, coalesce(string_agg(regexp_replace(regexp_replace(line, '►\s*[A-Z][0-9]+\s*', '', 'g'), '\s*◄', '', 'g'), chr(10) ORDER BY pos) FILTER (WHERE kind IN ('kept', 'inline')), '') AS text, count(*) FILTER (WHERE kind = 'removed') AS removed, count(*) FILTER (WHERE kind IN ('marker', 'inline')) AS markers, count(*) FILTER (WHERE kind = 'spaced') AS spaced FROM k GROUP BY ALL)
+SELECT doc, page, replace(text, 'ﬁ', 'fi') AS text, removed, markers, spaced, length(text) - length(replace(text, 'ﬁ', '')) AS ligatures FROM j""")
 def _(t):
     return laws.cleaned(page_texts(t))
 
 
-CAND = f"""{LAWS}, l0 AS (SELECT law, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM lw),
+CAND = rf"""{LAWS}, l0 AS (SELECT law, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM lw),
 l1 AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY law ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l0),
 cd AS (SELECT law, CAST(start AS BIGINT) AS start, CAST(regexp_extract(line, '^Article ([0-9]+) - ', 1) AS INT) AS number, regexp_extract(line, '^Article [0-9]+ - (.*)\. More$', 1) AS title FROM l1 WHERE regexp_matches(line, '^Article [0-9]+ - [A-Z]')),
 od AS (SELECT law, CAST(start AS BIGINT) AS start, CAST(regexp_extract(line, '[0-9]+') AS INT) AS number FROM l1 WHERE regexp_matches(line, '^ARTICULO [0-9]+$'))"""

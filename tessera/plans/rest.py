@@ -130,18 +130,20 @@ def _(t):
     return profiles.evidence(own, t.concepts.where("seq % 2 = 0").select("key", (F.col("seq") % 7).alias("article")))
 
 
-MODULE = "md AS (SELECT DISTINCT name, CASE WHEN family IN ('Brand#1', 'Brand#2') THEN 'profile' WHEN contains(lower(name), 'bluerod') THEN 'profile' ELSE 'core' END AS module FROM concepts WHERE kind = 'class' AND seq IN (SELECT min(seq) FROM concepts WHERE kind = 'class' GROUP BY name))"
-
-
-def class_table(t):
-    first = t.concepts.where("kind = 'class'").groupBy("name").agg(F.min_by("family", "seq").alias("family"))
-    return first
-
-
-@query("h05_modules", f"WITH {MODULE}, p AS (SELECT key AS name, concat(upper(substr(name, 1, 1)), substr(name, 2)) AS domain FROM concepts WHERE kind = 'property') SELECT name, module, false AS flag FROM md UNION ALL SELECT p.name, coalesce(module, 'core'), module IS NULL FROM p LEFT JOIN md ON md.name = p.domain")
-def _(t):
-    properties = t.concepts.where("kind = 'property'").select(F.col("key").alias("name"), F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substr(name, 2)")).alias("domain"))
-    return profiles.module_assignment(class_table(t), properties, ["Brand#1", "Brand#2"], "bluerod")
+@query("h05_modules", """
+WITH c AS (SELECT seq AS id, name, CASE WHEN seq % 6 <> 0 THEN family END AS family FROM concepts WHERE kind = 'class'), p AS (SELECT seq AS id, name, CASE WHEN seq % 7 <> 0 THEN family END AS family, CAST(floor(seq / 3) AS BIGINT) AS domain FROM concepts WHERE kind = 'property'),
+hi(node) AS (SELECT seq FROM concepts WHERE contains(lower(name), 'bluerod') UNION SELECT child FROM edges JOIN hi ON parent = node),
+f AS (SELECT x.*, CASE WHEN family IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 'profile' WHEN left(family, 7) IN ('Brand#2', 'Brand#3') THEN 'core' END AS fm FROM (SELECT *, NULL AS domain, false AS pure FROM c UNION ALL SELECT *, true FROM p) x),
+m1 AS (SELECT *, CASE WHEN fm = 'core' AND id IN (SELECT node FROM hi) THEN 'profile' ELSE coalesce(fm, 'core') END AS module, CASE WHEN fm = 'core' AND id IN (SELECT node FROM hi) THEN 'hint' WHEN fm IS NOT NULL THEN 'family' ELSE 'default' END AS reason FROM f WHERE NOT pure),
+m AS (SELECT id, family, module, reason, false AS pure FROM m1 UNION ALL SELECT f.id, f.family, coalesce(m1.module, f.fm, 'core'), CASE WHEN m1.id IS NOT NULL THEN 'domain' WHEN f.fm IS NOT NULL THEN 'family' ELSE 'default' END, true FROM f LEFT JOIN m1 ON m1.id = f.domain WHERE f.pure)
+SELECT m.id, module, reason, concat_ws('|', CASE WHEN pure AND reason = 'default' THEN 'no domain' END, CASE WHEN family IS NULL THEN 'no family' END, CASE WHEN module = 'profile' AND score >= 0.75 THEN 'near' WHEN module = 'core' AND score < 0.35 THEN 'far' END) AS flags FROM m LEFT JOIN (SELECT p_partkey AS id, p_size / 50.0 AS score FROM part WHERE p_partkey % 2 = 0) s ON s.id = m.id""")
+def _(t):
+    own = t.concepts.select(F.col("seq").alias("id"), "name", "family", "kind")
+    classes = own.where("kind = 'class'").select("id", "name", F.when(F.col("id") % 6 != 0, F.col("family")).alias("family"))
+    properties = own.where("kind = 'property'").select("id", "name", F.when(F.col("id") % 7 != 0, F.col("family")).alias("family"), F.floor(F.col("id") / 3).alias("domain"))
+    scores = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("score"))
+    core = [f"Brand#{n}{m}" for n in (2, 3) for m in ("", *range(10))]
+    return profiles.module_assignment(classes, properties, t.edges, scores, ["Brand#11", "Brand#12", "Brand#13"], core, "bluerod")
 
 
 @query("h11_module_counts", "SELECT module, count(*) AS statements, count(DISTINCT s) AS subjects FROM (SELECT s, CASE WHEN origin IN ('nation', 'region') THEN 'core' ELSE 'profile' END AS module FROM triples) GROUP BY module")
@@ -196,13 +198,21 @@ def _(t):
     return questions.catalogue_problems(t.nation.select((F.col("n_nationkey") % 20).alias("id"), F.when(F.col("n_regionkey") != 2, F.col("n_name")).alias("grp"), F.lit("value").alias("criterion")))
 
 
-@query("e18_questions", """WITH d AS (SELECT key, kind, family AS part, seq % 3 AS priority, CAST(seq % 10 AS DOUBLE) AS score FROM concepts WHERE seq % 4 <> 1), o AS (SELECT key, kind, concat('o', seq % 5) AS term, seq % 2 AS rank FROM concepts UNION ALL SELECT key, kind, 'x', 9 FROM concepts WHERE seq % 3 = 0)
-SELECT d.key, part, (SELECT string_agg(term, ',' ORDER BY rank, term) FROM o WHERE o.key = d.key AND o.kind = d.kind) AS options, row_number() OVER (PARTITION BY part ORDER BY priority, score DESC, d.key) > 3 AS over_limit FROM d""")
+@query("e18_questions", """
+WITH d AS (SELECT key, kind, family AS part, seq, seq % 3 AS priority, CAST(seq % 10 AS DOUBLE) AS score FROM concepts WHERE seq % 4 <> 1),
+o AS (SELECT key, seq % 2 AS rank, concat('t', seq % 7) AS term, CASE WHEN seq % 11 = 0 THEN 'odd' ELSE 'closeMatch' END AS rel, CASE WHEN seq % 3 = 0 THEN 't2' END AS replaces FROM concepts UNION ALL SELECT key, 9, 't3', 'exactMatch', NULL FROM concepts WHERE seq % 5 = 0),
+st AS (SELECT key, concat('t', seq % 4) AS term FROM concepts WHERE seq % 3 = 0 UNION SELECT key, 't6' FROM concepts WHERE seq % 9 = 0), h AS (SELECT key, count(*) AS n, list(term) AS held FROM st GROUP BY key),
+f AS (SELECT o.key, string_agg(term, ',' ORDER BY rank, term) AS options FROM o JOIN d ON d.key = o.key LEFT JOIN h ON h.key = o.key WHERE term IN ('t0', 't1', 't2', 't3', 't4') AND d.kind = CASE WHEN term IN ('t0', 't1', 't2') THEN 'class' ELSE 'property' END AND rel <> 'odd'
+ AND NOT (coalesce(n, 0) > 1 AND replaces IS NULL) AND NOT coalesce(list_contains(held, term), false) GROUP BY o.key)
+SELECT d.key, part, options, CASE WHEN options IS NULL THEN 'no option' WHEN row_number() OVER (PARTITION BY part, options IS NULL ORDER BY priority, score DESC, d.key) > 3 THEN 'over limit' ELSE 'asked' END AS status FROM d LEFT JOIN f ON f.key = d.key""")
 def _(t):
-    s = F.col("seq")
+    s, term = F.col("seq"), lambda n: F.concat(F.lit("t"), n.cast("string")).alias("dpv_iri")
     doubts = t.concepts.where("seq % 4 <> 1").select("key", "kind", F.col("family").alias("part"), (s % 3).alias("priority"), (s % 10).cast("double").alias("score"))
-    options = t.concepts.select("key", "kind", F.concat(F.lit("o"), (s % 5).cast("string")).alias("term"), (s % 2).alias("rank")).unionByName(t.concepts.where("seq % 3 = 0").select("key", "kind", F.lit("x").alias("term"), F.lit(9).cast("bigint").alias("rank")))
-    return questions.questions_with_options(doubts, options, 3)
+    options = t.concepts.select("key", (s % 2).alias("rank"), term(s % 7), F.when(s % 11 == 0, "odd").otherwise("closeMatch").alias("relation"), F.when(s % 3 == 0, "t2").alias("replaces"))
+    options = options.unionByName(t.concepts.where("seq % 5 = 0").select("key", F.lit(9).cast("bigint").alias("rank"), F.lit("t3").alias("dpv_iri"), F.lit("exactMatch").alias("relation"), F.lit(None).cast("string").alias("replaces")))
+    state = t.concepts.where("seq % 3 = 0").select(F.col("key").alias("concept_key"), term(s % 4)).unionByName(t.concepts.where("seq % 9 = 0").select(F.col("key").alias("concept_key"), F.lit("t6").alias("dpv_iri")))
+    terms = t.spark.createDataFrame([(f"t{i}", "class" if i < 3 else "property") for i in range(5)], "iri string, kind string")
+    return questions.questions_with_options(doubts, options, state, terms, 3)
 
 
 @query("e19_citations", "SELECT o_orderkey AS key, bool_and(o_orderkey % 5 <> 0 OR o_custkey % 2 = 0) AS valid FROM orders GROUP BY o_orderkey")

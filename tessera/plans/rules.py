@@ -273,7 +273,8 @@ def _(t):
     return measure.evidence_grid(matching.nearest(*sides(t), 5), gold_pairs(t), grid)
 
 
-@query("f13_halves", "SELECT key, status, toxic, row_number() OVER (PARTITION BY status, toxic ORDER BY md5(concat('3|', key)), key) % 2 AS half FROM gold")
+@query("f13_halves", """WITH s AS (SELECT status, toxic, count(*) AS size FROM gold GROUP BY ALL), c AS (SELECT status, toxic, size // 2 + size % 2 * (sum(size % 2) OVER (ORDER BY status, toxic) % 2) AS cut FROM s)
+SELECT key, g.status, g.toxic, CASE WHEN row_number() OVER (PARTITION BY g.status, g.toxic ORDER BY md5(concat('3|', key)), key) <= cut THEN 0 ELSE 1 END AS half FROM gold g JOIN c ON c.status = g.status AND c.toxic = g.toxic""")
 def _(t):
     return measure.halves(t.gold, ["status", "toxic"], "3")
 

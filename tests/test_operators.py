@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import humanize, indel_ratio, normalize_name, trim_words
-from tessera.operators import decisions, graph, laws, matching, measure, rules, shapes
+from tessera.operators import decisions, graph, law_questions, laws, matching, measure, rules, shapes
 from tessera.sources import statements
 from tessera.streaming import logs
 
@@ -178,3 +178,27 @@ def test_searches_in_blocks_equal_all_pairs(spark):
     listed = few.selectExpr("id", "id + 2 as t_id")
     whole = {tuple(r) for r in matching.scored_pairs(few, own).join(listed, ["id", "t_id"]).collect()}
     assert whole and {tuple(r) for r in matching.listed_pairs(few, own, listed).collect()} == whole
+
+
+def test_pages_lose_marks_and_spaced_headings(spark):
+    text = "▼B\nS e c t i o n 1\n►C1 ofﬁce ◄ and a b c\nﬂow ►M2 on"
+    found = laws.cleaned(spark.createDataFrame([("d", 1, text), ("d", 2, "◄"), ("d", 3, "")], "doc string, page int, text string"))
+    assert rows(found) == [("d", 1, "office and a b c\nflow on", 0, 3, 1, 2), ("d", 2, "", 0, 1, 0, 0), ("d", 3, "", 0, 0, 0, 0)]
+
+
+def test_halves_share_the_rows_over(spark):
+    found = measure.halves(spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "key bigint, s string"), ["s"], "1")
+    assert rows(found.groupBy("s", "half").count()) == sorted([("a", 0, 2), ("a", 1, 1), ("b", 0, 1), ("b", 1, 2), ("c", 0, 2), ("c", 1, 1)], key=repr)
+    assert rows(measure.halves(found.select("key", "s").limit(0), ["s"], "1")) == []
+
+
+def test_questions_on_a_law(spark):
+    graph_ = spark.createDataFrame(
+        [("c:a", "rdfs:subClassOf", "onto:Rights"), ("onto:Rights", "rdfs:subClassOf", "top"), ("c:b", "rdfs:subClassOf", "c:a"), ("i:1", "rdf:type", "onto:Rights"), ("i:1", "onto:are_constituted_of", "i:2"), ("i:2", "rdf:type", "owl:NamedIndividual"),
+         ("c:m", "skos:closeMatch", "dpv:x"), ("dpv:x", "skos:broader", "dpv:y"), ("dpv:y", "rdfs:subClassOf", "dpv:DataSubjectRight"), ("c:s", "dct:source", "art. 12"), ("c:t", "dct:source", "art. 12, 3"), ("c:s", "rdfs:label", "one"), ("c:s", "rdfs:label", "two"),
+         ("i:1", "onto:responsable_de_canalizar_el_ejercicio_de_derechos", "i:2"), ("p", "onto:age", "15"), ("p", "onto:can_give_explicit_consent_to_treatment", "true"), ("q", "onto:age", "9"), ("q", "onto:can_give_explicit_consent_to_treatment", "false")],
+        "s string, p string, o string",
+    )
+    ask = lambda name: rows(law_questions.answered(graph_, law_questions.QUESTIONS[name]))
+    assert ask("l01_rights") == sorted([("c:a", None, None, None), ("c:b", None, None, None), ("i:2", None, None, None), ("c:m", None, "dpv:x", None), ("c:s", "one", None, "art. 12"), ("c:s", "two", None, "art. 12")], key=repr)
+    assert ask("k04_ensures") == [("i:2", None)] and ask("k05_age") == [("p", "15")] and ask("l08_infringements") == []
