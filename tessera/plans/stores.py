@@ -80,7 +80,10 @@ def _(t):
     own = collection(t).select("id", "document")
     new = own.where("id % 10 = 0").select("id", F.lit("new").alias("document"))
     more = new.unionByName(new.withColumn("id", F.col("id") + 1000000))
-    return vectors.upserted(vectors.upserted(own, more), more)
+    path = scratch(t.spark)
+    for rows in (own, more, more):
+        vectors.upsert_collection(rows, path)
+    return vectors.read_collection(t.spark, path)
 
 
 @query("s08_select", "SELECT vec_id AS id, concat('doc ', label) AS document FROM embeddings WHERE label IN (1, 3)")
@@ -99,6 +102,17 @@ def _(t):
     return vectors.rebuild_status(stored, wanted)
 
 
+@query("s09_ensure", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 2 = 0) AS even FROM embeddings)
+SELECT 0 AS turn, 'missing' AS before, 'current' AS after, even AS items FROM n UNION ALL SELECT 1, 'current', 'current', even FROM n UNION ALL SELECT 2, 'stale', 'current', n FROM n""")
+def _(t):
+    path, found = scratch(t.spark), []
+    turns = [(collection(t).where("id % 2 = 0"), "a"), (collection(t), "a"), (collection(t), "b")]  # the second is not built: the inputs are said to be the same
+    for turn, (rows, fingerprint) in enumerate(turns):
+        before = vectors.ensure_collection(rows, path, fingerprint)
+        found.append(vectors.read_collection(t.spark, path).agg(F.count(F.lit(1)).alias("items")).select(F.lit(turn).alias("turn"), F.lit(before).alias("before"), F.lit(vectors.collection_state(t.spark, path, fingerprint)).alias("after"), "items"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("s10_term_records", "SELECT iri AS id, concat_ws('. ', name, label) AS document, kind, parent AS parents FROM terms")
 def _(t):
     return vectors.term_records(t.terms).withColumn("parents", F.array_join("parents", ","))
@@ -114,11 +128,14 @@ def _(t):
     return vectors.article_records(laws.articles(law_texts(t), chains(t))).drop("document")
 
 
-@query("s13_candidate_file", f"{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lexical DESC, t_id) AS rank FROM p) SELECT id, t_id, score, rank FROM r WHERE rank <= 3")
+@query("s13_candidate_file", f"{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lexical DESC, t_id) AS rank FROM p) SELECT id, t_id, score, rank, count(*) OVER (PARTITION BY id) AS n FROM r WHERE rank <= 3")
 def _(t):
     path = scratch(t.spark)
-    matching.top_candidates(all_pairs(t), 3).select("id", "t_id", "score", "rank").write.json(path)
-    return t.spark.read.schema("id bigint, t_id bigint, score double, rank int").json(path)
+    io.write_candidates(matching.top_candidates(all_pairs(t), 3).select("id", "t_id", "score", "rank"), path, {"top": "3"}, "id")
+    rows = t.spark.read.schema("id bigint, t_id bigint, score double, rank int").option("header", True).csv(f"{path}/csv")
+    counted = t.spark.read.schema("id bigint, n bigint").json(f"{path}/counts")
+    same = t.spark.read.schema("id bigint, t_id bigint, score double, rank int").json(f"{path}/rows")
+    return rows.intersect(same).join(counted, "id")
 
 
 @query("s14_report", "SELECT family, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM concepts GROUP BY family")
@@ -151,19 +168,21 @@ def _(t):
     return io.label_statements(t.documents.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("key"), labels.alias("labels")))
 
 
-@query("s18_definitions", "SELECT p, count(*) AS n FROM (SELECT unnest(['skos:definition', 'owl:annotatedSource', 'dct:source']) AS p FROM documents) GROUP BY p")
+@query("s18_definitions", """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS s, text AS o, lang, concat('_:', substr(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), text)), 1, 16)) AS node, concat('art. ', doc_id % 9) AS art FROM documents)
+SELECT s, 'skos:definition' AS p, o, lang FROM a UNION ALL SELECT node, 'owl:annotatedSource', s, NULL FROM a UNION ALL SELECT node, 'dct:source', art, NULL FROM a""")
 def _(t):
-    added = t.documents.select(F.col("doc_id").cast("string").alias("s"), F.substring("text", 1, 100).alias("o"), "lang", (F.col("doc_id") % 9).alias("article"))
-    return io.definition_statements(added).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    added = t.documents.select(F.col("doc_id").cast("string").alias("s"), F.col("text").alias("o"), "lang", (F.col("doc_id") % 9).alias("article"))
+    return io.definition_statements(added)
 
 
-MAPPED = f"{LATEST}, m AS (SELECT concept_key AS s, dpv_iri AS o, coalesce(CASE WHEN relation <> 'relatedMatch' THEN relation END, 'rdfs:seeAlso') AS relation, reviewer FROM cur WHERE decision = 'approved')"
+MAPPED = f"{LATEST}, m0 AS (SELECT concept_key AS s, dpv_iri AS o, coalesce(CASE WHEN relation <> 'relatedMatch' THEN relation END, 'rdfs:seeAlso') AS relation, reviewer, seq FROM cur WHERE decision = 'approved'), m AS (SELECT *, concat('_:', substr(sha256(concat_ws(chr(31), s, relation, o)), 1, 16)) AS node FROM m0)"
 
 
-@query("s20_alignment", f"{MAPPED} SELECT s, relation AS p, o FROM m UNION ALL SELECT concat('_:', substr(sha256(concat_ws(chr(31), s, relation, o)), 1, 16)), 'decidedBy', reviewer FROM m")
+@query("s20_alignment", f"""{MAPPED} SELECT s, relation AS p, o FROM m UNION ALL SELECT node, 'owl:annotatedSource', s FROM m UNION ALL SELECT node, 'owl:annotatedProperty', relation FROM m UNION ALL SELECT node, 'owl:annotatedTarget', o FROM m
+UNION ALL SELECT node, 'decidedBy', reviewer FROM m UNION ALL SELECT node, 'confidence', CAST(seq % 8 / 8.0 AS VARCHAR) FROM m WHERE seq % 2 = 0 UNION ALL SELECT node, 'owl:versionInfo', CAST(seq % 3 + 1 AS VARCHAR) FROM m""")
 def _(t):
-    own = current(t).where("decision = 'approved'").select(F.col("concept_key").alias("s"), F.col("dpv_iri").alias("o"), F.when(F.col("relation") != "relatedMatch", F.col("relation")).alias("relation"), F.col("reviewer").alias("by"), F.lit(None).cast("double").alias("score"))
-    return io.mapping_statements(own)
+    relation, score = F.when(F.col("relation") != "relatedMatch", F.col("relation")), F.when(F.col("seq") % 2 == 0, F.col("seq") % 8 / 8.0)
+    return io.mapping_statements(current(t).where("decision = 'approved'").select(F.col("concept_key").alias("s"), F.col("dpv_iri").alias("o"), relation.alias("relation"), F.col("reviewer").alias("by"), score.alias("score"), (F.col("seq") % 3 + 1).alias("version")))
 
 
 @query("s23_merge", f"{STATEMENTS.replace('o_kind, ', '')} WHERE s NOT IN ('http://ex.org/nation#1', 'http://ex.org/nation#2')")

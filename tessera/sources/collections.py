@@ -1,10 +1,17 @@
-"""Vector collections: Parquet tables with one folder per collection, and a manifest row that says what they hold."""
+"""Vector collections: Parquet tables with one folder per collection, and a manifest row that says what they hold.
+
+A stored collection is a folder: each version of its rows in a folder of its own, and manifest rows (JSON lines) that name the
+version, its count and the fingerprint of its inputs. The manifest row is written last, so a broken build is never read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "version bigint, items bigint, fingerprint string"
+
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with the rows of new, by id: doing it again changes nothing."""
@@ -47,3 +54,56 @@ def decision_records(current: DataFrame) -> DataFrame:
 def article_records(articles: DataFrame) -> DataFrame:
     """id, document, start, stop: one record per article."""
     return articles.select(F.concat(F.col("law").cast("string"), F.lit("/art-"), F.col("number").cast("string")).alias("id"), F.col("body").alias("document"), "start", "stop")
+
+
+def newest(spark: SparkSession, path: str) -> Row | None:
+    """The last manifest row of a stored collection; none: it isn't there."""
+    try:
+        rows = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.orderBy(F.desc("version")).first()
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{newest(spark, path).version}")
+
+
+def build_collection(rows: DataFrame, path: str, fingerprint: str) -> int:
+    """Writes the rows as the collection's next version; an id twice is an error and nothing is written. Returns the count."""
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"an id stands more than once, such as {twice['id']}")
+    last = newest(rows.sparkSession, path)
+    version = 1 if last is None else last.version + 1
+    rows.write.mode("overwrite").parquet(f"{path}/{version}")  # of a build that broke off, if anything
+    items = rows.sparkSession.read.parquet(f"{path}/{version}").count()
+    rows.sparkSession.createDataFrame([(version, items, fingerprint)], MANIFEST).write.mode("append").json(f"{path}/manifest")
+    return items
+
+
+def upsert_collection(rows: DataFrame, path: str) -> int:
+    """Stores the collection with these rows put in by id; the same rows again change nothing."""
+    last = newest(rows.sparkSession, path)
+    whole = rows if last is None else upserted(read_collection(rows.sparkSession, path), rows)
+    return build_collection(whole, path, "" if last is None else last.fingerprint)
+
+
+def collection_state(spark: SparkSession, path: str, fingerprint: str) -> str:
+    """missing, stale (of other inputs), incomplete (not the count of the manifest) or current."""
+    last = newest(spark, path)
+    if last is None:
+        return "missing"
+    if last.fingerprint != fingerprint:
+        return "stale"
+    return "current" if read_collection(spark, path).count() == last.items else "incomplete"
+
+
+def ensure_collection(rows: DataFrame, path: str, fingerprint: str) -> str:
+    """Builds the collection unless it is current; rows are computed only then. Returns the state before."""
+    state = collection_state(rows.sparkSession, path, fingerprint)
+    if state != "current":
+        build_collection(rows, path, fingerprint)
+    return state

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import humanize, indel_ratio, normalize_name, trim_words
 from tessera.operators import decisions, graph, law_questions, laws, matching, measure, rules, shapes
-from tessera.sources import statements
+from tessera.sources import collections, statements
 from tessera.streaming import logs
 
 
@@ -202,3 +202,48 @@ def test_questions_on_a_law(spark):
     ask = lambda name: rows(law_questions.answered(graph_, law_questions.QUESTIONS[name]))
     assert ask("l01_rights") == sorted([("c:a", None, None, None), ("c:b", None, None, None), ("i:2", None, None, None), ("c:m", None, "dpv:x", None), ("c:s", "one", None, "art. 12"), ("c:s", "two", None, "art. 12")], key=repr)
     assert ask("k04_ensures") == [("i:2", None)] and ask("k05_age") == [("p", "15")] and ask("l08_infringements") == []
+
+
+def test_quads_and_escapes(spark, tmp_path):
+    (tmp_path / "a.nq").write_text('<http://x/a> <http://x/p> "caf\\u00E9 \\U0001F600 \\\\u0041 \\u005Cn"@es <http://x/g> .\n_:b <http://x/p> <http://x/o> _:g .\n# note\n<http://x/a> <http://x/q> "1"^^<http://x/int> .\n')
+    found = [(r.s, r.o, r.dt, r.lang) for r in statements.read_statements(spark, str(tmp_path)).collect()]
+    assert found == [("http://x/a", "café 😀 \\u0041 \\n", "rdf:langString", "es"), ("_:b", "http://x/o", None, None), ("http://x/a", "1", "http://x/int", None)]
+
+
+def test_json_ld_of_others(spark, tmp_path):
+    doc = """{"@graph": [
+      {"@id": "http://x/a", "@type": ["http://x/C", "http://x/D"], "http://x/p": [{"@value": "uno", "@language": "es"}, {"@value": 5}, {"@value": true}, {"@value": "5"}, {"@id": "_:n"}]},
+      {"@id": "_:n", "http://x/q": [{"@value": "[not a list] {", "@type": "http://x/t"}]}]}"""
+    (tmp_path / "a.jsonld").write_text(doc)
+    rdf, xsd = statements.RDF + "type", statements.XSD
+    expected = [("http://x/a", rdf, "http://x/C", "iri", None, None), ("http://x/a", rdf, "http://x/D", "iri", None, None), ("http://x/a", "http://x/p", "uno", "literal", "rdf:langString", "es"), ("http://x/a", "http://x/p", "5", "literal", xsd + "integer", None),
+                ("http://x/a", "http://x/p", "true", "literal", xsd + "boolean", None), ("http://x/a", "http://x/p", "5", "literal", None, None), ("http://x/a", "http://x/p", "_:n", "bnode", None, None), ("_:n", "http://x/q", "[not a list] {", "literal", "http://x/t", None)]
+    assert rows(statements.read_json_ld(spark, str(tmp_path / "a.jsonld"), lines=False)) == sorted(expected, key=repr)
+    (tmp_path / "b.jsonld").write_text('[{"@id": "a", "p": [{"@list": []}]}]')
+    (tmp_path / "c.jsonld").write_text('{"@context": {"p": "http://x/p"}, "@id": "a", "p": "x"}')
+    (tmp_path / "d.jsonld").write_text('{"@id": "a", "p": [')
+    for name in "bcd":
+        with pytest.raises(Exception, match="JSON-LD"):
+            statements.read_json_ld(spark, str(tmp_path / f"{name}.jsonld"), lines=False).collect()
+
+
+@pytest.mark.parametrize(("encoding", "sep"), [("utf-8-sig", ","), ("utf-8", ";"), ("cp1252", ";")])
+def test_labelled_samples(spark, tmp_path, encoding, sep):
+    (tmp_path / "a.csv").write_bytes(f"key{sep}name{sep}n\n1{sep}año €{sep}7\n2{sep}{sep}\n".encode(encoding))
+    assert rows(statements.read_labelled(spark, str(tmp_path), "n int, key string, name string, more string")) == [(7, "1", "año €", None), (None, "2", None, None)]
+
+
+def test_stored_collections(spark, tmp_path):
+    path = str(tmp_path / "c")
+    own = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, document string")
+    assert collections.collection_state(spark, path, "f") == "missing"
+    assert [collections.ensure_collection(own, path, f) for f in ("f", "f", "g")] == ["missing", "current", "stale"]
+    with pytest.raises(ValueError, match="more than once"):
+        collections.build_collection(own.unionByName(own), path, "g")
+    more = spark.createDataFrame([(2, "x"), (3, "y")], "id bigint, document string")
+    for _ in range(2):
+        collections.upsert_collection(more, path)
+        assert rows(collections.read_collection(spark, path)) == [(1, "a"), (2, "x"), (3, "y")]
+    version = collections.newest(spark, path).version
+    own.limit(1).write.mode("overwrite").parquet(f"{path}/{version}")
+    assert collections.collection_state(spark, path, "g") == "incomplete"
