@@ -52,30 +52,66 @@ def token_sort(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the table, as a fold over the characters."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row even where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: A row of the table of a text up to this long is held as the bits of one number.
+ROW_BITS = 62
+
+
+def chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda x: x != "")
+
+
+def bit_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence; b has ROW_BITS characters at most: each character of a is a few steps on one number."""
+    one = F.lit(1).cast("bigint")
+    places = F.transform(chars(b), lambda y, i: F.struct(y.alias("y"), F.call_function("shiftleft", one, i).alias("bit")))
+    full = F.call_function("shiftleft", one, F.char_length(b)) - 1
+
+    def last_row(known: Column) -> Column:
+        def step(row: Column, x: Column) -> Column:
+            hit = row.bitwiseAND(F.aggregate(known["places"], F.lit(0).cast("bigint"), lambda acc, e: F.when(e["y"] == x, acc + e["bit"]).otherwise(acc)))
+            return (row + hit).bitwiseOR(row - hit).bitwiseAND(known["full"])
 
-    def step(row: Column, x: Column) -> Column:
-        def cell(acc: Column, y: Column) -> Column:
-            up = F.get(row, F.size(acc["out"]) + 1)
-            diagonal = F.get(row, F.size(acc["out"]))
-            left = F.element_at(F.concat(F.array(F.lit(0)), acc["out"]), -1)
-            best = F.when(x == y, diagonal + 1).otherwise(F.greatest(up, left))
-            return F.struct(F.concat(acc["out"], F.array(best)).alias("out"))
+        return F.aggregate(chars(a), known["full"], step)
 
-        start = F.struct(F.array().cast("array<int>").alias("out"))
-        return F.aggregate(chars(b), start, cell, lambda acc: F.concat(F.array(F.lit(0)), acc["out"]))
+    return F.char_length(b) - F.bit_count(let(F.struct(places.alias("places"), full.alias("full")), last_row))
 
-    first = F.transform(F.sequence(F.lit(0), F.char_length(b)), lambda _: F.lit(0))
-    return F.element_at(F.aggregate(chars(a), first, step), -1)
+
+def long_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of texts of any length, row by row of the table, as a fold over the characters."""
+
+    def last_cell(known: Column) -> Column:
+        def step(row: Column, x: Column) -> Column:
+            def cell(acc: Column, y: Column) -> Column:
+                up, diagonal = F.get(row, F.size(acc)), F.get(row, F.size(acc) - 1)
+                best = F.when(x == y, diagonal + 1).otherwise(F.greatest(up, F.element_at(acc, -1)))
+                return F.concat(acc, F.array(best))
+
+            return F.aggregate(known, F.array(F.lit(0)), cell)
+
+        first = F.transform(F.sequence(F.lit(0), F.size(known)), lambda _: F.lit(0))
+        return F.element_at(F.aggregate(chars(a), first, step), -1)
+
+    return let(chars(b), last_cell)
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    swap = F.char_length(a) < F.char_length(b)
+    both = F.struct(F.when(swap, b).otherwise(a).alias("more"), F.when(swap, a).otherwise(b).alias("less"))
+    of = lambda t: F.when(F.char_length(t["less"]) <= ROW_BITS, bit_subsequence(t["more"], t["less"])).otherwise(long_subsequence(t["more"], t["less"]))
+    return let(both, of)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """2 LCS / (len a + len b) of the token-sorted names; 0 if one is empty."""
-    x, y = token_sort(a), token_sort(b)
-    ratio = 2.0 * common_subsequence(x, y) / (F.char_length(x) + F.char_length(y))
-    return F.when((a == "") | (b == ""), 0.0).otherwise(ratio)
+    sorted_ = F.struct(token_sort(a).alias("x"), token_sort(b).alias("y"))
+    ratio = lambda t: 2.0 * common_subsequence(t["x"], t["y"]) / (F.char_length(t["x"]) + F.char_length(t["y"]))
+    return F.when((a == "") | (b == ""), 0.0).otherwise(let(sorted_, ratio))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,9 +1,11 @@
 """Small hand-made cases: exact values, orders, nulls, ties, cycles, empty tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.text import humanize, indel_ratio, normalize_name, trim_words
+from tessera.functions.text import common_subsequence, humanize, indel_ratio, normalize_name, trim_words
 from tessera.operators import decisions, graph, law_questions, laws, matching, measure, rules, shapes
 from tessera.sources import collections, statements
 from tessera.streaming import logs
@@ -247,3 +249,16 @@ def test_stored_collections(spark, tmp_path):
     version = collections.newest(spark, path).version
     own.limit(1).write.mode("overwrite").parquet(f"{path}/{version}")
     assert collections.collection_state(spark, path, "g") == "incomplete"
+
+
+def test_common_subsequences_of_any_length(spark):
+    rng, pairs = random.Random(3), [("", ""), ("a", ""), ("ñandú 😀", "nandú 😀"), ("x" * 62, "x" * 62), ("ab" * 40, "ba" * 40)]
+    pairs += [tuple("".join(rng.choice("abcd ") for _ in range(rng.choice([3, 20, 61, 62, 63, 70]))) for _ in range(2)) for _ in range(40)]
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()
+    for r in found:
+        row = [0] * (len(r.b) + 1)
+        for x in r.a:
+            before = row[:]
+            for i, y in enumerate(r.b):
+                row[i + 1] = before[i] + 1 if x == y else max(before[i + 1], row[i])
+        assert r.n == row[-1]
