@@ -2,8 +2,9 @@
 
 Documents come in batches by rising doc_id. A run is a bucketed, sorted table of the line hashes that one or more batches
 were the first to hold; runs never share a hash. A batch looks its hashes up in every run by a merge join on the common
-buckets (the runs are not shuffled again), loses what an earlier document holds, and adds the hashes no run has as a new
-run. When a level has FANOUT runs, they are compacted to one run of the next level, so a batch meets few runs.
+buckets (the runs are neither shuffled nor sorted again), loses what an earlier document holds, and adds the hashes no run
+has as a new run. When a level has FANOUT runs, they are merged, bucket by bucket, to one run of the next level, so a batch
+meets few runs.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased. A key of at least MIN_CHARS
 code points that two or more documents hold keeps its lines in the smallest doc_id only (all of them there).
@@ -28,6 +29,8 @@ BATCHES = 4
 FANOUT = 2
 #: A line's identity: two independent 64-bit hashes of its key.
 KEY = ["h1", "h2"]
+#: Spark's setting to take a bucket of one file as sorted as it was written.
+SORTED_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -54,23 +57,26 @@ class Runs:
         self.levels: list[list[str]] = [[]]
 
     def store(self, hashes: DataFrame) -> str:
+        """Rows of a bucket must be in one partition, so that a bucket is one sorted file."""
         name = f"tessera_run_{uuid.uuid4().hex}"
-        writer = hashes.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-        writer.format("parquet").saveAsTable(name)
+        hashes.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").saveAsTable(name)
         return name
 
+    def merged(self, names: list[str]) -> DataFrame:
+        """The rows of several runs, by merge joins of their buckets: they share no hash, so each row has its key from one side."""
+        return reduce(lambda a, b: a.hint("merge").join(b, KEY, "full"), [self.spark.table(name) for name in names])
+
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, hashes: DataFrame) -> None:
-        self.levels[0].append(self.store(hashes))
+        self.levels[0].append(self.store(hashes.repartition(self.buckets, *KEY)))
         for depth, level in enumerate(self.levels):
             if len(level) < self.fanout:
                 break
             if depth + 1 == len(self.levels):
                 self.levels.append([])
-            merged = reduce(DataFrame.unionByName, [self.spark.table(name) for name in level])
-            self.levels[depth + 1].append(self.store(merged))
+            self.levels[depth + 1].append(self.store(self.merged(level)))
             self.drop(level)
             level.clear()
 
@@ -88,7 +94,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = B
     # rows without doc_id go with the last batch: all others come before them
     lines = saved(hashed_lines(docs, min_chars).withColumn("batch", F.coalesce(number, F.lit(len(cuts)))), "batch")
     runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
-    dropped = []
+    dropped, before = [], spark.conf.get(SORTED_BUCKETS)
+    spark.conf.set(SORTED_BUCKETS, "true")
     try:
         for batch in range(len(cuts) + 1):
             own = lines.where(F.col("batch") == batch).drop("batch")
@@ -104,6 +111,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = B
             dropped.append(saved(own.join(hot, KEY).where(late).select("doc_id", "row", "pos")))
             runs.add(keys.where(~F.col("old") & F.col("first").isNotNull()).select(*KEY))
     finally:
+        spark.conf.set(SORTED_BUCKETS, before)
         for level in runs.levels:
             runs.drop(level)
     every = reduce(DataFrame.unionByName, dropped)
