@@ -3,7 +3,8 @@
 1. Document statistics of the whole text (lengths, shares of characters and words, repeats) are computed once per document.
 2. Random Fourier features (fixed seed) of the standardised statistics approximate a Gaussian kernel.
 3. Each partition sums its part of the normal equations over its labelled rows; Spark adds the parts, entry by entry; the
-   driver gets D x D numbers, however many rows there are, and solves for the ridge weights.
+   driver gets D x D numbers, however many rows there are, and solves for the ridge weights. Statistics and features are
+   summed as whole numbers of small units, so sums are exact and the same however rows are split or come back from a lost task.
 4. Scores of the labelled rows are counted in BINS steps (a table of fixed size) and made monotone by pooling adjacent
    violators: the calibrated score is the share of label 1 at that score.
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_texts, saved
 
 N_STATS, N_FEATURES, SEED, GAMMA, RIDGE, BINS, FOLDS = 16, 192, 7, 0.08, 1.0, 1000, 5
-LETTERS = re.compile(r"[^\W\d_]")
+#: Units of a feature and of a statistic. Products of two features are below 2**32 units: 2**21 rows of a batch add up exactly.
+UNIT, STAT_UNIT = 2**16, 2**20
 PUNCTUATION = re.compile(r"[.,;:!?]")
 SYMBOLS = re.compile(r"[#*$%&|<>~^=+{}\\/@]")
 
@@ -82,23 +84,34 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, N_STATS)
 
 
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each statistic over rows of stats, from exact sums of whole units."""
+    units = F.rint(F.col("v") * STAT_UNIT).cast("decimal(18,0)")
+    sums = rows.select(F.posexplode("stats").alias("i", "v")).select("i", units.alias("u")).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"))
+    mean, scale = np.zeros(N_STATS), np.ones(N_STATS)
+    for m in sums.collect():  # N_STATS rows
+        s, q, n = int(m.s), int(m.q), m.n
+        mean[m.i], scale[m.i] = s / n / STAT_UNIT, max(((n * q - s * s) ** 0.5) / n / STAT_UNIT, 1e-6)
+    return mean, scale
+
+
 def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """X'X and X'y over rows of stats, quality: one partial sum a partition, added by Spark."""
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((N_FEATURES + 1, N_FEATURES + 2))
+        total = np.zeros((N_FEATURES + 1, N_FEATURES + 2), dtype=np.int64)
         for batch in it:
             if batch.num_rows:
-                x = random_features(matrix(batch.column(0)), mean, scale)
-                total += x.T @ np.hstack([x, np.asarray(batch.column(1), dtype=float)[:, None]])
+                x = np.rint(UNIT * random_features(matrix(batch.column(0)), mean, scale))
+                total += (x.T @ np.hstack([x, UNIT * np.asarray(batch.column(1), dtype=float)[:, None]])).astype(np.int64)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "part"])
 
-    parts = rows.select("stats", F.col("quality").cast("double")).mapInArrow(sums, "cell bigint, part double")
-    added = parts.groupBy("cell").agg(F.sum("part").alias("total"))
+    parts = rows.select("stats", F.col("quality").cast("double")).mapInArrow(sums, "cell bigint, part bigint")
+    added = parts.groupBy("cell").agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("total"))
     total = np.zeros((N_FEATURES + 1) * (N_FEATURES + 2))
     for row in added.collect():  # (D + 1)(D + 2) cells
-        total[row.cell] = row.total
+        total[row.cell] = float(row.total) / UNIT**2
     total = total.reshape(N_FEATURES + 1, N_FEATURES + 2)
     return total[:, :-1], total[:, -1]
 
@@ -121,15 +134,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = saved(map_texts(docs.select("doc_id", "text"), lambda t: (statistics(t),), "doc_id bigint, stats array<double>"))
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
     training = saved(stats.where(~held_out()).join(known, "doc_id").select("stats", "quality"))
-    moments = training.select(F.posexplode("stats").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).collect()
-    mean, scale = np.zeros(N_STATS), np.ones(N_STATS)
-    for m in moments:  # N_STATS rows
-        mean[m.i], scale[m.i] = m.mean, max(m.sd, 1e-6)
+    mean, scale = moments(training)
     xx, xy = normal_equations(training, mean, scale)
     weights = np.linalg.solve(xx + RIDGE * np.eye(len(xx)), xy)
 
+    whole = np.rint(weights * STAT_UNIT)  # a score is exact too, whatever batch its row is in
+
     def raw(column: pa.Array) -> np.ndarray:
-        values = random_features(matrix(column), mean, scale) @ weights
+        values = np.rint(UNIT * random_features(matrix(column), mean, scale)) @ whole / (UNIT * STAT_UNIT)
         return np.rint(np.clip(values, -0.5, 1.5) * BINS / 2 + BINS / 4).astype(np.int64)
 
     def steps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
