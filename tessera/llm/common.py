@@ -42,7 +42,7 @@ def map_texts(rows: DataFrame, per_text: Callable[[str], tuple], schema: str) ->
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [per_text(t or "") for t in batch.column(1).to_pylist()]
+            found = [per_text(t.as_py() or "") for t in batch.column(1)]  # one text at a time is a Python string
             if found:
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
