@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, html_text, line_dedup, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from tessera.llm import bpe, conversations, decontaminate, html_text, line_dedup, merkle, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup, vector_links
 
 #: Name of the public vocabulary file for op6 and the last stage of the pipeline.
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,6 +67,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.lowered()).drop("path")
+
+
+def op12_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_secrets": op10_secrets,
+    "op11_merkle": op11_merkle,
+    "op12_vector_links": op12_vector_links,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
