@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, conversations, decontaminate, html_text, line_dedup, merkle, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup, vector_links
+from tessera.llm.manifest_sql import manifest_sql
 
 #: Name of the public vocabulary file for op6 and the last stage of the pipeline.
 VOCABULARY = "byte_bpe_50k.json"
@@ -146,4 +147,13 @@ g AS (SELECT *, length(key) >= 10 AND doc_id > first AS gone FROM f)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM g GROUP BY doc_id""",
+    "op11_merkle": manifest_sql(),
+    "op12_vector_links": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT x.r AS a, y.r AS b FROM s x JOIN s y ON x.label = y.label AND len(x.e) = len(y.e) AND x.r <> y.r AND list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.98),
+c AS (SELECT r, r AS m FROM v UNION SELECT c.r, p.b FROM c JOIN p ON p.a = c.m),
+n AS (SELECT a AS r, count(*) AS n FROM p GROUP BY a),
+g AS (SELECT c.r, min(vec_id) AS component_id FROM c JOIN v ON v.r = c.m GROUP BY c.r)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN g ON g.r = v.r LEFT JOIN n ON n.r = v.r""",
 }

@@ -30,7 +30,7 @@ from tessera.llm.near_sets import mixed
 from tessera.llm.simhash import components
 
 COSINE = 0.98
-TABLES = 10
+TABLES = 16
 PROJECTIONS = 16
 WIDTH = 2.0
 SEED = 20
