@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Function words that carry no meaning in names (English and Spanish).
 STOP_WORDS = "a an and as at by for from in into of on or the to with de del el en la las los para por un una y".split()
-ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöçÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÄËÏÖÇ", "aeiouunaeiouaeiouaeiocAEIOUUNAEIOUAEIOUAEIOC"
 #: Vocabularies that an ontology borrows rather than defines.
 BORROWED = ("http://www.w3.org/", "http://purl.org/", "http://xmlns.com/")
 
@@ -34,16 +37,51 @@ def trim_words(text: Column, limit: int = 240) -> Column:
     return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(cut, F.lit("...")))
 
 
+#: The plural endings that are cut, as (ending, what stands for it, least length, endings that stay).
+PLURALS = (("ies", "y", 5, ()), ("s", "", 4, ("ss", "us", "is")))
+
+
 def singular(token: Column) -> Column:
     """'ies' to 'y'; a final 's' goes, except of 'ss', 'us', 'is'."""
-    ies = (F.char_length(token) > 4) & token.endswith("ies")
-    s = (F.char_length(token) > 3) & token.endswith("s") & ~token.rlike("(ss|us|is)$")
-    return F.when(ies, F.concat(F.expr("''"), F.regexp_replace(token, "ies$", "y"))).when(s, F.regexp_replace(token, "s$", "")).otherwise(token)
+    out = token
+    for ending, instead, least, stay in reversed(PLURALS):
+        fits = token.endswith(ending) & (F.char_length(token) >= least)
+        for kept in stay:
+            fits = fits & ~token.endswith(kept)
+        out = F.when(fits, F.regexp_replace(token, f"{ending}$", instead)).otherwise(out)
+    return out
+
+
+@cache
+def accents() -> tuple[str, str, dict[str, str]]:
+    """Of Unicode's compatibility decompositions without combining marks, those with a letter or digit of ASCII: characters that give one
+    character, those characters in the same order (then nothing, for the marks, which go), and characters that give several."""
+    single, several, marks = {}, {}, []
+    for code in range(128, sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif unicodedata.decomposition(char):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x))
+            if len(plain) == 1 and plain.isascii():
+                single[char] = plain
+            elif any(x.isascii() and x.isalnum() for x in plain):
+                several[char] = plain
+    return "".join(single) + "".join(marks), "".join(single.values()), several
+
+
+def unaccented(text: Column) -> Column:
+    """text in ASCII as far as its characters decompose to it; combining marks are gone. Plain texts are left as they are."""
+    chars, plain, several = accents()
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    whole = F.when(text.rlike("[" + "".join(several) + "]"), spelt).otherwise(text)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(whole, chars, plain))
 
 
 def normalize_name(name: Column) -> Column:
     """Words of an identifier without accents, stop words and plurals, in lower case."""
-    plain = F.lower(F.translate(humanize(name), ACCENTED, PLAIN))
+    plain = F.lower(unaccented(humanize(name)))
     tokens = F.filter(F.split(plain, "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(STOP_WORDS))
     return F.array_join(F.transform(tokens, singular), " ")
 

@@ -10,30 +10,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.digests import digest_of
+
 KEY = ["source_id", "target", "concept_key", "dpv_iri"]
 CODES = ["approved", "rejected", "no_match", "pending"]
 RELATIONS = ["exactMatch", "closeMatch", "broadMatch", "narrowMatch", "relatedMatch"]
-
-
-def validation_reason() -> Column:
-    """The first rule that a record breaks; null for a good record."""
-    term = F.coalesce(F.col("dpv_iri"), F.lit("")) != ""
-    relation = F.col("relation").isNotNull()
+#: The codes of a decision on a mapping and on a proposed concept; the kinds of entity that a concept is approved as.
+ALLOWED = {"concept": ["approved", "rejected", "duplicate", "pending"], "mapping": CODES}
+ENTITY_KINDS = ["class", "object_property", "datatype_property"]
+#: A record of the log. snapshot says freely how the proposal came about; it is kept as it is and read by path (variant_get).
+RECORD = (
+    "seq bigint, source_id string, target string, concept_key string, dpv_iri string, decision string, relation string, entity_kind string, same_as string, "
+    "reviewer string, decided_at timestamp, note string, snapshot variant"
+)
+
+
+def validation_reason(columns: list[str]) -> Column:
+    """The first rule that a record breaks; null for a good record. Columns that a log doesn't have are taken as empty (target: mapping)."""
+    text = lambda c: F.coalesce(F.btrim(F.col(c)), F.lit("")) if c in columns else F.lit("")
+    is_ = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False)) if c in columns else F.lit(False)
+    target = F.coalesce(F.col("target"), F.lit("")) if "target" in columns else F.lit("mapping")
+    concept, approved, decision = target == "concept", text("decision") == "approved", text("decision")
+    term, relation, kind, same = text("dpv_iri") != "", text("relation") != "", text("entity_kind") != "", text("same_as") != ""
+    known = F.when(concept, is_("decision", ALLOWED["concept"])).otherwise(is_("decision", ALLOWED["mapping"]))
     rules = [
-        (~F.coalesce(F.col("decision").isin(CODES), F.lit(False)), "unknown decision"),
-        (F.coalesce(F.col("concept_key"), F.lit("")) == "", "no concept"),
-        (F.coalesce(F.col("reviewer"), F.lit("")) == "", "no reviewer"),
-        ((F.col("decision") == "no_match") & term, "no_match with a term"),
-        ((F.col("decision") != "no_match") & ~term, "no term"),
-        ((F.col("decision") == "approved") & ~relation, "approved without a relation"),
-        (relation & ~F.col("relation").isin(RELATIONS), "unknown relation"),
-        ((F.col("decision") != "approved") & relation, "relation without approval"),
+        (text("reviewer") == "", "no reviewer"),
+        (text("source_id") == "" if "source_id" in columns else F.lit(False), "no source"),
+        (text("concept_key") == "", "no concept"),
+        (~target.isin(list(ALLOWED)), "unknown target"),
+        (~known, "unknown decision"),
+        (concept & term, "concept with a term"),
+        (concept & relation, "concept with a relation"),
+        (concept & approved & ~is_("entity_kind", ENTITY_KINDS), "approved without an entity kind"),
+        (concept & ~approved & kind, "entity kind without approval"),
+        (concept & (decision == "duplicate") & ~same, "duplicate of nothing"),
+        (concept & (decision != "duplicate") & same, "same entity without duplicate"),
+        (~concept & kind, "mapping with an entity kind"),
+        (~concept & same, "mapping with a same entity"),
+        (~concept & (decision == "no_match") & (term | relation), "no_match with a term or relation"),
+        (~concept & ~term & ~decision.isin("no_match", "pending"), "no term"),
+        (~concept & approved & ~is_("relation", RELATIONS), "approved without a known relation"),
+        (~concept & ~approved & relation, "relation without approval"),
     ]
     return F.coalesce(*[F.when(broken, reason) for broken, reason in rules])
 
 
 def validated(log: DataFrame) -> DataFrame:
-    return log.withColumn("reason", validation_reason())
+    return log.withColumn("reason", validation_reason(log.columns))
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -132,14 +155,18 @@ def approvals(log: DataFrame) -> DataFrame:
     return found.join(versions, ["source_id", "concept_key", "seq"])
 
 
-def replay(base: DataFrame, log: DataFrame) -> DataFrame:
-    """concept_key, dpv_iri, relation, origin after the log: approvals set, rejections remove, no_match clears the concept."""
+def replay(base: DataFrame, log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """concept_key, dpv_iri, relation, origin after the log: approvals set, rejections remove, no_match clears the concept.
+
+    keep: further columns of the deciding record, such as its snapshot; null for rows of the base.
+    """
     clears = log.where("decision = 'no_match'").groupBy("concept_key").agg(F.max("seq").alias("cleared"))
-    events = log.where("dpv_iri <> ''").groupBy("concept_key", "dpv_iri").agg(F.max_by(F.struct("decision", "relation"), "seq").alias("x"), F.max("seq").alias("seq"))
+    events = log.where("dpv_iri <> ''").groupBy("concept_key", "dpv_iri").agg(F.max_by(F.struct("decision", "relation", *keep), "seq").alias("x"), F.max("seq").alias("seq"))
     events = events.join(clears, "concept_key", "left")
-    alive = events.where("x.decision = 'approved' and (cleared is null or seq > cleared)").select("concept_key", "dpv_iri", "x.relation", F.lit("user").alias("origin"))
+    alive = events.where("x.decision = 'approved' and (cleared is null or seq > cleared)").select("concept_key", "dpv_iri", "x.relation", F.lit("user").alias("origin"), *[f"x.{c}" for c in keep])
     kept = base.join(clears, "concept_key", "left_anti").join(events.select("concept_key", "dpv_iri"), ["concept_key", "dpv_iri"], "left_anti")
-    return kept.select("concept_key", "dpv_iri", "relation", F.lit("base").alias("origin")).unionByName(alive)
+    none = [F.lit(None).cast(alive.schema[c].dataType).alias(c) for c in keep]
+    return kept.select("concept_key", "dpv_iri", "relation", F.lit("base").alias("origin"), *none).unionByName(alive)
 
 
 def overlay(base: DataFrame, log: DataFrame) -> DataFrame:
@@ -166,13 +193,6 @@ def version_validity(log: DataFrame) -> DataFrame:
     return log.select("source_id", "concept_key", F.row_number().over(own).alias("version"), "seq", F.lead("seq").over(own).alias("until"))
 
 
-def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """n, digest: order-free, from a hash of each row; equal tables give equal digests."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    parts = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(parts).cast("string").alias("digest"))
-
-
 def is_current(saved: DataFrame, now: DataFrame) -> DataFrame:
     """name, current: saved and present manifests (name, n, digest) agree."""
     other = now.select("name", F.col("n").alias("n_now"), F.col("digest").alias("digest_now"))
@@ -180,7 +200,8 @@ def is_current(saved: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def cache_key(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """Of the parts in order; a null is a part like any other."""
+    return digest_of(*parts)
 
 
 def cache_split(asked: DataFrame, cache: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Hierarchies, closures and graph questions over edges (child, parent) and statements.
 
-Fixpoints are semi-naive: each round joins the newest rows alone with the edges; rounds are written to the shared folder,
-so the plan stays short and a lost executor costs one round.
+Fixpoints double the distance that they know with each round; rounds are written to the shared folder, so the plan stays short
+and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -16,13 +16,48 @@ from tessera.sources.storage import Rounds, saved
 MATCHES = ["skos:exactMatch", "skos:closeMatch", "skos:broadMatch"]
 
 
+class Steps:
+    """An index of edges for reachability: relations of exactly 1, 2, 4, ... steps, each the join of the one before with itself.
+
+    A relation is made when it is first asked for and written once. Any number of steps below 2 ** j is a sum of different powers, so
+    what a set of roots reaches takes a join a power: rounds grow with the logarithm of the depth, and one set of roots
+    serves any number of questions. On a hierarchy each power has at most a row for each node and way up.
+    """
+
+    def __init__(self, edges: DataFrame):
+        self.powers = [saved(edges.select("child", "parent").distinct())]
+
+    def power(self, j: int) -> DataFrame:
+        while len(self.powers) <= j:
+            last = self.powers[-1]
+            up = last.select(F.col("child").alias("mid"), F.col("parent").alias("above"))
+            self.powers.append(saved(last.join(up, F.col("parent") == F.col("mid")).select("child", F.col("above").alias("parent")).distinct()))
+        return self.powers[j]
+
+    def below(self, roots: DataFrame) -> DataFrame:
+        """root, node: each root (node) and all below it. Ends when as many steps as all so far together lead to nothing new."""
+        reached, j = saved(roots.select(F.col("node").alias("root"), "node").distinct()), 0
+        while True:
+            step = self.power(j)
+            found = reached.join(step, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
+            new = saved(found.join(reached, ["root", "node"], "left_anti"))
+            if new.isEmpty():
+                return reached
+            reached, j = saved(reached.unionByName(new)), j + 1
+
+
 def closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
-    """child, parent: all pairs that one or more edges connect (with reflexive: and every node with itself); cycles end."""
-    step = edges.select(F.col("child").alias("mid"), F.col("parent").alias("next"))
+    """child, parent: all pairs that one or more edges connect (with reflexive: and every node with itself); cycles end.
+
+    By doubling: a round joins the newest pairs with all known ones, so pairs up to twice as far are known after it.
+    """
     rounds = Rounds(edges.select("child", "parent").distinct())
-    while rounds.newest.take(1):
-        found = rounds.newest.join(step, rounds.newest["parent"] == step["mid"]).select("child", F.col("next").alias("parent")).distinct()
-        rounds.add(found.join(rounds.known(), ["child", "parent"], "left_anti"))
+    while not rounds.newest.isEmpty():
+        known = rounds.known()
+        far = known.select(F.col("child").alias("mid"), F.col("parent").alias("above"))
+        newest = rounds.newest.select("child", F.col("parent").alias("reached"))
+        found = newest.join(far, F.col("reached") == F.col("mid")).select("child", F.col("above").alias("parent")).distinct()
+        rounds.add(found.join(known, ["child", "parent"], "left_anti"))
     known = rounds.known()
     if reflexive:
         nodes = edges.select(F.explode(F.array("child", "parent")).alias("child")).distinct()
@@ -31,12 +66,14 @@ def closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node: the roots (node) and all below them."""
-    rounds = Rounds(roots.select("node").distinct())
-    while rounds.newest.take(1):
-        found = edges.join(rounds.newest, edges["parent"] == rounds.newest["node"]).select(F.col("child").alias("node")).distinct()
-        rounds.add(found.join(rounds.known(), "node", "left_anti"))
-    return rounds.known()
+    """node: the roots (node) and all below them, whatever root leads there."""
+    reached, steps, j = saved(roots.select("node").distinct()), Steps(edges), 0
+    while True:
+        found = steps.power(j).join(reached, F.col("parent") == F.col("node")).select(F.col("child").alias("node")).distinct()
+        new = saved(found.join(reached, "node", "left_anti"))
+        if new.isEmpty():
+            return reached
+        reached, j = saved(reached.unionByName(new)), j + 1
 
 
 def first_parents(edges: DataFrame) -> DataFrame:
@@ -112,10 +149,9 @@ def aligned(graph: DataFrame, vocabulary: str) -> DataFrame:
     return match.select("s").distinct()
 
 
-def aligned_under(matches: DataFrame, edges: DataFrame, root) -> DataFrame:
-    """concept, term of the matches whose term is the root or below it."""
-    below = descendants(edges, root)
-    return matches.join(below, matches["term"] == below["node"], "left_semi")
+def aligned_under(matches: DataFrame, steps: Steps, roots: DataFrame) -> DataFrame:
+    """root, concept, term of the matches whose term is one of the roots (node) or below it; all roots in one run."""
+    return matches.join(steps.below(roots), F.col("term") == F.col("node")).select("root", "concept", "term")
 
 
 def citing(graph: DataFrame, text: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,11 @@ CONTENTS = r"(?:\.\s?){4,}\s*\d*\s*$|…\s*\d*\s*$"
 MAX_GAP, LONGEST_TITLE = 3, 150
 BODY = r"^(?:\(?\d+[.)]|\([a-z]\))"
 BLANKS = " \t\n\r\x0b\f"
-LANGUAGES = {"en": "the of and to in that for with shall".split(), "es": "de la que el en los del las por".split()}
+#: Common words of each language that laws are in.
+LANGUAGES = {
+    "es": "de la que el en los del las por para con una se su al lo datos sus como ley".split(),
+    "en": "the of and to in shall be or for by with that this which data on is as an are".split(),
+}
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
@@ -98,21 +103,50 @@ def candidates(laws: DataFrame) -> DataFrame:
     return found.where("number is not null")
 
 
+def chains_of(starts: list[int], numbers: list[int]) -> list[int]:
+    """Places of the longest chain of one family's candidates, in order of their starts; empty if there are none.
+
+    A chain begins at a candidate with number 1 (at the first one if there is none) and takes each next candidate whose number is 1
+    to MAX_GAP above its last. Chains that have come to the same number go on alike, so of those that end in a number only the best is
+    kept, the longer or, of equal ones, the later begun: one pass with a table from last number to chain, and back along the links.
+    """
+    if not numbers:
+        return []
+    ones = [i for i, n in enumerate(numbers) if n == 1] or [0]
+    begins = set(ones)
+    before, length, first = [-1] * len(numbers), [0] * len(numbers), [-1] * len(numbers)
+    ends: dict[int, int] = {}  # last number of a chain: its last place
+    for i, number in enumerate(numbers):
+        # all chains that can take this candidate take it; of them the best goes on
+        taken = [ends.pop(number - gap) for gap in range(1, MAX_GAP + 1) if number - gap in ends]
+        if i in begins:
+            length[i], first[i] = 1, i
+        for end in taken:
+            if (length[end] + 1, first[end]) > (length[i], first[i]):
+                before[i], length[i], first[i] = end, length[end] + 1, first[end]
+        if length[i] and (number not in ends or (length[i], first[i]) > (length[ends[number]], first[ends[number]])):
+            ends[number] = i
+    best = max(range(len(numbers)), key=lambda i: (length[i], first[i]))
+    chain = []
+    while best >= 0:
+        chain.append(best)
+        best = before[best]
+    return chain[::-1]
+
+
 def longest_chain(found: DataFrame) -> DataFrame:
     """law, family, chain: per law the longest chain of rising numbers (steps of 1 to MAX_GAP) from an article 1, of one family.
 
-    A fold over the sorted candidates of each start; of equal lengths the later start wins.
+    Of equal lengths the later start wins. A law's candidates, a short row a heading, are one task's; its text is not there.
     """
     grouped = found.groupBy("law", "family").agg(F.array_sort(F.collect_list(F.struct("start", "number", "style", "marker"))).alias("c"))
-    ones = grouped.withColumn("from", F.expr("filter(transform(c, (x, i) -> if(x.number = 1, i, -1)), i -> i >= 0)"))
-    starts = ones.select("law", "family", "c", F.explode(F.when(F.size("from") > 0, F.col("from")).otherwise(F.array(F.lit(0)))).alias("i"))
-    empty = F.expr("slice(c, i + 1, 1)")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = x["number"] - F.element_at(acc, -1)["number"]
-        return F.when((gap >= 1) & (gap <= MAX_GAP), F.concat(acc, F.array(x))).otherwise(acc)
+    @F.pandas_udf("array<int>")
+    def places(starts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([chains_of(list(s), list(n)) for s, n in zip(starts, numbers, strict=True)])
 
-    chains = starts.select("law", "family", "i", F.aggregate(F.expr("slice(c, i + 2, size(c))"), empty, step).alias("chain"))
+    chained = grouped.withColumn("at", places(F.transform("c", lambda x: x["start"]), F.transform("c", lambda x: x["number"])))
+    chains = chained.select("law", "family", F.transform("at", lambda i: F.get(F.col("c"), i)).alias("chain"))
     best = chains.groupBy("law").agg(F.max_by(F.struct("family", "chain"), F.struct(F.size("chain"), F.get("chain", F.lit(0))["start"])).alias("b"))
     return best.select("law", "b.family", "b.chain")
 
@@ -156,7 +190,7 @@ def skipped(chains: DataFrame) -> DataFrame:
 
 
 def language(text: Column) -> Column:
-    """en if the text has more English than Spanish function words, else es."""
-    words = F.split(F.lower(text), "[^a-záéíóúñ]+")
+    """en if the text has more of the English words than of the Spanish, else es."""
+    words = F.split(F.lower(text), "[^a-záéíóúñü]+")
     count = lambda code: F.size(F.filter(words, lambda w: w.isin(LANGUAGES[code])))
     return F.when(count("en") > count("es"), "en").otherwise("es")

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cosine, indel_ratio, normalize_name
+from tessera.operators.names import close_names
+from tessera.operators.neighbours import CellIndex, nearest_by_cells, with_forbidden
+from tessera.sources.storage import saved
 
 LEXICAL_WEIGHT, SEMANTIC_WEIGHT = 0.4, 0.6
 DUPLICATE_SCORE, SAME_NAME = 0.75, 0.95
@@ -21,17 +24,35 @@ def normalized(rows: DataFrame, column: str = "name") -> DataFrame:
 
 
 def lexical_scores(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """kind, a, b, lexical: every distinct pair of normalised names of one kind. sources, targets: norm, kind."""
+    """kind, a, b, lexical: every distinct pair of normalised names of one kind. sources, targets: norm, kind.
+
+    The whole matrix, for name sets of some thousands; similar_names and best_lexical don't make it.
+    """
     a = sources.select("kind", F.col("norm").alias("a")).distinct()
     b = targets.select("kind", F.col("norm").alias("b")).distinct()
     return a.join(b, "kind").withColumn("lexical", F.round(indel_ratio(F.col("a"), F.col("b")), 4))
 
 
+def similar_names(sources: DataFrame, targets: DataFrame, at_least: float) -> DataFrame:
+    """kind, a, b, lexical of the pairs of the matrix from at_least on, without making the others."""
+    return close_names(sources, targets, at_least=at_least).where(F.col("lexical") >= at_least).select("kind", "a", "b", "lexical")
+
+
 def best_lexical(sources: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
-    """key, iri, lexical, rank: the k best terms by name. Ranked per distinct name, then joined back to the concepts."""
-    scores = lexical_scores(sources, targets).join(targets.select("kind", F.col("norm").alias("b"), "iri"), ["kind", "b"])
+    """key, iri, lexical, rank: the k best terms by name, ties by iri; a concept has fewer than k only if its kind has fewer terms.
+
+    Ranked per distinct name, then joined back to the concepts. Names that share no letter with enough others are filled up
+    with the first terms of the kind, at ratio 0.
+    """
+    terms = targets.select("kind", F.col("norm").alias("b"), "iri")
+    found = close_names(sources, targets, k).where("lexical > 0").join(terms, ["kind", "b"]).select("kind", "a", "iri", "lexical")
     order = Window.partitionBy("kind", "a").orderBy(F.desc("lexical"), "iri")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = saved(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+    names = sources.select("kind", F.col("norm").alias("a")).distinct()
+    short = names.join(top.groupBy("kind", "a").agg(F.count(F.lit(1)).alias("n")), ["kind", "a"], "left").where(F.coalesce("n", F.lit(0)) < k).drop("n")
+    first = terms.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("iri"))).where(F.col("k") <= 2 * k).drop("k", "b")
+    fill = short.join(first, "kind").join(top, ["kind", "a", "iri"], "left_anti").select("kind", "a", "iri", F.lit(0.0).alias("lexical"))
+    best = top.unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return sources.select("key", "kind", F.col("norm").alias("a")).join(best, ["kind", "a"]).select("key", "iri", "lexical", "rank")
 
 
@@ -88,30 +109,40 @@ def candidate_lists(sources: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return sources.select("id").join(lists, "id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<bigint>")))
 
 
-def nearest(sources: DataFrame, targets: DataFrame, k: int, same_kind: bool = True) -> DataFrame:
-    """id, t_id, distance, rank: exact neighbours by cosine; ties by distance rounded to 6, then id."""
+def nearest(sources: DataFrame, targets: DataFrame, k: int, same_kind: bool = True, index: CellIndex | None = None, probes: int = 8, exact: bool = True) -> DataFrame:
+    """id, t_id, distance, rank: neighbours by cosine; ties by distance rounded to 6, then id.
+
+    Without an index all targets are compared. With one (build_index of the targets) the cells nearest to each source are read and, if exact,
+    those of the others that could hold a nearer row.
+    """
+    if index is not None:
+        return nearest_by_cells(sources.select("id", "kind", "embedding"), index, k, probes, exact, same_kind)
     s = sources.select("id", "kind", F.col("embedding").alias("x"))
     t = targets.select(F.col("id").alias("t_id"), F.col("kind").alias("t_kind"), F.col("embedding").alias("y"))
-    pairs = in_blocks(s, t, same_kind)
-    scored = pairs.where("id <> t_id").select("id", "t_id", F.round(1 - cosine(F.col("x"), F.col("y")), 6).alias("distance"))
+    return _ranked_pairs(in_blocks(s, t, same_kind).where("id <> t_id"), k)
+
+
+def _ranked_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    scored = pairs.select("id", "t_id", F.round(1 - cosine(F.col("x"), F.col("y")), 6).alias("distance"))
     order = Window.partitionBy("id").orderBy("distance", "t_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def pooled(sources: DataFrame, targets: DataFrame, pool: int, k: int) -> DataFrame:
+def pooled(sources: DataFrame, targets: DataFrame, pool: int, k: int, index: CellIndex | None = None, probes: int = 8, exact: bool = True) -> DataFrame:
     """The pool nearest by meaning, re-ranked by the hybrid score."""
-    near = nearest(sources, targets, pool).select("id", "t_id")
+    near = nearest(sources, targets, pool, index=index, probes=probes, exact=exact).select("id", "t_id")
     return top_candidates(listed_pairs(sources, targets, near), k)
 
 
-def precedents(sources: DataFrame, decided: DataFrame, forbidden: DataFrame, k: int) -> DataFrame:
-    """Nearest decided ones; forbidden pairs (id, t_id) are out before ranking."""
+def precedents(sources: DataFrame, decided: DataFrame, forbidden: DataFrame | Column, k: int, index: CellIndex | None = None, probes: int = 8, exact: bool = True) -> DataFrame:
+    """Nearest decided ones; forbidden ones are out before ranking: short lists of pairs (id, t_id), or without an index a condition on id and t_id."""
+    if index is not None:
+        return nearest_by_cells(with_forbidden(sources.select("id", "kind", "embedding"), forbidden), index, k, probes, exact)
     s = sources.select("id", "kind", F.col("embedding").alias("x"))
     t = decided.select(F.col("id").alias("t_id"), F.col("kind").alias("t_kind"), F.col("embedding").alias("y"))
-    pairs = in_blocks(s, t).where("id <> t_id").join(forbidden, ["id", "t_id"], "left_anti")
-    scored = pairs.select("id", "t_id", F.round(1 - cosine(F.col("x"), F.col("y")), 6).alias("distance"))
-    order = Window.partitionBy("id").orderBy("distance", "t_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs = in_blocks(s, t).where("id <> t_id")
+    allowed = pairs.where(~forbidden) if isinstance(forbidden, Column) else pairs.join(forbidden, ["id", "t_id"], "left_anti")
+    return _ranked_pairs(allowed, k)
 
 
 def possible_duplicates(pairs: DataFrame) -> DataFrame:
@@ -134,7 +165,8 @@ def bands(scores: DataFrame) -> DataFrame:
 
 def family_means(near: DataFrame, families: DataFrame) -> DataFrame:
     """family, n, mean closeness of the nearest target. families: id, family."""
-    return near.where("rank = 1").join(families, "id").groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(1 - F.col("distance")), 4).alias("mean"))
+    mean = F.round(F.sum((1 - F.col("distance")).cast("decimal(18,6)")) / F.count(F.lit(1)), 4).cast("double")  # in decimals: the same in any order
+    return near.where("rank = 1").join(families, "id").groupBy("family").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"))
 
 
 def inherit(users: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:

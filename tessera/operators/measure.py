@@ -1,7 +1,7 @@
 """Precision, coverage, grids, cross-validation. Ratios have four digits and are null where the denominator is 0.
 
-Random orders are by md5 of a seed and the key: the same in every run and engine. Grids are joined to the rows as small
-tables of parameters, so a grid is one pass, not one job a rule.
+Random orders are by md5 of a seed and the key: the same in every run and engine. Grids of rules are sums over one histogram of the
+rows by level and score step, so the shuffled rows don't grow with the grid.
 """
 
 from __future__ import annotations
@@ -34,28 +34,69 @@ def confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("gold", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score_card(rows: DataFrame, *groups: str) -> DataFrame:
-    """Per group: n, proposals, correct, on_no_match, precision, coverage, f1. rows: status, term, proposed (null: none)."""
-    proposed = F.col("proposed").isNotNull()
+def tallied(proposed: Column) -> list[Column]:
+    """The counts of a score card over rows of status, term, predicted; proposed: does the row's proposal count?"""
     aligned = F.col("status") == "aligned"
-    one = rows.groupBy(*groups).agg(
+    return [
         F.count(F.lit(1)).alias("n"), F.count_if(aligned).alias("aligned"), F.count_if(proposed).alias("proposals"),
-        F.count_if(proposed & aligned & (F.col("proposed") == F.col("term"))).alias("correct"), F.count_if(proposed & ~aligned).alias("on_no_match"),
-    )
-    one = one.withColumns({"precision": ratio(F.col("correct"), F.col("proposals")), "coverage": ratio(F.col("correct"), F.col("aligned"))})
+        F.count_if(proposed & aligned & (F.col("predicted") == F.col("term"))).alias("correct"), F.count_if(proposed & ~aligned).alias("on_no_match"),
+    ]
+
+
+def with_ratios(counts: DataFrame) -> DataFrame:
+    """Counts with precision, coverage, f1."""
+    one = counts.withColumns({"precision": ratio(F.col("correct"), F.col("proposals")), "coverage": ratio(F.col("correct"), F.col("aligned"))})
     good = (F.col("precision") > 0) & (F.col("coverage") > 0)
     return one.withColumn("f1", F.when(good, F.round(2 * F.col("precision") * F.col("coverage") / (F.col("precision") + F.col("coverage")), 4)))
 
 
+def score_card(rows: DataFrame, *groups: str) -> DataFrame:
+    """Per group: n, proposals, correct, on_no_match, precision, coverage, f1. rows: status, term, proposed (null: none)."""
+    return with_ratios(rows.withColumn("predicted", F.col("proposed")).groupBy(*groups).agg(*tallied(F.col("proposed").isNotNull())))
+
+
+def histogram(rows: DataFrame, steps: DataFrame, *groups: str) -> DataFrame:
+    """groups, confidence, step and the counts of the rows there: step is the number of thresholds that the score reaches.
+
+    steps: one row with the sorted array `edges`. All rules of a grid are sums over this table, which is as large as the grid and
+    the groups, not as the rows.
+    """
+    reached = F.size(F.filter("edges", lambda e: F.coalesce(F.col("score") >= e, F.lit(False))))
+    own = rows.join(F.broadcast(steps)).withColumn("step", reached)  # one row
+    return own.groupBy(*groups, "confidence", "step").agg(*tallied(F.col("predicted").isNotNull()))
+
+
+COUNTS = ("n", "aligned", "proposals", "correct", "on_no_match")
+
+
+def from_histogram(counts: DataFrame, rules: DataFrame, *groups: str) -> DataFrame:
+    """The score card for each rule and group out of a histogram. rules: rule, levels (null: all), n_levels, min_score, at (the edge's place from 1)."""
+    both = counts.join(F.broadcast(rules))  # the grid: a fixed number of rules
+    in_rule = (F.col("step") >= F.col("at")) & F.coalesce(F.array_contains("levels", F.col("confidence")), F.col("levels").isNull())
+    some = {c: F.sum(F.when(in_rule, F.col(c)).otherwise(0)) for c in ("proposals", "correct", "on_no_match")} | {c: F.sum(c) for c in ("n", "aligned")}
+    one = both.groupBy(*groups, "rule", "n_levels", "min_score").agg(*[some[c].alias(c) for c in COUNTS])
+    return with_ratios(one)
+
+
+def edges_of(rules: DataFrame) -> DataFrame:
+    return rules.agg(F.sort_array(F.collect_set("min_score")).alias("edges"))
+
+
+def at_edges(rules: DataFrame, steps: DataFrame) -> DataFrame:
+    return rules.join(F.broadcast(steps)).withColumn("at", F.array_position("edges", F.col("min_score")).cast("int")).drop("edges")
+
+
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     one = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(a) == F.col(b)).alias("same"))
     return one.withColumn("share", ratio(F.col("same"), F.col("n")))
 
 
 def sweep(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """The score card for each threshold: a proposal counts from the threshold on."""
-    at = rows.join(F.broadcast(thresholds))  # thresholds: a fixed grid of a few rows
-    return score_card(at.withColumn("proposed", F.when(F.col("score") >= F.col("threshold"), F.col("predicted"))), "threshold")
+    """The score card for each threshold: a proposal counts from the threshold on. Out of one histogram of the scores."""
+    rules = thresholds.select(F.col("threshold").cast("string").alias("rule"), F.lit(None).cast("array<string>").alias("levels"), F.lit(0).alias("n_levels"), F.col("threshold").alias("min_score"))
+    steps = edges_of(rules)
+    counts = histogram(rows.withColumn("confidence", F.lit(None).cast("string")), steps)
+    return from_histogram(counts, at_edges(rules, steps)).drop("rule", "n_levels").withColumnRenamed("min_score", "threshold")
 
 
 def choose_threshold(table: DataFrame, min_precision: float, min_proposals: int = 10) -> DataFrame:
@@ -64,10 +105,9 @@ def choose_threshold(table: DataFrame, min_precision: float, min_proposals: int
 
 
 def rule_table(rows: DataFrame, rules: DataFrame, *groups: str) -> DataFrame:
-    """The score card for each rule (rule, levels, min_score)."""
-    at = rows.join(F.broadcast(rules))  # rules: a fixed grid of a few rows
-    taken = F.array_contains("levels", F.col("confidence")) & (F.col("score") >= F.col("min_score"))
-    return score_card(at.withColumn("proposed", F.when(taken, F.col("predicted"))), *groups, "rule", "n_levels", "min_score")
+    """The score card for each rule (rule, levels, n_levels, min_score), out of one histogram by group, level and score step."""
+    steps = edges_of(rules)
+    return from_histogram(histogram(rows, steps, *groups), at_edges(rules, steps), *groups)
 
 
 def choose_rule(table: DataFrame, min_precision: float, min_proposals: int, *groups: str) -> DataFrame:
@@ -90,8 +130,9 @@ def cross_validated(rows: DataFrame, rules: DataFrame, repeats: DataFrame, min_p
 
 def validation_summary(found: DataFrame) -> DataFrame:
     """n, mean, p10 and p90 of the precision (nearest rank), the most chosen rule."""
+    mean = lambda c: F.round(F.sum(F.col(c).cast("decimal(18,4)")) / F.count(c), 4).cast("double")  # noqa: E731  in decimals: the same in any order
     rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY precision)")
-    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("precision"), 4).alias("mean"), rank(0.1).alias("p10"), rank(0.9).alias("p90"), F.round(F.avg("coverage"), 4).alias("coverage"))
+    return found.agg(F.count(F.lit(1)).alias("n"), mean("precision").alias("mean"), rank(0.1).alias("p10"), rank(0.9).alias("p90"), mean("coverage").alias("coverage"))
 
 
 def evidence_grid(near: DataFrame, gold: DataFrame, grid: DataFrame) -> DataFrame:

@@ -52,9 +52,10 @@ def module_structure(entities: DataFrame) -> DataFrame:
 
 
 def ranking_summary(candidates: DataFrame) -> DataFrame:
-    """kind, n, mean of the best scores."""
-    best = candidates.groupBy("id", "kind").agg(F.max("score").alias("best"))
-    return best.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("best"), 4).alias("mean"))
+    """kind, n, mean of the best scores, in decimals: the same in whatever order they are added."""
+    best = candidates.groupBy("id", "kind").agg(F.max("score").cast("decimal(18,4)").alias("best"))
+    mean = F.round(F.sum("best") / F.count(F.lit(1)), 4).cast("double")
+    return best.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean"))
 
 
 def readiness(statuses: DataFrame, reported: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.operators import decisions as ops
+from tessera.operators import digests
 from tessera.plans.registry import query
 
 LATEST = """WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target, concept_key, dpv_iri ORDER BY seq DESC) AS k FROM decisions) WHERE k = 1 AND decision <> 'pending'),
@@ -32,16 +35,21 @@ def status(t):
 
 
 @query("d01_validate", """
-WITH b AS (SELECT seq, CASE WHEN seq % 11 = 0 THEN 'maybe' ELSE decision END AS decision, CASE WHEN seq % 13 = 0 THEN '' ELSE concept_key END AS concept_key, dpv_iri,
- CASE WHEN seq % 17 = 0 THEN NULL ELSE relation END AS relation, CASE WHEN seq % 19 = 0 THEN NULL ELSE reviewer END AS reviewer FROM decisions)
-SELECT seq, CASE WHEN decision NOT IN ('approved', 'rejected', 'no_match', 'pending') THEN 'unknown decision' WHEN concept_key = '' THEN 'no concept' WHEN reviewer IS NULL THEN 'no reviewer'
- WHEN decision = 'no_match' AND dpv_iri <> '' THEN 'no_match with a term' WHEN decision <> 'no_match' AND dpv_iri = '' THEN 'no term' WHEN decision = 'approved' AND relation IS NULL THEN 'approved without a relation'
- WHEN decision <> 'approved' AND relation IS NOT NULL THEN 'relation without approval' END AS reason FROM b""")
-def _(t):
-    log = t.decisions
-    bad = log.withColumns({
-        "decision": F.when(F.col("seq") % 11 == 0, "maybe").otherwise(F.col("decision")), "concept_key": F.when(F.col("seq") % 13 == 0, "").otherwise(F.col("concept_key")),
-        "relation": F.when(F.col("seq") % 17 != 0, F.col("relation")), "reviewer": F.when(F.col("seq") % 19 != 0, F.col("reviewer")),
+WITH b AS (SELECT seq, CASE WHEN seq % 7 = 0 THEN 'concept' WHEN seq % 101 = 0 THEN 'other' ELSE 'mapping' END AS target, CASE WHEN seq % 11 = 0 THEN 'maybe' WHEN seq % 21 = 0 THEN 'duplicate' ELSE decision END AS decision,
+ CASE WHEN seq % 13 = 0 THEN '' ELSE concept_key END AS concept_key, CASE WHEN seq % 14 = 0 OR seq % 21 = 0 THEN '' ELSE dpv_iri END AS dpv_iri, CASE WHEN seq % 17 = 0 OR seq % 28 = 0 OR seq % 21 = 0 THEN NULL ELSE relation END AS relation,
+ CASE WHEN seq % 19 = 0 THEN '  ' ELSE reviewer END AS reviewer, CASE WHEN seq % 23 = 0 THEN NULL ELSE source_id END AS source_id, CASE WHEN seq % 56 = 0 THEN 'class' WHEN seq % 29 = 0 THEN 'thing' END AS entity_kind, CASE WHEN seq % 42 = 0 OR seq % 31 = 0 THEN 'x' END AS same_as FROM decisions)
+SELECT seq, CASE WHEN trim(coalesce(reviewer, '')) = '' THEN 'no reviewer' WHEN source_id IS NULL THEN 'no source' WHEN concept_key = '' THEN 'no concept' WHEN target NOT IN ('concept', 'mapping') THEN 'unknown target'
+ WHEN (target = 'concept' AND decision NOT IN ('approved', 'rejected', 'duplicate', 'pending')) OR (target = 'mapping' AND decision NOT IN ('approved', 'rejected', 'no_match', 'pending')) THEN 'unknown decision'
+ WHEN target = 'concept' THEN CASE WHEN dpv_iri <> '' THEN 'concept with a term' WHEN relation IS NOT NULL THEN 'concept with a relation' WHEN decision = 'approved' AND coalesce(entity_kind, '') NOT IN ('class', 'object_property', 'datatype_property') THEN 'approved without an entity kind'
+  WHEN decision <> 'approved' AND entity_kind IS NOT NULL THEN 'entity kind without approval' WHEN decision = 'duplicate' AND same_as IS NULL THEN 'duplicate of nothing' WHEN decision <> 'duplicate' AND same_as IS NOT NULL THEN 'same entity without duplicate' END
+ WHEN entity_kind IS NOT NULL THEN 'mapping with an entity kind' WHEN same_as IS NOT NULL THEN 'mapping with a same entity' WHEN decision = 'no_match' AND (dpv_iri <> '' OR relation IS NOT NULL) THEN 'no_match with a term or relation'
+ WHEN decision NOT IN ('no_match', 'pending') AND dpv_iri = '' THEN 'no term' WHEN decision = 'approved' AND relation IS NULL THEN 'approved without a known relation' WHEN decision <> 'approved' AND relation IS NOT NULL THEN 'relation without approval' END AS reason FROM b""")
+def _(t):
+    by = lambda *n: reduce(lambda a, b: a | b, [F.col("seq") % i == 0 for i in n])
+    bad = t.decisions.withColumns({
+        "target": F.when(by(7), "concept").when(by(101), "other").otherwise("mapping"), "decision": F.when(by(11), "maybe").when(by(21), "duplicate").otherwise(F.col("decision")),
+        "concept_key": F.when(by(13), "").otherwise(F.col("concept_key")), "dpv_iri": F.when(by(14, 21), "").otherwise(F.col("dpv_iri")), "relation": F.when(~by(17, 28, 21), F.col("relation")),
+        "reviewer": F.when(by(19), "  ").otherwise(F.col("reviewer")), "source_id": F.when(~by(23), F.col("source_id")), "entity_kind": F.when(by(56), "class").when(by(29), "thing"), "same_as": F.when(by(42, 31), "x"),
     })
     return ops.validated(bad).select("seq", "reason")
 
@@ -153,23 +161,46 @@ def _(t):
     return ops.version_validity(t.decisions)
 
 
-HEX = "CAST(('0x' || substr(md5({0}), 1, 12)) AS BIGINT)"
+def field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({x} AS VARCHAR))), ':', {x}) END"
+
+
+def row_hash(*columns: str) -> str:
+    return f"sha256(concat({', '.join(map(field, columns))}))"
+
+
+@query("d20_fingerprint", f"SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(concat(h, ':', n), ',' ORDER BY h)) AS digest FROM (SELECT {row_hash('n_nationkey', 'n_name', 'n_regionkey')} AS h, count(*) AS n FROM nation GROUP BY h)")
+def _(t):
+    return digests.fingerprint(t.nation, ["n_nationkey", "n_name", "n_regionkey"])
+
+
+TREE = f"""r AS (SELECT {row_hash('l_returnflag', 'l_linestatus', 'l_partkey', 'l_quantity')} AS h, count(*) AS n FROM lineitem GROUP BY h),
+t2 AS (SELECT 2 AS level, substr(h, 1, 2) AS prefix, sum(n) AS n, sha256(string_agg(concat(h, ':', n), ',' ORDER BY h)) AS digest FROM r GROUP BY substr(h, 1, 2)),
+t1 AS (SELECT 1 AS level, substr(prefix, 1, 1) AS prefix, sum(n) AS n, sha256(string_agg(concat(prefix, ':', digest), ',' ORDER BY prefix)) AS digest FROM t2 GROUP BY substr(prefix, 1, 1)),
+t0 AS (SELECT 0 AS level, '' AS prefix, sum(n) AS n, sha256(string_agg(concat(prefix, ':', digest), ',' ORDER BY prefix)) AS digest FROM t1)"""
+
+
+@query("d20_tree", f"WITH {TREE} SELECT level, prefix, CAST(n AS BIGINT) AS n, digest FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)")
+def _(t):
+    return digests.digest_tree(t.lineitem, ["l_returnflag", "l_linestatus", "l_partkey", "l_quantity"], depth=2)
 
 
-@query("d20_fingerprint", f"SELECT count(*) AS n, CAST(sum({HEX.format("concat_ws('|', n_nationkey, n_name, n_regionkey)")}) AS VARCHAR) AS digest FROM nation")
+@query("d20_changed", f"WITH h AS (SELECT DISTINCT {row_hash('c_custkey', 'c_name', 'c_mktsegment')} AS h FROM customer WHERE c_custkey % 500 = 0 UNION SELECT DISTINCT {row_hash('c_custkey', 'c_name', chr(39) + 'NEW' + chr(39))} FROM customer WHERE c_custkey % 500 = 0) SELECT DISTINCT substr(h, 1, 2) AS prefix, 2 AS level FROM h")
 def _(t):
-    return ops.fingerprint(t.nation, ["n_nationkey", "n_name", "n_regionkey"])
+    columns = ["c_custkey", "c_name", "c_mktsegment"]
+    new = t.customer.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 500 == 0, "NEW").otherwise(F.col("c_mktsegment")))
+    return digests.changed_subtrees(digests.digest_tree(t.customer, columns, 2), digests.digest_tree(new, columns, 2))
 
 
-@query("d21_current", "SELECT 'nation' AS name, true AS current UNION ALL SELECT 'region', (SELECT count(*) FROM region WHERE r_regionkey > 0) = (SELECT count(*) FROM region)")
+@query("d21_current", "SELECT 'nation' AS name, NOT EXISTS (SELECT n_nationkey, n_name FROM nation EXCEPT SELECT n_nationkey, n_name FROM nation ORDER BY 1) AS current UNION ALL SELECT 'region', (SELECT count(*) FROM region WHERE r_regionkey > 0) = (SELECT count(*) FROM region)")
 def _(t):
-    one = lambda name, df, c: ops.fingerprint(df, c).withColumn("name", F.lit(name))
+    one = lambda name, df, c: digests.fingerprint(df, c).withColumn("name", F.lit(name))
     n, r = ["n_nationkey", "n_name"], ["r_regionkey", "r_name"]
     saved = one("nation", t.nation, n).unionByName(one("region", t.region, r))
-    return ops.is_current(saved, one("nation", t.nation, n).unionByName(one("region", t.region.where("r_regionkey > 0"), r)))
+    return ops.is_current(saved, one("nation", t.nation.orderBy(F.desc("n_name")), n).unionByName(one("region", t.region.where("r_regionkey > 0"), r)))
 
 
-@query("d22_cache_split", "SELECT doc_id, sha256(concat('model', chr(31), text)) AS cache_key, source IN ('src1', 'src2') OR text IN (SELECT text FROM documents WHERE source IN ('src1', 'src2')) AS hit FROM documents")
+@query("d22_cache_split", f"SELECT doc_id, sha256(concat('5:model', {field('text')})) AS cache_key, source IN ('src1', 'src2') OR text IN (SELECT text FROM documents WHERE source IN ('src1', 'src2')) AS hit FROM documents")
 def _(t):
     keyed = t.documents.select("doc_id", "source", ops.cache_key(F.lit("model"), F.col("text")).alias("cache_key"))
     return ops.cache_split(keyed.select("doc_id", "cache_key"), keyed.where("source in ('src1', 'src2')"))

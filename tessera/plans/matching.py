@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import STOP_WORDS, indel_ratio, normalize_name
 from tessera.operators import matching as ops
+from tessera.operators.neighbours import build_index
+from tessera.operators.search import found_by_index, search_by_index, write_postings
 from tessera.plans.registry import query
+from tessera.sources.storage import scratch
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def norm(x: str) -> str:
-    camel = rf"regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
+    camel = rf"strip_accents(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'))"
     words = f"list_filter(regexp_split_to_array(lower({camel}), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([{STOPS}], w))"
     one = "CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN concat(left(w, length(w) - 3), 'y') WHEN length(w) > 3 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END"
     return f"array_to_string(list_transform({words}, lambda w: {one}), ' ')"
@@ -58,9 +61,10 @@ def all_pairs(t):
     return ops.scored_pairs(*sides(t)).where("id <> t_id")
 
 
-@query("c01_normalize", f"SELECT DISTINCT label, {norm('label')} AS norm FROM terms")
+@query("c01_normalize", f"SELECT DISTINCT label, {norm('label')} AS norm FROM (SELECT label FROM terms UNION ALL SELECT unnest(string_split(text, ' ')) FROM documents)")
 def _(t):
-    return ops.normalized(t.terms, "label").select("label", "norm").distinct()
+    names = t.terms.select("label").unionByName(t.documents.select(F.explode(F.split("text", " ")).alias("label"))).distinct()
+    return ops.normalized(names, "label").select("label", "norm")
 
 
 @query("c02_indel", f"SELECT a, b, {indel('sa', 'sb')} AS ratio FROM (SELECT DISTINCT {norm('x.label')} AS a, {norm('y.name')} AS b, {tsort(norm('x.label'))} AS sa, {tsort(norm('y.name'))} AS sb FROM terms x JOIN terms y ON x.kind = y.kind)")
@@ -76,6 +80,11 @@ def _(t):
     return ops.lexical_scores(ops.normalized(t.concepts), ops.normalized(t.terms, "label"))
 
 
+@query("c03_similar_names", f"SELECT * FROM (SELECT kind, a, b, {indel('sa', 'sb')} AS lexical FROM (SELECT DISTINCT x.kind, {norm('x.name')} AS a, {norm('y.label')} AS b, {tsort(norm('x.name'))} AS sa, {tsort(norm('y.label'))} AS sb FROM (SELECT DISTINCT name, kind FROM concepts) x JOIN terms y ON x.kind = y.kind)) WHERE lexical >= 0.8")
+def _(t):
+    return ops.similar_names(ops.normalized(t.concepts), ops.normalized(t.terms, "label"), 0.8)
+
+
 @query("c04_best_lexical", f"""
 WITH n AS (SELECT DISTINCT name, kind, {norm('name')} AS a FROM concepts), m AS (SELECT iri, kind, {norm('label')} AS b FROM terms),
 s AS (SELECT a, b, {indel('sa', 'sb')} AS lexical FROM (SELECT DISTINCT a, b, {tsort('a')} AS sa, {tsort('b')} AS sb FROM n JOIN m ON n.kind = m.kind)),
@@ -121,6 +130,12 @@ def _(t):
     return ops.nearest(*sides(t), 5)
 
 
+@query("c11_by_cells", f"{NEAR} SELECT id, t_id, distance, rank FROM n WHERE rank <= 5")
+def _(t):
+    s, targets = sides(t)
+    return ops.nearest(s, targets, 5, index=build_index(targets))
+
+
 @query("c12_pool_rerank", f"""{PAIRS}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY 1 - semantic, t_id) AS near FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lexical DESC, t_id) AS rank FROM n WHERE near <= 10) SELECT id, t_id, kind, lexical, semantic, score, rank FROM r WHERE rank <= 3""")
 def _(t):
@@ -130,8 +145,14 @@ def _(t):
 @query("c13_precedents", f"{NEAR.replace('y.id <> x.id', 'y.id <> x.id AND (x.id + y.id) % 5 <> 0')} SELECT id, t_id, distance, rank FROM n WHERE rank <= 3")
 def _(t):
     s, decided = sides(t)
-    forbidden = s.select("id", "kind").join(decided.select(F.col("id").alias("t_id"), "kind"), "kind").where("(id + t_id) % 5 = 0").select("id", "t_id")
-    return ops.precedents(s, decided, forbidden, 3)
+    return ops.precedents(s, decided, (F.col("id") + F.col("t_id")) % 5 == 0, 3)
+
+
+@query("c13_by_cells", f"{NEAR.replace('y.id <> x.id', 'y.id <> x.id AND y.id NOT IN (x.id + 1, x.id + 2, x.id + 20)')} SELECT id, t_id, distance, rank FROM n WHERE rank <= 3")
+def _(t):
+    s, decided = sides(t)
+    forbidden = s.select("id", F.explode(F.array([F.col("id") + i for i in (1, 2, 20)])).alias("t_id"))
+    return ops.precedents(s, decided, forbidden, 3, index=build_index(decided))
 
 
 @query("c14_retrieve", "WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id AS t_id, round(1 - least(1.0, greatest(0.0, list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q.v))), 6) AS distance FROM embeddings, q WHERE vec_id <> 0 ORDER BY distance, t_id LIMIT 10")
@@ -155,7 +176,7 @@ def _(t):
     return ops.bands(all_pairs(t).groupBy("id").agg(F.max("score").alias("score")))
 
 
-@query("c17_family_means", f"{NEAR} SELECT label AS family, count(*) AS n, round(avg(1 - distance), 4) AS mean FROM n JOIN items i ON i.id = n.id WHERE rank = 1 GROUP BY label")
+@query("c17_family_means", f"{NEAR} SELECT label AS family, count(*) AS n, (sum(CAST((1 - distance) * 1000000 AS BIGINT)) + 50 * count(*)) // (100 * count(*)) / 10000.0 AS mean FROM n JOIN items i ON i.id = n.id WHERE rank = 1 GROUP BY label")
 def _(t):
     return ops.family_means(ops.nearest(*sides(t), 1), items(t).select("id", F.col("label").alias("family")))
 
@@ -210,6 +231,20 @@ def _(t):
     return ops.search(t.concepts, "ring")
 
 
+@query("c25_by_index", "SELECT key, CASE WHEN contains(lower(name), 'copper') OR contains(lower(label), 'copper') THEN 0 ELSE 1 END AS hit FROM concepts WHERE kind = 'class' AND contains(lower(concat_ws(chr(1), name, label, definition)), 'copper') ORDER BY hit, seq LIMIT 15")
+def _(t):
+    path = scratch(t.spark)
+    write_postings(t.concepts, path)
+    return search_by_index(t.spark, path, " Copper ", ["class"])
+
+
+@query("c25_all_hits", "SELECT key, CASE WHEN contains(lower(name), 'an') OR contains(lower(label), 'an') THEN 0 ELSE 1 END AS hit FROM concepts WHERE contains(lower(concat_ws(chr(1), name, label, definition)), 'an')")
+def _(t):
+    path = scratch(t.spark)
+    write_postings(t.concepts, path)
+    return found_by_index(t.spark, path, "an").select("key", "hit")
+
+
 @query("c26_evidence", f"{NEAR} SELECT id, t_id, 'nearest' AS origin FROM n WHERE rank <= 3 AND distance <= 0.8 AND id % 200 <> 0 UNION ALL SELECT id, id + 1, 'cited' FROM items WHERE id % 200 = 0")
 def _(t):
     s, targets = sides(t)

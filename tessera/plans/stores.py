@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import laws, matching, report
+from tessera.operators.decisions import RECORD, replay
 from tessera.plans.decisions import LATEST, STATUS, current, status
 from tessera.plans.graph import CAND, chains, law_texts
 from tessera.plans.matching import PAIRS, all_pairs
@@ -46,6 +47,40 @@ def _(t):
     return io.read_log(t.spark, path, logs.LOG)
 
 
+def with_snapshot(t):
+    """The log as whole records; the snapshot is the event's own properties in a record of other shape for each type of event."""
+    event = t.events.select(F.col("event_id").alias("seq"), "props", "event_type")
+    made = F.concat(F.lit('{"rank": '), (F.col("seq") % 5).cast("string"), F.lit(', "run": {"model": "m'), (F.col("seq") % 3).cast("string"), F.lit('", "scores": [0.25, '), (F.col("seq") % 10).cast("string"), F.lit("]}, "), F.when(F.col("event_type") == "click", F.lit('"origin": null, ')).otherwise(""), F.lit('"props": '), F.to_json(F.struct("props")), F.lit("}"))
+    columns = {"entity_kind": F.lit(None).cast("string"), "same_as": F.lit(None).cast("string"), "note": F.when(F.col("seq") % 4 == 0, F.concat(F.lit("note \n"), F.col("seq").cast("string"))), "snapshot": F.parse_json(made)}
+    return t.decisions.join(event, "seq").withColumns(columns).select(*[c.split()[0] for c in RECORD.split(", ")])
+
+
+def stored_records(t):
+    path = scratch(t.spark)
+    for turn in range(2):
+        io.append_log(with_snapshot(t).where(F.col("seq") % 2 == turn), path)
+    return io.read_log(t.spark, path, RECORD)
+
+
+SNAPSHOT = "concat('m', seq % 3) AS model, CAST(seq % 10 AS BIGINT) AS second, props"
+
+
+@query("s02_records", f"SELECT seq, source_id, target, concept_key, d.dpv_iri, decision, relation, reviewer, CASE WHEN seq % 4 = 0 THEN concat('note ', chr(10), seq) END AS note, CAST(seq % 5 AS BIGINT) AS rank, {SNAPSHOT} FROM decisions d JOIN events ON event_id = seq")
+def _(t):
+    at = lambda path, kind, name: F.variant_get("snapshot", path, kind).alias(name)
+    rows = stored_records(t)
+    return rows.select("seq", "source_id", "target", "concept_key", "dpv_iri", "decision", "relation", "reviewer", "note", at("$.rank", "bigint", "rank"), at("$.run.model", "string", "model"), at("$.run.scores[1]", "bigint", "second"), at("$.props.props", "string", "props"))
+
+
+@query("d15_snapshots", f"""WITH cl AS (SELECT concept_key, max(seq) AS cleared FROM decisions WHERE decision = 'no_match' GROUP BY concept_key),
+ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept_key, dpv_iri ORDER BY seq DESC) AS k FROM decisions WHERE dpv_iri <> '') WHERE k = 1)
+SELECT ev.concept_key, dpv_iri, relation, {SNAPSHOT} FROM ev JOIN events ON event_id = seq LEFT JOIN cl ON cl.concept_key = ev.concept_key WHERE decision = 'approved' AND (cleared IS NULL OR seq > cleared)""")
+def _(t):
+    at = lambda path, kind, name: F.variant_get("snapshot", path, kind).alias(name)
+    none = t.spark.createDataFrame([], "concept_key string, dpv_iri string, relation string")
+    return replay(none, stored_records(t), ("snapshot",)).select("concept_key", "dpv_iri", "relation", at("$.run.model", "string", "model"), at("$.run.scores[1]", "bigint", "second"), at("$.props.props", "string", "props"))
+
+
 @query("s03_cache", "SELECT cache_key, seq, answer FROM (SELECT event_type || CAST(user_id AS VARCHAR) AS cache_key, event_id AS seq, props AS answer, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id % 7 <> 0) WHERE k = 1")
 def _(t):
     path = scratch(t.spark)
@@ -202,21 +237,21 @@ def streamed(t):
 
 @query("w01_stream_latest", f"{LATEST} SELECT source_id, concept_key, dpv_iri, decision, seq FROM cur")
 def _(t):
-    return logs.finished(logs.latest_state(streamed(t))).where("decision <> 'pending'").select("source_id", "concept_key", "dpv_iri", "decision", "seq")
+    return logs.latest_of(logs.finished(logs.latest_changes(streamed(t)))).where("decision <> 'pending'").select("source_id", "concept_key", "dpv_iri", "decision", "seq")
 
 
 @query("w02_stream_replay", """WITH cl AS (SELECT concept_key, max(seq) AS cleared FROM decisions WHERE decision = 'no_match' GROUP BY concept_key),
 ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept_key, dpv_iri ORDER BY seq DESC) AS k FROM decisions WHERE dpv_iri <> '') WHERE k = 1)
 SELECT ev.concept_key, dpv_iri, relation FROM ev LEFT JOIN cl ON cl.concept_key = ev.concept_key WHERE decision = 'approved' AND (cleared IS NULL OR seq > cleared)""")
 def _(t):
-    return logs.replayed(logs.finished(logs.replay_state(streamed(t))))
+    return logs.in_force(logs.finished(logs.replay_changes(streamed(t))))
 
 
 @query("w03_stream_answers", "SELECT DISTINCT md5(text) AS cache_key FROM documents")
 def _(t):
     path = scratch(t.spark)
     t.documents.select(F.md5("text").alias("cache_key")).repartition(3).write.json(path)
-    return logs.finished(logs.new_answers(logs.log_stream(t.spark, path, "cache_key string")), "append")
+    return logs.take_in(logs.log_stream(t.spark, path, "cache_key string"))
 
 
 CONCEPT_ROWS = f"WITH {DECIDED}, r AS (SELECT key, 'inherited' AS status, term, 'base' AS who FROM d WHERE key % 3 = 0 UNION ALL SELECT key, CASE WHEN term IS NULL THEN 'no_match' WHEN answered THEN 'accepted' ELSE 'suggested' END, term, 'rule' FROM d WHERE key % 2 = 0)"
@@ -260,7 +295,7 @@ def _(t):
     return report.module_structure(t.concepts.select(F.col("label").alias("module"), "kind", "family"))
 
 
-@query("j07_ranking_summary", f"{PAIRS}, b AS (SELECT id, kind, max(score) AS best FROM p GROUP BY ALL) SELECT kind, count(*) AS n, round(avg(best), 4) AS mean FROM b GROUP BY kind")
+@query("j07_ranking_summary", f"{PAIRS}, b AS (SELECT id, kind, CAST(max(score) * 10000 AS BIGINT) AS best FROM p GROUP BY ALL) SELECT kind, count(*) AS n, (2 * sum(best) + count(*)) // (2 * count(*)) / 10000.0 AS mean FROM b GROUP BY kind")
 def _(t):
     return report.ranking_summary(all_pairs(t))
 

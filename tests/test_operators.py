@@ -60,7 +60,7 @@ def test_replay_clears_then_sets_and_the_stream_agrees(spark, tmp_path):
     assert rows(found) == [("a", "y", "closeMatch", "user"), ("c", "z", "exactMatch", "base")]
     for turn in (2, 0, 1):
         events.where(F.col("seq") % 3 == turn).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
-    streamed = logs.replayed(logs.finished(logs.replay_state(logs.log_stream(spark, str(tmp_path / "log")))))
+    streamed = logs.in_force(logs.finished(logs.replay_changes(logs.log_stream(spark, str(tmp_path / "log")))))
     assert rows(streamed) == rows(found.where("origin = 'user'").drop("origin"))
 
 
