@@ -9,11 +9,15 @@ of the smaller counts by the sum of the larger. Words are split at ASCII white s
    Which item it may be is not asked: a template that all items share costs a row per item size, not per item. Only
    windows that begin at such a shingle (or end the document) are taken; any other shares no more with an item than the next
    one that does.
-2. SimHash of each candidate window and each item.
-3. Multi-index Hamming blocks. Items stand in a table per block, under their size and the block's value. With RADIUS + 1
-   blocks, fingerprints within RADIUS bits agree in one block at least; each window fetches what stands under its blocks, and
-   pairs beyond the radius are dropped. A similarity of 0.8 moves 10 bits on average (deviation 3), RADIUS leaves five deviations above that.
+2. SimHash of 128 bits of each candidate window and each item. A similarity of 0.8 moves 19 bits on average (deviation 4: the longer the
+   fingerprint, the smaller the share of it that the deviation is).
+3. Multi-index Hamming blocks. A fingerprint is cut into eight blocks of 16 bits. Items stand in a table under their size, each block and all values within
+   RADIUS // 8 bits of the block's own; fingerprints within RADIUS bits differ by that much at most in one block, so a window that
+   looks up its own eight values meets all items within the radius. The balls are written for items, which are few, and a window asks eight
+   times whatever the radius; of unlike items of its size it meets one in twelve. Pairs beyond the radius are dropped.
 4. The exact similarity decides between what is fetched.
+5. The radius covers the similarity 0.8 with three deviations. A window that no item within it leaks into is compared by its shingles, so
+   it isn't lost to the fourth; these windows are few, as a window has enough shingles of items of its size to begin with.
 
 Defined cases: a null or empty document has no leak; an item without words is never leaked; an item of under five words is
 one shingle; rows that repeat a doc_id give one result a doc_id and item; a null doc_id stays null; empty tables give an
@@ -23,6 +27,7 @@ empty result; other columns are passed on untouched by `without_leaks`.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +36,9 @@ from tessera.llm.common import ascii_lower, let, saved, text_of, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 24
-BITS = 64
+RADIUS = 31
+#: Blocks of a fingerprint and bits of each.
+BLOCKS, WIDTH = 8, 16
 #: The benchmark's shingles are broadcast up to this number (24 MB); beyond it they are shuffled.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -50,9 +56,10 @@ def shingles(text: Column, k: int) -> Column:
 
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, fp from rows of keys and a shingle hash h, one row an occurrence. Each sum counts two bits, 32 apart."""
-    low = 0xFFFFFFFF
-    lanes = [F.sum(F.shiftright("h", b).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"s{b}") for b in range(32)]
+    """keys, fp (two longs) from rows of keys and a shingle hash h, one row an occurrence. Each sum counts two bits, 32 apart."""
+    low, both = 0xFFFFFFFF, F.lit((1 << 32) + 1)
+    rows = rows.withColumn("h2", F.xxhash64("h"))
+    lanes = [F.sum(F.shiftright(h, b).bitwiseAND(both)).alias(f"{h}_{b}") for h in ("h", "h2") for b in range(32)]
     sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_h"), *lanes)
     one = lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), b)
     none = F.lit(0).cast("bigint")
@@ -66,18 +73,34 @@ def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
             ),
         )
 
-    packed = sums.select(*keys, "n_h", F.array(*[f"s{b}" for b in range(32)]).alias("counts"))
-    return packed.select(*keys, fold(F.col("counts"), F.col("n_h")).alias("fp"))
+    packed = sums.select(*keys, "n_h", *[F.array(*[f"{h}_{b}" for b in range(32)]).alias(f"c_{h}") for h in ("h", "h2")])
+    return packed.select(*keys, F.array(fold(F.col("c_h"), F.col("n_h")), fold(F.col("c_h2"), F.col("n_h"))).alias("fp"))
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """array of (block, value): radius + 1 blocks of nearly equal width that cover all bits."""
-    count, at, out = radius + 1, 0, []
-    for block in range(count):
-        width = BITS // count + (block < BITS % count)
-        out.append(F.struct(F.lit(block).alias("block"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1)).alias("value")))
-        at += width
-    return F.array(*out)
+def blocks(fp: Column) -> Column:
+    """array of (block, value): the fingerprint's blocks."""
+    per_long = 64 // WIDTH
+    value = lambda i: F.shiftrightunsigned(F.get(fp, F.lit(i // per_long)), WIDTH * (i % per_long)).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+    return F.array(*[F.struct(F.lit(i).alias("block"), value(i).alias("value")) for i in range(BLOCKS)])
+
+
+def ball(spark, radius: int) -> DataFrame:
+    """mask: all ways to flip up to `radius` of a block's bits; 697 rows at radius 3."""
+    masks = [sum(1 << b for b in flipped) for r in range(radius + 1) for flipped in combinations(range(WIDTH), r)]
+    return spark.createDataFrame([(m,) for m in masks], "mask int")
+
+
+def distance_of(one: str, other: str) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(2)])
+
+
+def met_by_blocks(prints: DataFrame, item_prints: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """keys, item, distance of all windows and items of one size that stand under one block's value; a pair stands once for each such block."""
+    entry = ["k", "total", "block", "value"]
+    asked = prints.select(*keys, "fp", F.inline(blocks(F.col("fp"))))
+    table = item_prints.select("item", "k", "total", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"))))
+    near = table.join(F.broadcast(ball(prints.sparkSession, radius // BLOCKS))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    return asked.join(near, entry).select(*keys, "item", distance_of("fp", "item_fp").alias("distance"))
 
 
 def items_of(benchmark: DataFrame, shingle: int) -> DataFrame:
@@ -119,8 +142,11 @@ def candidate_windows(docs: DataFrame, items: DataFrame, ks: list[int], small: b
     return cut.select("doc_id", "row", "k", "total", "start", F.expr("slice(hashes, start + 1, size)").alias("window"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, row, item_id, start_word, n_words, similarity, distance: the best window (the first of equals) of each leak."""
+def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+    """doc_id, row, item_id, start_word, n_words, similarity, distance: the best window (the first of equals) of each leak.
+
+    With a radius only those whose fingerprints are within it; without, RADIUS is taken and what lies beyond it is compared, too (distance null).
+    """
     items = saved(items_of(benchmark, shingle))
     counted = items.groupBy("k").agg(F.sum("total").alias("n")).collect()  # a row for each k, at most `shingle`
     if not counted:
@@ -130,31 +156,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
 
     # fingerprints within the radius, by blocks; a shared template that many items of one size hold is dealt out by AQE
     keys = ["doc_id", "row", "k", "total", "start"]
-    entry = ["k", "total", "block", "value"]
     occurrences = windows.select(*keys, F.explode("window").alias("h"))
     item_rows = items.select("item", "k", "total", F.explode("hashes").alias("h"))
-    prints = saved(simhash(occurrences, keys))
-    asked = prints.select(*keys, "fp", F.inline(blocks(F.col("fp"), radius)))
-    table = saved(simhash(item_rows, ["item", "k", "total"])).select("item", "k", "total", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
-    fetched = asked.join(table, entry).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = fetched.select(*keys, "item", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
+    fetched = met_by_blocks(saved(simhash(occurrences, keys)), saved(simhash(item_rows, ["item", "k", "total"])), keys, RADIUS if radius is None else radius)
+    near = fetched.where(F.col("distance") <= (RADIUS if radius is None else radius)).distinct()
 
     # the exact similarity of what was fetched
     named = {key: f"s_{key}" for key in keys}
-    met = [F.col(key).eqNullSafe(F.col(other)) if key == "doc_id" else F.col(key) == F.col(other) for key, other in named.items()]
-    on = reduce(Column.__and__, met)
+    on = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(other)) if key == "doc_id" else F.col(key) == F.col(other) for key, other in named.items()])
     pairs = windows.join(near.withColumnsRenamed(named), on).select(*keys, "item", "distance", "window")
-    counts = pairs.select(*keys, "item", "distance", F.size("window").alias("size"), F.explode("window").alias("h"))
-    counts = counts.groupBy(*keys, "item", "distance", "size", "h").agg(F.count(F.lit(1)).alias("c"))
-    item_counts = item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("item_c"))
-    shared = counts.join(item_counts, ["item", "h"]).groupBy(*keys, "item", "distance", "size").agg(F.sum(F.least("c", "item_c")).alias("shared"))
-    scored = shared.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("size") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    item_counts = saved(item_rows.groupBy("item", "k", "total", "h").agg(F.count(F.lit(1)).alias("item_c")))
+    scored = saved(scored_pairs(pairs, keys, item_counts, ["item", "h"], similarity))
+
+    # windows without a leak so far may lie just beyond the radius: theirs is compared by shingles with the items that share some
+    found = scored.select(*[F.col(key).alias(other) for key, other in named.items()]).distinct()
+    if radius is None:
+        rest = windows.join(found, on, "left_anti").select(*keys, F.lit(None).cast("int").alias("distance"), "window")
+        scored = scored.unionByName(scored_pairs(rest, keys, item_counts, ["k", "total", "h"], similarity))
     best = F.max_by(F.struct("start", "similarity", "distance"), F.struct("similarity", -F.col("start"))).alias("w")
     kept = scored.groupBy("doc_id", "row", "item").agg(best)
     known = items.select("item", "item_id", F.col("n").cast("int").alias("n_words"))
     return kept.join(F.broadcast(known) if small else known, "item").select("doc_id", "row", "item_id", F.col("w.start").alias("start_word"), "n_words", "w.similarity", "w.distance")
 
 
+def scored_pairs(pairs: DataFrame, keys: list[str], item_counts: DataFrame, met: list[str], similarity: float) -> DataFrame:
+    """keys, item, distance, similarity of the windows and items that are similar enough. met: with the item, pairs are given; without it, items that share a shingle."""
+    own = [*keys, *(["item"] if "item" in met else []), "distance"]
+    counts = pairs.select(*own, F.size("window").alias("size"), F.explode("window").alias("h")).groupBy(*own, "size", "h").agg(F.count(F.lit(1)).alias("c"))
+    table = item_counts.drop(*[c for c in ("k", "total") if c not in met])
+    shared = counts.join(table, met).groupBy(*keys, "item", "distance", "size").agg(F.sum(F.least("c", "item_c")).alias("shared"))
+    score = F.col("shared") / (F.col("total") + F.col("size") - F.col("shared"))
+    return shared.select(*keys, "item", "distance", score.alias("similarity")).where(F.col("similarity") >= similarity)
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs less the rows that leak an item."""
     found = leaks(docs.select("doc_id", "text"), benchmark, **options)

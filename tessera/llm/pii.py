@@ -1,7 +1,8 @@
 """Personal data by a skip-chain conditional random field.
 
-Candidates are the base matches (e-mail, IP address, payment card, phone: fixed patterns) and wider ones: digit groups
-without the mark that the base asks for, and addresses that are spelled out. A document's candidates are the field's
+Candidates are the base matches (e-mail, IP address, payment card, phone: fixed patterns) and wider ones: groups of digits
+without the mark that the base asks for, and addresses that are spelled out. Numbers may stand side by side: of a row of digit groups those that repeat a
+base match of the document, in whole or from its end, are candidates of their own, then what is left between them. A document's candidates are the field's
 nodes, their labels O, email, ip, card or phone; a base match has its label given, and no candidate can have a label whose
 rules it breaks (a card passes Luhn, an IP address has parts up to 255, a phone 7 to 15 digits, an e-mail an at sign). Unary
 potentials come from features of the candidate and the words before it, transition potentials from neighbours in the text
@@ -14,7 +15,7 @@ All weights (features, chain, the skip edges' two) are fitted together by the ps
 label given its neighbours' labels. What that needs of a node, its situation, is one of a bounded number of small tuples; the
 tasks count the situations over all documents, and only the counts come to the driver. Base matches teach the labels, others
 count as O with weight UNLABELLED, but those that repeat a base match are unknown and left out. The skip edges' weights have a
-Gaussian prior round PRIOR, which decides where documents hold no repeats of known label. The features leave out the marks that define a base match, so that a repeat without its
+Gaussian prior of one node's strength round PRIOR, which decides where documents hold no repeats of known label and gives way where they do. The features leave out the marks that define a base match, so that a repeat without its
 mark is judged by the rest.
 
 Defined cases: a null or empty text has no spans; a null doc_id stays null; repeated rows give repeated rows; an empty
@@ -43,11 +44,16 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Candidates beyond the base.
-DIGITS = re.compile(r"\(?[0-9][0-9().\x20-]{5,28}[0-9]")
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,64}){1,5}", re.I | re.A)
+#: Candidates beyond the base: rows of digit groups, at signs in any form, and what may follow them.
+ROW = re.compile(r"\(?[0-9](?:[0-9().\x20-]*[0-9])?")
+GROUP = re.compile(r"[0-9]+")
+AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?", re.I | re.A)
+HOST = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,})+", re.I | re.A)
+#: Digits of a candidate, and the digits by which numbers are like each other.
+FEWEST, MOST, LAST = 7, 19, 7
 ANY = re.compile(r"[0-9@\[(]")
 LABELS = ("O", *KINDS)
+SEPARATOR = re.compile(r"[^0-9]+")
 #: What a candidate without a base match weighs in the fit: it is unlabelled rather than O.
 UNLABELLED = 0.2
 THRESHOLD = 0.8
@@ -103,25 +109,113 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def spelled(text: str) -> list[tuple[int, int]]:
+    """Addresses with an at sign in any form, found from the signs: linear in the text."""
+    found, free = [], 0
+    for m in AT.finditer(text):
+        host = HOST.match(text, m.end())
+        start = m.start()
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        if host and start < m.start() and start >= free:
+            found.append((start, host.end()))
+            free = host.end()
+    return found
+
+
+class Known:
+    """The numbers among a document's base matches, to tell their repeats: all their ends of LAST digits and more, and IP addresses by their parts."""
+
+    def __init__(self, text: str, base: list[tuple[int, int, int]]):
+        self.whole, self.ends, self.ips = set(), set(), set()
+        for s, kind, e in base:
+            if kind == 1:
+                self.ips.add(tuple(GROUP.findall(text[s:e])))
+            elif kind > 1:
+                digits = digits_of(text[s:e])
+                self.whole.add(digits)
+                self.ends.update(digits[i:] for i in range(len(digits) - LAST + 1))
+
+    def repeats(self, digits: str) -> bool:
+        return digits in self.ends or any(digits[i:] in self.whole for i in range(1, len(digits) - LAST + 1))
+
+
+def numbers_of(text: str, start: int, end: int, known: Known) -> list[tuple[int, int]]:
+    """Candidates in a row of digit groups: the longest repeats from left to right, then what is between them as a whole or, of more than MOST
+    digits, group by group."""
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    found, first = [], 0
+
+    def left(i: int, j: int) -> None:
+        """The groups i to j (not included), which repeat nothing."""
+        digits = sum(e - s for s, e in groups[i:j])
+        if FEWEST <= digits <= MOST:
+            found.append((groups[i][0], groups[j - 1][1]))
+        elif digits > MOST:
+            found.extend((s, e) for s, e in groups[i:j] if FEWEST <= e - s <= MOST)
+
+    i = 0
+    while i < len(groups) and (known.whole or known.ips):
+        digits, last = "", -1
+        for j in range(i, len(groups)):
+            s, e = groups[j]
+            if len(digits) + e - s > MOST:
+                break
+            digits += text[s:e]
+            ip = j == i + 3 and tuple(text[a:b] for a, b in groups[i : j + 1]) in known.ips
+            if ip or (len(digits) >= FEWEST and known.repeats(digits)):
+                last = j
+        if last >= 0:
+            left(first, i)
+            found.append((groups[i][0], groups[last][1]))
+            first = i = last + 1
+        else:
+            i += 1
+    left(first, len(groups))
+    return [(s - (s > start and text[s - 1] == "(") if s > start else start, e) for s, e in found]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, label or -1, end): base matches with their labels, then others that overlap none of them."""
     nodes = [(s, k + 1, e) for s, k, e in base]
     taken = sorted((s, e) for s, _, e in base)
     starts = [s for s, _ in taken]
     ends = np.maximum.accumulate([e for _, e in taken]) if taken else []
-    for pattern in (SPELLED, DIGITS):
-        for m in pattern.finditer(text):
-            at = np.searchsorted(starts, m.end())
-            if at and ends[at - 1] > m.start():
+
+    def free(s: int, e: int) -> bool:
+        at = np.searchsorted(starts, e)
+        return not (at and ends[at - 1] > s)
+
+    wide = [(s, e) for s, e in spelled(text) if free(s, e)]
+    nodes += [(s, -1, e) for s, e in wide]
+    known = Known(text, base)
+    for m in ROW.finditer(text):
+        s, e = m.span()
+        while s < e:  # what base matches leave of the row
+            at = np.searchsorted(starts, s, "right")
+            if at and ends[at - 1] > s:
+                s = int(ends[at - 1])
                 continue
-            if pattern is DIGITS and not 7 <= len(digits_of(m[0])) <= 19:
+            stop = min(e, starts[at]) if at < len(starts) else e
+            if stop > s:
+                nodes += [(x, -1, y) for x, y in numbers_of(text, s, stop, known)]
+            s = stop
+    if wide:  # a number inside a spelled address is part of it
+        nodes = sorted(nodes)
+        kept, reach = [], -1
+        for x, label, y in nodes:
+            if label < 0 and x < reach and not ("@" in text[x:y] or AT.search(text, x, y)):
                 continue
-            nodes.append((m.start(), -1, m.end()))
+            reach = max(reach, y)
+            kept.append((x, label, y))
+        return kept
     return sorted(nodes)
 
 
 def key_of(span: str) -> str:
-    digits = digits_of(span)
+    digits, groups = digits_of(span), GROUP.findall(span)
+    if len(groups) == 4 and not any(c.isalpha() for c in span) and all(len(g) <= 3 and int(g) <= 255 for g in groups) and len(set(SEPARATOR.findall(span))) == 1:
+        return ".".join(groups)  # an IP address, whatever parts it
     if "@" in span or len(digits) < 7:
         return re.sub(r"[^a-z0-9]", "", re.sub(r"[\[(](at|dot)[\])]", "", span.lower()))
     return digits
@@ -157,7 +251,7 @@ def allowed(span: str) -> np.ndarray:
         [
             True,
             "@" in span or re.search(r"[\[(]at[\])]", span, re.I) is not None,
-            len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+            (len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)) or key_of(span).count(".") == 3,
             12 <= len(digits) <= 19 and luhn(digits) and "." not in span,
             7 <= len(digits) <= 15 and not any(c.isalpha() for c in span),
         ]
@@ -276,11 +370,14 @@ def pseudo_likelihood(rows: np.ndarray, counts: np.ndarray) -> tuple[Callable, i
     label, before, after = rows[:, 2], rows[:, 3], rows[:, 4]
     skips = (rows[:, 5:6] // 3 ** np.arange(2 * size) % 3).astype(float).reshape(-1, 2, size)
     trust = np.where(label == 0, UNLABELLED, 1.0) * counts
-    trust = trust / max(1.0, trust.sum())
+    nodes = trust.sum()
+    trust = trust / max(1.0, nodes)
     y = np.eye(size)[label]
     left, right = np.eye(size)[before] * (before >= 0)[:, None], np.eye(size)[after] * (after >= 0)[:, None]
     n_unary, n_chain = N_FEATURES * size, size * size
     prior = np.concatenate([np.zeros(n_unary + n_chain), PRIOR])
+    # the skip edges' prior weighs as one node of all, the ridge of the other weights as a fixed share
+    ridge = np.concatenate([np.full(n_unary + n_chain, RIDGE), np.full(2, min(RIDGE, 1 / max(1.0, nodes)))])
 
     def parts(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return theta[:n_unary].reshape(N_FEATURES, size), theta[n_unary : n_unary + n_chain].reshape(size, size), theta[n_unary + n_chain :]
@@ -294,8 +391,8 @@ def pseudo_likelihood(rows: np.ndarray, counts: np.ndarray) -> tuple[Callable, i
         off = (np.exp(log) - y) * trust[:, None]
         off = np.where(may, off, 0.0)
         own = [x.T @ off, left.T @ off + off.T @ right, np.array([(skips[:, k] * off).sum() for k in range(2)])]
-        value = -(trust[:, None] * y * log).sum() + 0.5 * RIDGE * (theta - prior) @ (theta - prior)
-        return value, np.concatenate([g.ravel() for g in own]) + RIDGE * (theta - prior)
+        value = -(trust[:, None] * y * log).sum() + 0.5 * (ridge * (theta - prior)) @ (theta - prior)
+        return value, np.concatenate([g.ravel() for g in own]) + ridge * (theta - prior)
 
     loss.parts, loss.prior = parts, prior
     return loss, n_unary + n_chain + 2
@@ -323,8 +420,8 @@ def counted_situations(docs: DataFrame) -> dict[tuple, int]:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in it:
-            for text in batch.column(0).to_pylist():
-                if ANY.search(text):
+            for value in batch.column(0):
+                if ANY.search(text := value.as_py()):  # one text at a time is a Python string
                     counts.update(situations(text))
         rows = [(*key, n) for key, n in counts.items()]
         if rows:

@@ -49,7 +49,7 @@ DIGITS, LOWER_HEX, LOWER, UPPER_HEX, UPPER = string.digits, "abcdef", string.asc
 #: What goes into the dictionary: words outside of candidates, and names of several parts that the text uses more than once.
 WORD = re.compile(r"[^\W_]{2,}")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]{2,24}[0-9]{0,2}(?:[_.-][A-Za-z]{1,24}[0-9]{0,2}){1,6}(?![A-Za-z0-9])")
-AROUND = 512
+AROUND = 256
 NOVEL = 0.85
 #: Random strings that a candidate is held against.
 DRAWS = 6

@@ -256,6 +256,44 @@ def test_blocks_of_fingerprints_bring_the_leaks(spark):
     assert {expected[k] for k in exact} != set(expected.values())
 
 
+def test_blocks_select_and_miss_little(spark):
+    """Windows at similarity 0.8 and more of items of many sizes: nearly all pairs are met through a block, and far fewer than all pairs are."""
+    rng, rows, items, wanted = random.Random(4), [], [], []
+    for n in (16, 30, 46, 46, 90, 200):
+        for _ in range(40):
+            item = [rng.getrandbits(62) for _ in range(n)]
+            items.append((len(items), 5, n, item))
+            other, lost = list(item), int(n * rng.choice([0.0, 0.05, 0.11]))  # of n shingles 0.11 n replaced: similarity 0.8
+            for i in rng.sample(range(n), lost):
+                other[i] = rng.getrandbits(62)
+            rows.append((len(rows), 5, n, other))
+            wanted.append((len(rows) - 1, len(items) - 1, (n - lost) / (n + lost) >= 0.8))
+    explode = lambda data, key: spark.createDataFrame(data, f"{key} bigint, k int, total int, hashes array<bigint>").select(key, "k", "total", F.explode("hashes").alias("h"))
+    prints = decontaminate.simhash(explode(rows, "w"), ["w", "k", "total"])
+    table = decontaminate.simhash(explode(items, "item"), ["item", "k", "total"])
+    met = decontaminate.met_by_blocks(prints, table, ["w", "k", "total"], decontaminate.RADIUS).distinct().collect()
+    near = {(r.w, r.item) for r in met if r.distance <= decontaminate.RADIUS}
+    similar_pairs = {(w, i) for w, i, ok in wanted if ok}
+    assert len(near & similar_pairs) >= 0.98 * len(similar_pairs)
+    all_pairs = sum(a[2] == b[2] for a in rows for b in items)
+    assert len(met) <= 0.2 * all_pairs and len(near) <= len(rows) + 0.01 * all_pairs
+    # the guarantee: every pair within the radius is met
+    by_id = {r.w: r.fp for r in prints.collect()}
+    own = {r.item: (r.total, r.fp) for r in table.collect()}
+    for w, _, n, _ in rows[::7]:
+        for item, (total, fp) in own.items():
+            distance = sum(bin((a ^ b) & ((1 << 64) - 1)).count("1") for a, b in zip(by_id[w], fp, strict=True))
+            assert (total == n and distance <= decontaminate.RADIUS) == ((w, item) in near)
+
+
+def test_leaks_in_very_long_documents(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    fill = " ".join(f"w{i % 5000}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, f"{fill} {item} {fill}"), (2, fill), (3, item + " " + fill)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.start_word) for r in decontaminate.leaks(docs, bench).collect()) == [(1, 150_000), (3, 0)]
+
+
 def test_clashing_columns_stay(spark, odd_documents):
     clash = odd_documents.withColumns({c: F.lit("x") for c in ("gone_id", "gone_row", "d_id", "drops", "_words", "component_id", "in_0")})
     bench = spark.createDataFrame([(0, "same row same row same row"), (1, "nothing of this")], "item_id bigint, text string")
