@@ -76,6 +76,44 @@ def all_findings(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+LABEL, DEFINITION, TYPE, VERSION, IMPORTS = "rdfs:label", "skos:definition", "rdf:type", "owl:versionInfo", "owl:imports"
+RELATION_PREFIX = "skos:"
+
+
+def every_shape(graph: DataFrame, vocabulary: str, terms: DataFrame, deciders: list[str], article: str = r"art\. ?[0-9]+") -> DataFrame:
+    """The twelve shapes over one graph (s, p, o, o_kind, dt, lang), as one table of findings.
+
+    Mappings are relation statements to terms of the vocabulary; terms: o, what it defines. Annotations are nodes with owl:annotatedSource,
+    owl:annotatedTarget, decidedBy and owl:versionInfo; sources of definitions are dct:source of their subject. Shapes that look at one
+    statement at a time are one pass over the graph; the others group by subject.
+    """
+    names = sorted({x for pair in DISJOINT for x in pair} | {"closeMatch"})
+    mapped = graph.where(F.col("p").isin([RELATION_PREFIX + n for n in names]) & F.col("o").startswith(vocabulary))
+    mappings = mapped.select("s", "o", F.substring_index("p", ":", -1).alias("relation"))
+    typed = graph.where(F.col("p") == TYPE).select("s", "o")
+    ontologies = typed.where("o = 'owl:Ontology'").select("s")
+    entities = typed.where("o in ('owl:Class', 'owl:ObjectProperty', 'owl:DatatypeProperty')").select("s").distinct()
+
+    bad_text = F.col("lang").isNull() | (F.btrim("o") == "")
+    rule = F.when((F.col("p") == LABEL) & bad_text, "label_language").when((F.col("p") == DEFINITION) & bad_text, "definition_language")
+    untagged = F.when(F.expr("dt = 'rdf:langString' and coalesce(lang, '') = ''"), "untagged_langstring")
+    one_pass = graph.where("o_kind = 'literal'").select("s", "o", F.explode(F.array_compact(F.array(rule, untagged))).alias("rule"))
+    one_pass = one_pass.select("rule", F.lit("violation").alias("severity"), F.col("s").cast("string").alias("focus"), F.col("o").alias("value"))
+
+    parts = {"owl:annotatedSource": "s", "owl:annotatedTarget": "o", "decidedBy": "decided_by", VERSION: "version"}
+    nodes = graph.where(F.col("p").isin(list(parts))).groupBy(F.col("s").alias("node")).agg(*[F.min(F.when(F.col("p") == p, F.col("o"))).alias(c) for p, c in parts.items()])
+    annotations = nodes.where("s is not null and o is not null")
+    sources = graph.where("p = 'dct:source'").select("s", F.col("o").alias("source"))
+    definitions = graph.where(F.col("p") == DEFINITION).select("s", "o")
+    imports = graph.where(F.col("p") == IMPORTS).select("s", "o")
+    known = ontologies.select(F.col("s").alias("o")).unionByName(graph.where("p = 'owl:versionIRI'").select("o"))
+    labels, texts = graph.where(F.col("p") == LABEL), graph.where(F.col("p") == DEFINITION)
+    return all_findings(
+        term_exists(mappings, terms), mapping_conflict(mappings), declared(mappings, typed), annotation_complete(annotations, mappings, deciders), one_pass,
+        cites_article(definitions.join(sources, "s", "left"), article), imports_resolved(imports, known), has_label(entities, labels, "es"), has_label(entities, labels, "en"), has_definition(entities, texts),
+    )
+
+
 def origins(found: DataFrame, evidence: DataFrame) -> DataFrame:
     """Focus, rule, origin: new if some evidence statement is only the system's, else ontology, else base."""
     own = evidence.groupBy("focus").agg(F.bool_or(F.col("only_system")).alias("new"), F.bool_or(F.col("in_ontology")).alias("ontology"))
@@ -83,6 +121,14 @@ def origins(found: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("focus", "rule", F.when(F.col("new"), "new").when(F.col("ontology"), "ontology").otherwise("base").alias("origin"))
 
 
+def completeness_of(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """rule, severity, n, complete: as completeness, of the given entities (s) alone: findings on others don't lower it."""
+    own = found.join(entities.select(F.col("s").alias("focus"), F.lit(True).alias("own")), "focus", "left")
+    one = own.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("own"), F.col("focus"))).alias("failing"))
+    total = entities.agg(F.count(F.lit(1)).alias("total"))
+    return one.join(F.broadcast(total)).select("rule", "severity", "n", (F.col("total") - F.col("failing")).alias("complete"))  # total: one row
+
+
 def completeness(found: DataFrame, entities: DataFrame) -> DataFrame:
     """Rule, severity, n, complete: findings per rule, and how many entities are free of them."""
     total = entities.agg(F.count_distinct("s").alias("total"))

@@ -95,9 +95,12 @@ def _(t):
     return ops.agreement(current(t), proposals)
 
 
-@query("d10_open_proposals", f"{STATUS}, {CANDIDATES} SELECT concept_key, dpv_iri, rank FROM cand WHERE concept_key IN (SELECT concept_key FROM st WHERE status = 'pending')")
+@query("d10_open_proposals", f"""WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target, concept_key, dpv_iri ORDER BY seq DESC) AS k FROM decisions WHERE dpv_iri IN ('t0', 't2')) WHERE k = 1 AND decision <> 'pending'),
+keys AS (SELECT DISTINCT concept_key FROM decisions), {CANDIDATES}, done AS (SELECT concept_key FROM cur WHERE decision IN ('approved', 'no_match'))
+SELECT concept_key, dpv_iri, rank FROM cand WHERE concept_key NOT IN (SELECT concept_key FROM done)""")
 def _(t):
-    return ops.open_proposals(candidates(t), status(t))
+    early = ops.latest(t.decisions.where("dpv_iri in ('t0', 't2')"))  # as the log stood when only these terms had been looked at
+    return ops.open_proposals(candidates(t), ops.concept_status(early, keys(t)))
 
 
 @query("d12_best_with_clash", "WITH b AS (SELECT family AS key, arg_min(name, seq) AS name FROM concepts GROUP BY family) SELECT key, name, lower(name) IN (SELECT lower(name) FROM concepts WHERE kind = 'property') AS clash FROM b")
@@ -225,9 +228,9 @@ def _(t):
     return t.customer.select("c_custkey", ops.record_id(F.col("c_name"), F.col("c_mktsegment")).alias("id"))
 
 
-@query("d29_unattributed", f"{LATEST} SELECT DISTINCT concept_key, dpv_iri FROM cur WHERE decision = 'approved' AND (concept_key, dpv_iri) NOT IN (SELECT (concept_key, dpv_iri) FROM decisions WHERE seq % 20 <> 0)")
+@query("d29_unattributed", f"{LATEST} SELECT DISTINCT concept_key, dpv_iri FROM cur WHERE decision = 'approved' AND (concept_key, dpv_iri) NOT IN (SELECT (concept_key, dpv_iri) FROM decisions WHERE seq % 3 = 0)")
 def _(t):
-    return ops.unattributed(current(t).where("decision = 'approved'"), t.decisions.where("seq % 20 <> 0"))
+    return ops.unattributed(current(t).where("decision = 'approved'"), t.decisions.where("seq % 3 = 0"))
 
 
 @query("d31_in_force", f"{LATEST}, r AS (SELECT concept_key, dpv_iri, source_id, decision, seq % 2 = 0 AS current FROM cur WHERE decision IN ('approved', 'no_match')) SELECT *, CASE WHEN decision = 'approved' THEN current ELSE current AND NOT bool_or(decision = 'approved' AND current) OVER (PARTITION BY concept_key) END AS in_force FROM r")

@@ -116,9 +116,9 @@ def _(t):
     return ops.aligned_under(matches, ops.Steps(t.edges), t.spark.createDataFrame([(r,) for r in ROOTS.values()], "node bigint"))
 
 
-@query("g08_citing", "SELECT s, o FROM triples WHERE o_kind = 'literal' AND contains(lower(o), 'art.')")
+@query("g08_citing", "SELECT s, o FROM law_graph WHERE o_kind = 'literal' AND contains(lower(o), 'art. 1')")
 def _(t):
-    return ops.citing(t.triples, "art.")
+    return ops.citing(t.law_graph, "Art. 1")
 
 
 @query("q02_row_keys", "SELECT DISTINCT concat_ws(' ', CASE WHEN s LIKE '%#%' THEN split_part(s, '#', 2) ELSE regexp_extract(s, '[^/]*$') END, o) AS row_key FROM triples WHERE p = 'ex:segment'")
@@ -179,9 +179,9 @@ def _(t):
     return shapes.text_with_language(t.triples.where("p = 'rdfs:label'"), "label_language")
 
 
-@finding("v06_definition_language", "definition_language", "violation", "SELECT s AS focus, o AS value FROM triples WHERE p = 'skos:prefLabel' AND (lang IS NULL OR trim(o) = '')")
+@finding("v06_definition_language", "definition_language", "violation", "SELECT s AS focus, o AS value FROM shape_graph WHERE p = 'skos:definition' AND (lang IS NULL OR trim(o) = '')")
 def _(t):
-    return shapes.text_with_language(t.triples.where("p = 'skos:prefLabel'"), "definition_language")
+    return shapes.text_with_language(t.shape_graph.where("p = 'skos:definition'"), "definition_language")
 
 
 @finding("v07_cites_article", "cites_article", "violation", "SELECT split_part(url, '/', 3) AS focus, count(DISTINCT page_id) AS value FROM pages GROUP BY 1 HAVING NOT bool_or(regexp_matches(url, '/en/')) OR count(DISTINCT page_id) > 1")
@@ -200,10 +200,9 @@ def _(t):
 
 
 def labelled(name: str, language: str):
-    @finding(name, f"label_{language}", "warning", f"SELECT source AS focus, NULL AS value FROM documents GROUP BY source HAVING NOT bool_or(lang = '{language}')")
+    @finding(name, f"label_{language}", "warning", f"SELECT DISTINCT concept_key AS focus, NULL AS value FROM decisions WHERE concept_key NOT IN (SELECT s FROM shape_graph WHERE p = 'rdfs:label' AND lower(split_part(lang, '-', 1)) = '{language}' AND trim(o) <> '')")
     def _(t):
-        rows = t.documents.select(F.col("source").alias("s"), "lang", F.lit("x").alias("o"))
-        return shapes.has_label(rows, rows, language)
+        return shapes.has_label(t.decisions.select(F.col("concept_key").alias("s")), t.shape_graph.where("p = 'rdfs:label'"), language)
 
 
 labelled("v10_spanish", "es")
@@ -228,6 +227,42 @@ def _(t):
     return every_finding(t).select("rule", "severity", "focus")
 
 
+HELD_BOTH = " OR ".join(f"(bool_or(p = 'skos:{a}') AND bool_or(p = 'skos:{b}'))" for a, b in shapes.DISJOINT)
+TWELVE = f"""g AS (SELECT * FROM shape_graph), m AS (SELECT s, p, o FROM g WHERE p IN ('skos:exactMatch', 'skos:closeMatch', 'skos:broadMatch', 'skos:narrowMatch', 'skos:relatedMatch') AND o LIKE 'https://w3id.org/dpv#%'),
+e AS (SELECT DISTINCT s FROM g WHERE p = 'rdf:type' AND o = 'owl:Class'),
+n AS (SELECT s AS node, min(o) FILTER (WHERE p = 'owl:annotatedSource') AS s, min(o) FILTER (WHERE p = 'owl:annotatedTarget') AS o, min(o) FILTER (WHERE p = 'decidedBy') AS who, min(o) FILTER (WHERE p = 'owl:versionInfo') AS v FROM g WHERE starts_with(g.s, '_:') GROUP BY g.s),
+nr AS (SELECT n.s, CASE WHEN (n.s, n.o) NOT IN (SELECT (s, o) FROM m) THEN 'no statement' WHEN who IS NULL OR who NOT IN ('r0', 'r1') THEN 'decider' WHEN v IS NULL THEN 'version' END AS reason FROM n),
+ci AS (SELECT d.s, bool_or(regexp_matches(c.o, 'art[.] ?[0-9]+')) AS cites, count(DISTINCT d.o) AS k FROM g d LEFT JOIN (SELECT s, o FROM g WHERE p = 'dct:source') c ON c.s = d.s WHERE d.p = 'skos:definition' GROUP BY d.s),
+f AS (SELECT 'term_exists' AS rule, 'violation' AS severity, s AS focus, o AS value FROM m WHERE o NOT IN (SELECT concat('https://w3id.org/dpv#t', i) FROM range(0, 6) r(i))
+UNION ALL SELECT 'mapping_conflict', 'violation', s, o FROM m GROUP BY s, o HAVING {HELD_BOTH}
+UNION ALL SELECT DISTINCT 'declared', 'violation', s, NULL FROM m WHERE s NOT IN (SELECT s FROM g WHERE p = 'rdf:type')
+UNION ALL SELECT 'annotation_complete', 'violation', s, reason FROM nr WHERE reason IS NOT NULL
+UNION ALL SELECT 'label_language', 'violation', s, o FROM g WHERE p = 'rdfs:label' AND (lang IS NULL OR trim(o) = '')
+UNION ALL SELECT 'definition_language', 'violation', s, o FROM g WHERE p = 'skos:definition' AND (lang IS NULL OR trim(o) = '')
+UNION ALL SELECT 'cites_article', 'violation', s, CAST(k AS VARCHAR) FROM ci WHERE NOT coalesce(cites, false) OR k > 1
+UNION ALL SELECT 'untagged_langstring', 'violation', s, o FROM g WHERE dt = 'rdf:langString' AND coalesce(lang, '') = ''
+UNION ALL SELECT 'imports_resolved', 'violation', s, o FROM g WHERE p = 'owl:imports' AND o NOT IN (SELECT s FROM g WHERE p = 'rdf:type' AND o = 'owl:Ontology' UNION SELECT o FROM g WHERE p = 'owl:versionIRI')
+UNION ALL SELECT 'label_es', 'warning', s, NULL FROM e WHERE s NOT IN (SELECT s FROM g WHERE p = 'rdfs:label' AND lower(split_part(lang, '-', 1)) = 'es' AND trim(o) <> '')
+UNION ALL SELECT 'label_en', 'warning', s, NULL FROM e WHERE s NOT IN (SELECT s FROM g WHERE p = 'rdfs:label' AND lower(split_part(lang, '-', 1)) = 'en' AND trim(o) <> '')
+UNION ALL SELECT 'definition', 'warning', s, NULL FROM e WHERE s NOT IN (SELECT s FROM g WHERE p = 'skos:definition' AND trim(o) <> ''))"""
+
+
+def twelve_shapes(t):
+    terms = t.spark.range(6).select(F.concat(F.lit("https://w3id.org/dpv#t"), F.col("id").cast("string")).alias("o"))
+    return shapes.every_shape(t.shape_graph, "https://w3id.org/dpv#", terms, ["r0", "r1"])
+
+
+@query("v13_twelve_shapes", f"WITH {TWELVE} SELECT rule, severity, focus, value FROM f")
+def _(t):
+    return twelve_shapes(t)
+
+
+@query("v15_twelve_shapes", f"WITH {TWELVE} SELECT rule, severity, count(*) AS n, (SELECT count(*) FROM e) - count(DISTINCT focus) FILTER (WHERE focus IN (SELECT s FROM e)) AS complete FROM f GROUP BY ALL")
+def _(t):
+    entities = t.shape_graph.where("p = 'rdf:type' and o = 'owl:Class'").select("s").distinct()
+    return shapes.completeness_of(twelve_shapes(t), entities)
+
+
 @query("v14_origins", f"WITH f AS ({ALL}), e AS (SELECT s AS focus, bool_or(origin = 'documents') AS new, bool_or(origin = 'supplier') AS own FROM triples GROUP BY s) SELECT f.focus, rule, CASE WHEN new THEN 'new' WHEN own THEN 'ontology' ELSE 'base' END AS origin FROM f LEFT JOIN e ON e.focus = f.focus")
 def _(t):
     evidence = t.triples.select(F.col("s").alias("focus"), (F.col("origin") == "documents").alias("only_system"), (F.col("origin") == "supplier").alias("in_ontology"))

@@ -40,7 +40,7 @@ def _(t):
     return rules.merged_concepts(rows).withColumn("articles", F.array_join("articles", ","))
 
 
-CONCEPTS = r"""c AS (SELECT doc_id AS seq, lang AS kind, regexp_extract(text, '^[^\x20\x09-\x0D]*') AS name, substr(text, 1, 160) AS label, CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, 900) END AS definition, doc_id % 15 AS article FROM documents),
+CONCEPTS = r"""c AS (SELECT doc_id AS seq, lang AS kind, regexp_extract(text, '^[^\x20\x09-\x0D]*') AS name, string_split(text, chr(10))[1] AS label, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS definition, doc_id % 15 AS article FROM documents),
 r AS (SELECT *, list_filter([CASE WHEN article > 12 THEN 'unknown_article' END, CASE WHEN NOT regexp_full_match(name, '[A-Za-z][A-Za-z0-9_-]*') THEN 'bad_name' END, CASE WHEN trim(label) = '' THEN 'no_label' END,
  CASE WHEN length(label) > 150 THEN 'long_label' END, CASE WHEN length(definition) = 0 THEN 'no_definition' END, CASE WHEN length(definition) BETWEEN 1 AND 19 THEN 'short_definition' END, CASE WHEN length(definition) > 600 THEN 'long_definition' END], lambda x: x IS NOT NULL) AS reasons FROM c),
 f AS (SELECT *, CASE WHEN len(reasons) = 0 THEN min(seq) OVER (PARTITION BY len(reasons) = 0, kind, lower(label)) END AS first FROM r),
@@ -49,8 +49,8 @@ a AS (SELECT seq, array_to_string(reasons, ',') AS reasons, first, article, CASE
 
 def law_concepts(t):
     name = F.regexp_extract("text", "^[^\\x20\\x09-\\x0D]*", 0)
-    definition = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.substring("text", 1, 900))
-    own = t.documents.select(F.col("doc_id").alias("seq"), F.col("lang").alias("kind"), name.alias("name"), F.substring("text", 1, 160).alias("label"), definition.alias("definition"), F.array((F.col("doc_id") % 15).cast("int")).alias("articles"))
+    definition = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text"))
+    own = t.documents.select(F.col("doc_id").alias("seq"), F.col("lang").alias("kind"), name.alias("name"), F.get(F.split("text", "\n"), F.lit(0)).alias("label"), definition.alias("definition"), F.array((F.col("doc_id") % 15).cast("int")).alias("articles"))
     return rules.accepted(own, F.sequence(F.lit(0), F.lit(12)))
 
 

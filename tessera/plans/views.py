@@ -75,6 +75,20 @@ UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), CASE c_nationkey % 12
 UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), CASE WHEN c_nationkey % 12 = 8 THEN 'op:time_of_a_vulnerability_notification' WHEN c_custkey % 3 = 0 THEN 'op:right_of_access_time' ELSE 'onto:deadline_in_days_for_the_right_of_access' END,
   CAST(c_custkey % 30 AS STRING), 'literal' FROM {customer} WHERE c_nationkey % 12 IN (7, 8)
 UNION ALL SELECT concat('i:', CAST(c_custkey AS STRING)), 'onto:can_give_explicit_consent_to_treatment', CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, 'literal' FROM {customer} WHERE c_nationkey % 12 = 10""",
+    "shape_graph": """
+SELECT DISTINCT concept_key AS s, concat('skos:', relation) AS p, concat('https://w3id.org/dpv#', dpv_iri) AS o, 'iri' AS o_kind, CAST(NULL AS STRING) AS dt, CAST(NULL AS STRING) AS lang FROM {decisions} WHERE relation IS NOT NULL
+UNION ALL SELECT DISTINCT concept_key, 'rdf:type', 'owl:Class', 'iri', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {decisions} WHERE TRY_CAST(substr(concept_key, 2) AS BIGINT) % 4 <> 0
+UNION ALL SELECT concept_key, 'rdfs:label', CASE WHEN seq % 7 = 0 THEN ' ' ELSE concat('label ', CAST(seq AS STRING)) END, 'literal', CASE WHEN seq % 5 = 0 THEN 'rdf:langString' ELSE 'xsd:string' END,
+ CASE WHEN seq % 5 = 0 THEN '' WHEN seq % 11 = 0 THEN NULL WHEN seq % 8 = 0 AND TRY_CAST(substr(concept_key, 2) AS BIGINT) % 3 <> 1 THEN 'es' WHEN TRY_CAST(substr(concept_key, 2) AS BIGINT) % 5 = 2 THEN 'fr' ELSE 'en-GB' END FROM {decisions} WHERE seq % 4 = 0
+UNION ALL SELECT concept_key, 'skos:definition', concat('defined by ', reviewer), 'literal', 'rdf:langString', CASE WHEN seq % 9 = 0 THEN NULL ELSE 'en' END FROM {decisions} WHERE seq % 6 = 0 AND TRY_CAST(substr(concept_key, 2) AS BIGINT) % 3 <> 2
+UNION ALL SELECT concept_key, 'dct:source', CASE WHEN TRY_CAST(substr(concept_key, 2) AS BIGINT) % 7 = 1 THEN 'no such place' ELSE concat('the law, art. ', CAST(seq % 77 AS STRING)) END, 'literal', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {decisions} WHERE seq % 12 = 0
+UNION ALL SELECT concat('_:', CAST(seq AS STRING)), 'owl:annotatedSource', concept_key, 'iri', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {decisions} WHERE dpv_iri <> '' AND seq % 5 = 1
+UNION ALL SELECT concat('_:', CAST(seq AS STRING)), 'owl:annotatedTarget', concat('https://w3id.org/dpv#', dpv_iri), 'iri', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {decisions} WHERE dpv_iri <> '' AND seq % 5 = 1
+UNION ALL SELECT concat('_:', CAST(seq AS STRING)), 'decidedBy', reviewer, 'literal', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {decisions} WHERE dpv_iri <> '' AND seq % 5 = 1 AND seq % 13 <> 0
+UNION ALL SELECT concat('_:', CAST(seq AS STRING)), 'owl:versionInfo', '1', 'literal', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {decisions} WHERE dpv_iri <> '' AND seq % 5 = 1 AND seq % 17 <> 0
+UNION ALL SELECT concat('m:', CAST(c_custkey AS STRING)), 'owl:imports', concat('m:n', CAST(c_nationkey AS STRING)), 'iri', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {customer}
+UNION ALL SELECT concat('m:n', CAST(n_nationkey AS STRING)), 'rdf:type', 'owl:Ontology', 'iri', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {nation} WHERE n_regionkey < 3
+UNION ALL SELECT 'm:old', 'owl:versionIRI', concat('m:n', CAST(n_nationkey AS STRING)), 'iri', CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {nation} WHERE n_regionkey = 3""",
     "gold": """
 SELECT d.doc_id AS key, CASE WHEN l.quality = 1 THEN 'aligned' ELSE 'no_match' END AS status, d.lang AS term, l.toxic, l.quality,
        least(CAST(1.0 AS DOUBLE), CAST(d.n_chars AS DOUBLE) / 4000) AS score, CASE WHEN d.n_chars % 3 = 0 THEN 'fr' ELSE d.lang END AS predicted,
