@@ -231,11 +231,11 @@ def _(t):
     return ops.search(t.concepts, "ring")
 
 
-@query("c25_by_index", "SELECT key, CASE WHEN contains(lower(name), 'copper') OR contains(lower(label), 'copper') THEN 0 ELSE 1 END AS hit FROM concepts WHERE kind = 'class' AND contains(lower(concat_ws(chr(1), name, label, definition)), 'copper') ORDER BY hit, seq LIMIT 15")
+@query("c25_by_index", "SELECT key, CASE WHEN contains(lower(name), 'ring') OR contains(lower(label), 'ring') THEN 0 ELSE 1 END AS hit FROM concepts WHERE kind = 'class' AND contains(lower(concat_ws(chr(1), name, label, definition)), 'ring') ORDER BY hit, seq LIMIT 15")
 def _(t):
     path = scratch(t.spark)
     write_postings(t.concepts, path)
-    return search_by_index(t.spark, path, " Copper ", ["class"])
+    return search_by_index(t.spark, path, " RiNG ", ["class"])
 
 
 @query("c25_all_hits", "SELECT key, CASE WHEN contains(lower(name), 'an') OR contains(lower(label), 'an') THEN 0 ELSE 1 END AS hit FROM concepts WHERE contains(lower(concat_ws(chr(1), name, label, definition)), 'an')")
