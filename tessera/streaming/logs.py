@@ -87,7 +87,8 @@ class Replay(StatefulProcessor):
         self.cleared = handle.getValueState("cleared", "seq bigint", self.expire_ms)
 
     def handleInputRows(self, key, rows, timer_values=None) -> Iterator[Row]:
-        before = self.cleared.get()[0] if self.cleared.exists() else None
+        held = self.cleared.get()
+        before = held[0] if held is not None else None
         cleared, newest = before, {}
         for row in rows:
             if row.decision == "no_match":
@@ -104,7 +105,7 @@ class Replay(StatefulProcessor):
         for term, event in newest.items():
             if cleared is not None and event[0] < cleared:
                 continue
-            last = tuple(self.terms.getValue((term,))) if self.terms.containsKey((term,)) else None
+            last = self.terms.getValue((term,))
             if last is not None and event[0] < last[0]:
                 continue
             self.terms.updateValue((term,), event)
