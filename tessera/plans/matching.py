@@ -211,10 +211,10 @@ def _(t):
 
 
 @query("c20_same_concepts", f"""{PAIRS}, e AS (SELECT x.id, y.id AS t_id, 2 AS rule FROM items x JOIN items y ON x.norm = y.norm AND x.norm <> '' WHERE x.id % 100 = 0
- UNION ALL SELECT id, t_id, 3 FROM p WHERE score >= 0.75 OR lexical >= 0.95 UNION ALL SELECT x.id, y.id, 1 FROM items x JOIN items y ON x.id % 50 = y.id % 50 WHERE x.id % 100 = 0)
+ UNION ALL SELECT id, t_id, 3 FROM p WHERE score >= 0.75 OR lexical >= 0.95 UNION ALL SELECT x.id, y.id, 1 FROM items x JOIN items y ON x.id // 4 = y.id // 4 WHERE x.id % 100 = 0)
 SELECT id, t_id, min(rule) AS rule FROM e WHERE id <> t_id GROUP BY id, t_id""")
 def _(t):
-    rows = items(t).select("id", (F.col("id") % 50).alias("iri"), "norm")
+    rows = items(t).select("id", F.expr("id div 4").alias("iri"), "norm")
     return ops.same_concept_pairs(rows.where("id % 100 = 0"), rows, all_pairs(t))
 
 

@@ -298,7 +298,7 @@ def _(t):
     return laws.articles(law_texts(t), chains(t)).groupBy("law").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c05_self_similarity", "SELECT vec_id AS id, true AS one FROM embeddings")
+@query("c05_self_similarity", "SELECT vec_id AS id, round(least(1.0, list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) = 1.0 AS one FROM embeddings")
 def _(t):
     from tessera.functions.text import cosine
 
