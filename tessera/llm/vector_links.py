@@ -6,8 +6,9 @@ TABLES tables make a miss of a pair at the threshold (r = 0.2 at cosine 0.98) ra
 bucket is checked by its cosine in double precision, so no pair below the threshold is linked.
 
 Equal vectors are one class with a count. Buckets of one class are left out before vectors are fetched. A bucket of any size is
-dealt into blocks of about BLOCK classes, and each pair of blocks is one task's matrix product, which returns for each class how many
-vectors it links to and one edge of a spanning forest: pairs are neither written nor cut off. A pair that meets in several
+dealt into blocks of about BLOCK classes, and each pair of blocks is one matrix product, which returns for each class how many
+vectors it links to and one edge of a spanning forest: pairs are neither written nor cut off. Pairs of blocks come to a task in order, many small ones in
+one Arrow batch. A pair that meets in several
 tables counts in the first of them. Vectors pass from table to table only where a bucket is shared.
 
 Defined cases: vectors that are null, empty or zero, or hold a null or a component that is not finite, and vectors without a label link with
@@ -18,10 +19,12 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +95,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return low
 
 
-def linked(block: pa.Table, cosine: float) -> pa.Table:
-    """node, links (vectors linked, counted here first), hub (of the forest) for the classes of a pair of blocks of a bucket."""
-    i, j, at, size = (block[c][0].as_py() for c in ("i", "j", "at", "size"))
-    node, count, side = (block[c].to_numpy() for c in ("node", "n", "side"))
-    vectors = matrix(block["embedding"].combine_chunks(), size)
-    signature = matrix_of_longs(block["signature"].combine_chunks())[:, :at]
+def linked(i: int, j: int, at: int, node: np.ndarray, count: np.ndarray, side: np.ndarray, vectors: np.ndarray, signature: np.ndarray, cosine: float) -> tuple | None:
+    """(node, links: vectors linked that count here first, hub: of the forest) for the classes of a pair of blocks of a bucket; None without links."""
     unit = normalised(vectors)
     rows = np.flatnonzero(side == i)
     columns = rows if i == j else np.flatnonzero(side == j)
@@ -109,13 +108,43 @@ def linked(block: pa.Table, cosine: float) -> pa.Table:
     for k in np.flatnonzero(np.abs(close - cosine) <= EDGE):
         x, y = vectors[a[k]], vectors[b[k]]
         keep[k] &= bool(x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= cosine)
-    for t in range(at):
-        keep &= signature[a, t] != signature[b, t]
     a, b = a[keep], b[keep]
+    new = np.ones(len(a), bool)
+    for t in range(at):
+        new &= signature[a, t] != signature[b, t]
+    a, b = a[new], b[new]
+    if not len(a):
+        return None
     links = np.bincount(a, count[b], len(node)) + np.bincount(b, count[a], len(node))
     some = np.flatnonzero(links)
-    hub = forest(len(node), a, b)
-    return pa.table({"node": node[some], "links": links[some].astype(np.int64), "hub": node[hub[some]]})
+    return node[some], links[some].astype(np.int64), node[forest(len(node), a, b)[some]]
+
+
+def runs_linked(it: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """linked() of each run of rows of one pair of blocks; rows come sorted, and a run that a batch cuts is kept for the next one."""
+    keys, rest = ("bucket", "i", "j", "at", "size", "label"), None
+    for batch in itertools.chain(it, [None]):
+        table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]) if rest is not None or batch is not None else None
+        if table is None or not table.num_rows:
+            continue
+        own = table.combine_chunks().to_batches()[0]
+        new = np.ones(own.num_rows, bool)
+        new[1:] = np.logical_or.reduce([pc.not_equal(own[c].slice(1), own[c].slice(0, own.num_rows - 1)).to_numpy(zero_copy_only=False) for c in keys])
+        starts = np.append(np.flatnonzero(new), own.num_rows)
+        whole = len(starts) - 1 if batch is None else len(starts) - 2  # the last run may go on
+        rest = own.slice(int(starts[whole]))
+        i, j, at, node, count, side = (own[c].to_numpy() for c in ("i", "j", "at", "node", "n", "side"))
+        offsets, flat = own["embedding"].offsets.to_numpy(), own["embedding"].values.to_numpy(zero_copy_only=False)
+        signature = matrix_of_longs(own["signature"])
+        out = []
+        for s, e in zip(starts[:whole], starts[1 : whole + 1], strict=True):
+            vectors = flat[offsets[s] : offsets[e]].astype(np.float64).reshape(e - s, -1)
+            found = linked(int(i[s]), int(j[s]), int(at[s]), node[s:e], count[s:e], side[s:e], vectors, signature[s:e], cosine)
+            if found:
+                out.append(found)
+        if out:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "links", "hub"])
 
 
 def matrix_of_longs(column: pa.Array) -> np.ndarray:
@@ -133,10 +162,12 @@ def links(classes: DataFrame, cosine: float, block: int) -> DataFrame:
     dealt = dealt.select("bucket", "label", "size", "at", "node", "n", "embedding", "signature", "side",
                          F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
 
-    def of_block(table: pa.Table) -> pa.Table:
-        return linked(table, cosine)
+    def of_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return runs_linked(it, cosine)
 
-    return dealt.groupBy("bucket", "label", "size", "at", "i", "j").applyInArrow(of_block, "node bigint, links bigint, hub bigint")
+    key = ["bucket", "i", "j"]
+    ordered = dealt.repartition(*key).sortWithinPartitions(*key, "at", "size", "label")
+    return ordered.mapInArrow(of_runs, "node bigint, links bigint, hub bigint")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, block: int = BLOCK) -> DataFrame:
