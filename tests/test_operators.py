@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import common_subsequence, humanize, indel_ratio, normalize_name, trim_words
 from tessera.operators import decisions, graph, law_questions, laws, matching, measure, rules, shapes
+from tessera.plans import QUERIES
 from tessera.sources import collections, statements
 from tessera.streaming import logs
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
@@ -182,6 +185,24 @@ def test_searches_in_blocks_equal_all_pairs(spark):
     assert whole and {tuple(r) for r in matching.listed_pairs(few, own, listed).collect()} == whole
 
 
+def test_same_concepts_of_an_iri_that_many_rows_share(spark):
+    some = [(i, i % 50, None if i % 7 == 0 else "" if i % 3 else f"n{i % 4}") for i in range(400)] + [(400, None, "n0")]
+    own = spark.createDataFrame(some, "id bigint, iri bigint, norm string")
+    pairs = spark.createDataFrame([(0, 3, 0.8, 0.0), (0, 50, 0.9, 1.0), (0, 4, 0.1, 0.1)], "id bigint, t_id bigint, score double, lexical double")
+    expected = {(0, 3): 3}
+    for i, iri, norm in some:
+        for j, other, name in some:
+            if i % 100 == 0 and i != j and (iri == other is not None or (norm and norm == name)):
+                expected[i, j] = 1 if iri == other is not None else 2
+    assert rows(matching.same_concept_pairs(own.where("id % 100 = 0"), own, pairs)) == sorted(((*k, v) for k, v in expected.items()), key=repr)
+
+
+def test_same_concepts_by_iri_grow_with_the_table(spark):
+    found = QUERIES["c20_same_concepts"](spark, SF).where("rule = 1")
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    assert rows(found.select("id", "t_id")) == sorted(((i, j) for i in ids for j in ids if i % 100 == 0 and i != j and i % 50 == j % 50), key=repr)
+
+
 def test_pages_lose_marks_and_spaced_headings(spark):
     text = "▼B\nS e c t i o n 1\n►C1 ofﬁce ◄ and a b c\nﬂow ►M2 on"
     found = laws.cleaned(spark.createDataFrame([("d", 1, text), ("d", 2, "◄"), ("d", 3, "")], "doc string, page int, text string"))
