@@ -66,6 +66,48 @@ def test_keep_one_against_brute_force(spark, edited, shingle, similarity):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(firsts.values())
 
 
+def test_fingerprints_find_most_similar_pairs_out_of_few(spark):
+    """Of pairs right at the threshold nine tenths by common segments, of nearer ones more; few unlike pairs are fetched."""
+    rng, texts, likely = random.Random(3), [], []
+    for kind, words in (("near", 1), ("edge", 4)):
+        for i in range(120):
+            base = [f"{kind}{i}w{rng.randrange(10_000)}" for _ in range(200)]
+            copy = list(base)
+            for j in range(words):
+                copy[20 + 40 * j] = "changed"
+            likely.append((kind, len(texts), len(texts) + 1))
+            texts += [" ".join(base), " ".join(copy)]
+    sets = [grams(t) for t in texts]
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for _, a, b in likely)
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string").repartition(3)
+    pairs = {(r.b, r.a) for r in near_sets.fetched(near_sets.segment_tables(rows, 5, 16), 0.8).collect()}
+    assert {(a, b) for k, a, b in likely if k == "near"} <= pairs
+    assert sum((a, b) in pairs for k, a, b in likely if k == "edge") >= 0.9 * 120
+    assert len(pairs) < 300
+    roots = {r.node: r.root for r in near_sets.fingerprint_components(rows, 5, 0.8).collect()}
+    assert sum(roots.get(a) == roots.get(b) is not None for _, a, b in likely) >= 0.9 * len(likely)
+
+
+def test_dense_entries_give_stars(spark):
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)] + [" ".join([*base[:i], f"own{i}", *base[i + 1 :]]) for i in range(40, 100)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    tables = near_sets.segment_tables(rows, 5, 8)
+    every, stars = ({(r.a, r.b) for r in near_sets.fetched(tables, 0.8, d).collect()} for d in (64, 4))
+    assert stars < every and len(every) == 61 * 60 // 2
+    assert len({r.root for r in near_sets.fingerprint_components(rows, 5, 0.8).collect()}) == 1
+
+
+def test_the_stage_links_by_fingerprints_and_the_rest_by_sets(spark, edited, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(edited)), "doc_id bigint, text string").repartition(3)
+    asked, whole = [], near_sets.fingerprint_components
+    monkeypatch.setattr(near_sets, "fingerprint_components", lambda *a: asked.append(1) or whole(*a))
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert asked
+    monkeypatch.setattr(near_sets, "fingerprint_components", lambda texts, *_: whole(texts.limit(0), *_))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept
+
+
 def test_keep_one_by_row(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     docs = spark.createDataFrame(
