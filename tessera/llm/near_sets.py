@@ -291,22 +291,24 @@ def edges_of(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def fingerprint_components(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, root of the different texts (node, text) that fingerprints link, each link verified."""
-    pairs = saved(fetched(segment_tables(texts, shingle, width_of(texts.count())), similarity))
-    return components(verified(pairs, texts, shingle, similarity))
+def fingerprint_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b of the different texts (node, text) that fingerprints bring together, to be verified."""
+    return saved(fetched(segment_tables(texts, shingle, width_of(texts.count())), similarity))
 
 
 def similar_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node (node_of the text), root for every different text of docs that has a near copy."""
     text = text_of()
     texts = saved(docs.select(node_of(text).alias("node"), text.alias("text")).dropDuplicates(["node"]))
-    roots = fingerprint_components(texts, shingle, similarity)
-
+    pairs = fingerprint_pairs(texts, shingle, similarity)
     met = entries(texts, shingle, similarity).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("entry")))
     met = saved(met.where("held > 1").drop("held"))
+    # every similar pair shares entries, so the others' texts are not read again
     texts = saved(texts.join(met.select("node").distinct(), "node", "left_semi"))
+    roots = components(verified(pairs, texts, shingle, similarity))
+
     met = saved(between(met, roots))
+    texts = saved(texts.join(met.select("node").distinct(), "node", "left_semi"))
     hubs = met.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("entry"))).groupBy("node").agg(F.sum("held").alias("hub"))
     stars = verified(saved(starred(met.drop("root").join(hubs, "node"), similarity)), texts, shingle, similarity)
     roots = components(edges_of(roots).unionByName(stars))

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_sets, simhash
 
@@ -84,7 +85,8 @@ def test_fingerprints_find_most_similar_pairs_out_of_few(spark):
     assert {(a, b) for k, a, b in likely if k == "near"} <= pairs
     assert sum((a, b) in pairs for k, a, b in likely if k == "edge") >= 0.9 * 120
     assert len(pairs) < 300
-    roots = {r.node: r.root for r in near_sets.fingerprint_components(rows, 5, 0.8).collect()}
+    links = near_sets.verified(near_sets.fingerprint_pairs(rows, 5, 0.8), rows, 5, 0.8)
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
     assert sum(roots.get(a) == roots.get(b) is not None for _, a, b in likely) >= 0.9 * len(likely)
 
 
@@ -95,16 +97,17 @@ def test_dense_entries_give_stars(spark):
     tables = near_sets.segment_tables(rows, 5, 8)
     every, stars = ({(r.a, r.b) for r in near_sets.fetched(tables, 0.8, d).collect()} for d in (64, 4))
     assert stars < every and len(every) == 61 * 60 // 2
-    assert len({r.root for r in near_sets.fingerprint_components(rows, 5, 0.8).collect()}) == 1
+    found = spark.createDataFrame(sorted(stars), "a bigint, b bigint")
+    assert [r.n for r in simhash.components(found).groupBy("root").agg(F.count("*").alias("n")).collect()] == [61]
 
 
 def test_the_stage_links_by_fingerprints_and_the_rest_by_sets(spark, edited, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(edited)), "doc_id bigint, text string").repartition(3)
-    asked, whole = [], near_sets.fingerprint_components
-    monkeypatch.setattr(near_sets, "fingerprint_components", lambda *a: asked.append(1) or whole(*a))
+    asked, whole = [], near_sets.fingerprint_pairs
+    monkeypatch.setattr(near_sets, "fingerprint_pairs", lambda *a: asked.append(1) or whole(*a))
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert asked
-    monkeypatch.setattr(near_sets, "fingerprint_components", lambda texts, *_: whole(texts.limit(0), *_))
+    monkeypatch.setattr(near_sets, "fingerprint_pairs", lambda texts, *_: whole(texts.limit(0), *_))
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == kept
 
 
