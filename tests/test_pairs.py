@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tessera.operators import matching, pairs
+from tessera.operators import matching, measure, pairs
 from tessera.plans import QUERIES
 
 SF = "/root/testdata/sf0.1"
@@ -32,7 +32,7 @@ def joined(spark, run):
     return most
 
 
-@pytest.mark.parametrize("name", ["c16_bands"])
+@pytest.mark.parametrize("name", ["c16_bands", "f06_hits"])
 def test_joins_do_not_make_all_pairs(spark, name):
     """sf0.1 has 19,980 pairs of a query and another row of its kind."""
     assert 0 < joined(spark, lambda: QUERIES[name](spark, SF).collect()) < 5000
@@ -113,3 +113,27 @@ def test_scores_are_rounded_as_in_sql(spark):
     """0.4 * 0.3529 + 0.6 * 0.10515: the shortest decimals of the double are 0.20425, but ten thousand times the double is below 2042.5."""
     found = QUERIES["c07_hybrid"](spark, SF).where("id = 200 and t_id = 906")
     assert rows(found.select("lexical", "semantic", "score")) == [(0.3529, 0.10515, 0.2042)]
+
+
+def near(table, chosen):
+    """id, t_id, distance of all pairs of one kind."""
+    return [(i, j, half_up(1 - cosine(x, y), 6)) for i, kind, _, x in table if chosen(i) for j, other, _, y in table if kind == other is not None and i != j]
+
+
+def test_nearest_are_those_of_all_pairs(odd):
+    table, df = odd
+    found = near(table, lambda i: i % 5 == 0)
+    for k in (1, 10, 20):
+        assert rows(matching.nearest(df.where("id % 5 = 0"), df, k)) == sorted(best(found, k, lambda r: (r[2], r[1])), key=repr)
+
+
+def test_right_ones_without_the_pairs_of_a_class(spark):
+    rng = random.Random(5)
+    table = [(i, None if i % 19 == 0 else 99 if i == 40 else rng.randrange(6)) for i in range(200)]
+    own = spark.createDataFrame(table, "id bigint, class int")
+    sources = own.where("id % 4 = 0")
+    gold = spark.createDataFrame([(i, j) for i, a in table if i % 4 == 0 for j, b in table if a == b is not None and i != j], "id bigint, t_id bigint")
+    lists = spark.createDataFrame([(i, j, r + 1) for i in range(0, 200, 4) if i % 3 for r, j in enumerate(rng.sample(range(200), 12))], "id bigint, t_id bigint, rank int")
+    found = rows(measure.hits(lists, gold))
+    assert found[0][0] < 50 and found[0][4] > 0
+    assert rows(measure.hits(lists, measure.right_among(lists, sources, own))) == found
