@@ -32,7 +32,7 @@ def joined(spark, run):
     return most
 
 
-@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence"])
+@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence", "c15_duplicates"])
 def test_joins_do_not_make_all_pairs(spark, name):
     """sf0.1 has 19,980 pairs of a query and another row of its kind."""
     assert 0 < joined(spark, lambda: QUERIES[name](spark, SF).collect()) < 5000
@@ -137,3 +137,17 @@ def test_right_ones_without_the_pairs_of_a_class(spark):
     found = rows(measure.hits(lists, gold))
     assert found[0][0] < 50 and found[0][4] > 0
     assert rows(measure.hits(lists, measure.right_among(lists, sources, own))) == found
+
+
+def test_duplicates_are_those_of_all_pairs(odd):
+    table, df = odd
+    found, expected = brute([r for r in table if r[0] % 5 == 0], table), []
+    for i in {r[0] for r in found}:
+        own = [r for r in found if r[0] == i]
+        by_score, by_name = min(own, key=lambda r: (-r[5], -r[3], r[1])), min(own, key=lambda r: (-r[3], -r[5], r[1]))
+        if by_score[5] >= 0.75 or by_name[3] >= 0.95:
+            similar = by_score[5] >= 0.75
+            expected.append((i, by_score[1] if similar else by_name[1], "similar" if similar else "same_name", by_score[5], by_name[3]))
+    assert {r[2] for r in expected} == {"similar", "same_name"}
+    some = matching.best_pairs(df.where("id % 5 = 0"), df, 1, matching.BY_SCORE, matching.BY_NAME)
+    assert rows(matching.possible_duplicates(some)) == sorted(expected, key=repr)
