@@ -32,7 +32,7 @@ def joined(spark, run):
     return most
 
 
-@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence", "c15_duplicates"])
+@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence", "c15_duplicates", "f03_weight_sweep"])
 def test_joins_do_not_make_all_pairs(spark, name):
     """sf0.1 has 19,980 pairs of a query and another row of its kind."""
     assert 0 < joined(spark, lambda: QUERIES[name](spark, SF).collect()) < 5000
@@ -151,3 +151,12 @@ def test_duplicates_are_those_of_all_pairs(odd):
     assert {r[2] for r in expected} == {"similar", "same_name"}
     some = matching.best_pairs(df.where("id % 5 = 0"), df, 1, matching.BY_SCORE, matching.BY_NAME)
     assert rows(matching.possible_duplicates(some)) == sorted(expected, key=repr)
+
+
+def test_pairs_of_a_sweep_hold_the_best_of_each_weight(odd):
+    table, df = odd
+    found = brute([r for r in table if r[0] % 5 == 0], table)
+    some = {(r.id, r.t_id) for r in matching.best_pairs(df.where("id % 5 = 0"), df, 3, *[pairs.Ranking(w, 1 - w) for w in (0.0, 0.4, 1.0)]).collect()}
+    assert len(some) < len(found) / 5
+    for w in (0.0, 0.4, 1.0):
+        assert {r[:2] for r in best(found, 3, lambda r: (-half_up(w * r[3] + (1 - w) * r[4], 4), -r[3], r[1]))} <= some
