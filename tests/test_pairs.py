@@ -32,7 +32,7 @@ def joined(spark, run):
     return most
 
 
-@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence", "c15_duplicates", "f03_weight_sweep", "s13_candidate_file", "c09_top_candidates"])
+@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence", "c15_duplicates", "f03_weight_sweep", "s13_candidate_file", "c09_top_candidates", "j07_ranking_summary"])
 def test_joins_do_not_make_all_pairs(spark, name):
     """sf0.1 has 19,980 pairs of a query and another row of its kind."""
     assert 0 < joined(spark, lambda: QUERIES[name](spark, SF).collect()) < 5000
