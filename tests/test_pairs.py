@@ -32,7 +32,7 @@ def joined(spark, run):
     return most
 
 
-@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence", "c15_duplicates", "f03_weight_sweep", "s13_candidate_file", "c09_top_candidates", "j07_ranking_summary"])
+@pytest.mark.parametrize("name", ["c16_bands", "f06_hits", "c26_evidence", "c15_duplicates", "f03_weight_sweep", "s13_candidate_file", "c09_top_candidates", "j07_ranking_summary", "c05_cosine"])
 def test_joins_do_not_make_all_pairs(spark, name):
     """sf0.1 has 19,980 pairs of a query and another row of its kind."""
     assert 0 < joined(spark, lambda: QUERIES[name](spark, SF).collect()) < 5000
@@ -160,3 +160,11 @@ def test_pairs_of_a_sweep_hold_the_best_of_each_weight(odd):
     assert len(some) < len(found) / 5
     for w in (0.0, 0.4, 1.0):
         assert {r[:2] for r in best(found, 3, lambda r: (-half_up(w * r[3] + (1 - w) * r[4], 4), -r[3], r[1]))} <= some
+
+
+def test_all_pairs_in_blocks(odd):
+    table, df = odd
+    found = brute([r for r in table if r[0] % 5 == 0], table)
+    assert rows(matching.scored_pairs(df.where("id % 5 = 0"), df).where("id <> t_id")) == sorted(found, key=repr)
+    named = df.where("norm is not null")
+    assert rows(matching.cosines(named.where("id % 5 = 0"), named).where("id <> t_id")) == sorted(((*r[:2], r[4]) for r in found), key=repr)
